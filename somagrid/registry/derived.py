@@ -93,6 +93,12 @@ def atlas(spark, d) -> DataFrame:
     )
 
 
+def shape(spark, d) -> dict:
+    """Extent of the derived volume (one small read of the part keys)."""
+    top = table(spark, d, "part").agg(F.max("p_partkey")).first()[0]
+    return {"z": top // PLANE_PARTS + 1, "y": SIDE, "x": SIDE}
+
+
 # --------------------------------------------------------------- ontology
 SQL["ontology"] = ("", """
   SELECT CAST(0 AS BIGINT) AS ids, 'root' AS names, 'root' AS acronym, CAST(NULL AS BIGINT) AS parent, 0 AS st_level
