@@ -224,20 +224,21 @@ def distance_map(mask: DataFrame, rmax: int = 5, bounds: dict | None = None, out
         )
         got = moved.groupBy(*AXES).agg(F.min("_g").alias("_g"), F.bit_or("_bit").alias("_seen"))
         got = got.filter(F.expr(f"(_seen & shiftleft(1L, {rmax})) <> 0"))  # the voxel itself is in the mask
-        low = f"{a} - k < 0" if bounds else "false"
-        high = f"{a} + k > {bounds[a] - 1}" if bounds else "false"
-        gap = F.expr(
-            f"array_min(filter(sequence(1, {rmax}), k -> (NOT ({high}) AND (_seen & shiftleft(1L, {rmax} - k)) = 0)"
-            f" OR (NOT ({low}) AND (_seen & shiftleft(1L, {rmax} + k)) = 0)))"
-        ).cast("bigint")
-        f = F.least(F.col("_g"), gap * gap)
+        gaps = []
+        for k in range(1, rmax + 1):
+            low = f"({a} >= {k} AND (_seen & shiftleft(1L, {rmax + k})) = 0)" if bounds else f"(_seen & shiftleft(1L, {rmax + k})) = 0"
+            high = f"({a} <= {bounds[a] - 1 - k} AND (_seen & shiftleft(1L, {rmax - k})) = 0)" if bounds else f"(_seen & shiftleft(1L, {rmax - k})) = 0"
+            gaps.append(f"WHEN {low} OR {high} THEN {k * k}L")
+        got = got.withColumn("_gap", F.expr(f"CASE {' '.join(gaps)} END"))
+        f = F.least("_g", "_gap")
         cur = got.select(*AXES, F.when(f <= lim, f).alias("_f"))
     return cur.select(*AXES, F.sqrt(F.col("_f").cast("double")).alias(out))
 
 
 def local_maxima(field: DataFrame, value: str = "distance", min_distance: int = 3) -> DataFrame:
     """Voxels not below any of their 26 neighbours, thinned so that no two stay
-    within ``min_distance``: larger value first, then position.
+    within ``min_distance``: larger value first, then a hash of the position, so
+    that plateaus settle in few rounds.
 
     Each round keeps the candidates that beat all open ones in reach and clears
     their surroundings, until none is open.
@@ -245,16 +246,16 @@ def local_maxima(field: DataFrame, value: str = "distance", min_distance: int =
     cube = footprint("cube", 1)
     around = send(field, cube, [value]).groupBy(*AXES).agg(F.max(value).alias("_top"))
     peaks = field.join(around, AXES).filter((F.col(value) >= F.col("_top")) & (F.col(value) > 0)).select(*AXES, value)
-    order = F.struct((-F.col(value)).alias("v"), *AXES)
+    order = F.struct((-F.col(value)).alias("v"), F.xxhash64(*AXES).alias("h"), *AXES)
     todo, kept = cut(peaks), []
     reach = footprint("cube", min_distance)
     while not todo.isEmpty():
         t = todo.withColumn("_k", order)
         best = send(t, reach, ["_k"]).groupBy(*AXES).agg(F.min("_k").alias("_best"))
-        win = cut(t.join(best, AXES).filter(F.col("_k") == F.col("_best")).select(*AXES, value))
+        seen = cut(t.join(best, AXES).select(*AXES, value, (F.col("_k") == F.col("_best")).alias("_win")))
+        win = seen.filter("_win").select(*AXES, value)
         kept.append(win)
-        near = send(win, reach).distinct()
-        todo = cut(todo.join(near, AXES, "left_anti"))
+        todo = cut(seen.filter("NOT _win").select(*AXES, value).join(send(win, reach).distinct(), AXES, "left_anti"))
     return functools.reduce(DataFrame.unionByName, kept) if kept else peaks
 
 
@@ -549,10 +550,8 @@ def resize_labels(voxels: DataFrame, shape: dict, new: dict, label: str = "label
     d = voxels.filter(F.col(label) != 0)
     for a in AXES:
         s, n = shape[a], new[a]
-        lo = F.expr(f"greatest(0, ({a} * {n}) div {s} - 2)")
-        hi = F.expr(f"least({n} - 1, (({a} + 1) * {n}) div {s} + 1)")
-        hits = F.filter(F.sequence(lo.cast("bigint"), hi.cast("bigint")), lambda i, a=a, s=s, n=n: F.floor((2 * i + 1) * s / F.lit(2 * n)) == F.col(a))
-        d = d.withColumn(a, F.explode(hits))
+        first, last = f"greatest(0L, {a} * {n} div {s} - 2)", f"least({n} - 1L, ({a} + 1) * {n} div {s} + 1)"
+        d = d.withColumn(a, F.explode(F.expr(f"filter(sequence({first}, {last}), i -> (2 * i + 1) * {s} div {2 * n} = {a})")))
     return d
 
 

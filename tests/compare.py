@@ -26,6 +26,9 @@ def connect(folder: str):
     return con
 
 
+TIMES: dict[str, float] = {}
+
+
 def norm(v):
     if isinstance(v, float):
         if math.isnan(v):
@@ -47,7 +50,9 @@ def close(a, b) -> bool:
 
 
 def compare(df, con, sql) -> list[str]:
+    t = time.time()
     res = con.execute(sql)
+    TIMES["sql"] = time.time() - t
     names = [c[0] for c in res.description]
     types = {c[0]: str(c[1]) for c in res.description}
     rows = res.fetchall()
@@ -98,7 +103,7 @@ def main() -> int:
             bad = [f"{type(e).__name__}: {str(e)[:700]}"]
         real = [b for b in bad if not b.startswith("note")]
         failed += bool(real)
-        print(f"{'FAIL' if real else 'ok  '} {n} {time.time() - t:.1f}s {' ; '.join(bad)}", flush=True)
+        print(f"{'FAIL' if real else 'ok  '} {n} {time.time() - t:.1f}s (sql {TIMES.pop('sql', 0):.1f}s) {' ; '.join(bad)}", flush=True)
     print(f"{len(names)} run, {failed} failed")
     return failed
 
