@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import json
 import operator
 
 import numpy as np
@@ -131,7 +132,7 @@ def label_components(voxels: DataFrame, connectivity: int = 26, within: str | No
         return pdf[AXES + ["_g"]].assign(_piece=packed[root])
 
     pieces = cut(keyed.groupBy("_bz", "_by", "_bx").applyInPandas(run, "z bigint, y bigint, x bigint, _g bigint, _piece bigint"))
-    arr = F.array(*[F.struct(*[F.lit(s).alias(a) for a, s in zip(AXES, o)]) for o in steps])
+    arr = F.from_json(F.lit(json.dumps([dict(zip(AXES, o)) for o in steps])), "array<struct<z:bigint,y:bigint,x:bigint>>")
     on_face = functools.reduce(operator.or_, [F.pmod(F.col(a), F.lit(block)).isin(0, block - 1) for a in AXES])
     rim = pieces.filter(on_face)
     sent = rim.withColumn("_o", F.explode(arr)).select(

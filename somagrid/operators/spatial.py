@@ -184,12 +184,16 @@ def project_to_line(cells: DataFrame, line: DataFrame, idc: str, edge: float = 4
 
 
 def _nearest(cells: DataFrame, pts: DataFrame, idc: str, edge: float) -> DataFrame:
-    """Nearest point (by distance, then ``pos``) of each cell position."""
+    """Nearest point (by distance, then ``pos``) of each cell."""
+    return cells.join(nearest_point(cells.select(*AXES).distinct(), pts, edge), AXES).select(idc, "pos", "distance")
+
+
+def nearest_point(q: DataFrame, pts: DataFrame, edge: float) -> DataFrame:
+    """Nearest point of each distinct query position: ``z, y, x, pos, distance``."""
     p = pts.withColumn("_id", F.format_string("%020d", "pos"))
-    q = cells.select(*AXES).distinct().withColumn("_id", F.concat_ws(",", F.lit("q"), *AXES))
+    q = q.withColumn("_id", F.concat_ws(",", F.lit("q"), *AXES))
     near = knn(q, p, 1, "_id", "_id", edge, ["pos"]).select("_id", "pos", "distance")
-    at = q.join(near, "_id").select(*AXES, "pos", "distance")
-    return cells.join(at, AXES).select(idc, "pos", "distance")
+    return q.join(near, "_id").select(*AXES, "pos", "distance")
 
 
 def landmark_error(a: DataFrame, b: DataFrame, um: float = 20.0) -> DataFrame:

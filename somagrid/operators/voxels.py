@@ -8,6 +8,7 @@ steps set by the radius, never by the data.
 from __future__ import annotations
 
 import functools
+import json
 import math
 import operator
 
@@ -20,8 +21,12 @@ from somagrid.session import cut, release
 AXES = ["z", "y", "x"]
 
 
+STEPS = "array<struct<z:bigint,y:bigint,x:bigint>>"
+
+
 def steps_array(steps) -> Column:
-    return F.array(*[F.struct(*[F.lit(int(v)).cast("bigint").alias(a) for a, v in zip(AXES, s)]) for s in steps])
+    """Fixed steps as one literal (folded once, however many there are)."""
+    return F.from_json(F.lit(json.dumps([dict(zip(AXES, map(int, s))) for s in steps])), STEPS)
 
 
 def send(df: DataFrame, steps, cols: list = ()) -> DataFrame:
@@ -521,7 +526,7 @@ def smooth(voxels: DataFrame, sigma: float, bounds: dict, value: str = "value",
     """Gaussian smoothing, one pass per axis, mirrored at the volume edge."""
     r = int(truncate * sigma + 0.5)
     raw = [math.exp(-0.5 * (i / sigma) ** 2) for i in range(-r, r + 1)]
-    kernel = F.array(*[F.struct(F.lit(i - r).alias("o"), F.lit(w / sum(raw)).alias("w")) for i, w in enumerate(raw)])
+    kernel = F.from_json(F.lit(json.dumps([{"o": i - r, "w": w / sum(raw)} for i, w in enumerate(raw)])), "array<struct<o:int,w:double>>")
     cur = voxels.select(*AXES, F.col(value).cast("double").alias(value))
     for a in AXES:
         n = bounds[a]
