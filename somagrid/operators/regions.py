@@ -65,11 +65,12 @@ def with_brain(df: DataFrame, brains: DataFrame, cols=("exp", "sex", "age")) ->
     return df.join(brains.select("dataset", *cols), "dataset")
 
 
-def select_brains(brains: DataFrame, nums: list[int]) -> DataFrame:
+def select_brains(brains: DataFrame, nums: list) -> DataFrame:
     """Brains by number in list order; the first record of a number wins."""
     from somagrid.operators.reshape import first_by
 
-    want = brains.sparkSession.range(1).select(F.posexplode(F.array(*[F.lit(n).cast("bigint") for n in nums])).alias("pos", "num"))
+    want = brains.sparkSession.range(1).select(
+        F.posexplode(F.array(*[F.lit(n).cast(brains.schema["num"].dataType) for n in nums])).alias("pos", "num"))
     return first_by(brains, ["num"], ["dataset"]).join(want, "num").orderBy("pos")
 
 
