@@ -23,14 +23,17 @@ def scratch(spark) -> str:
 
 @query("read_brains", """
   SELECT 'S' || s_suppkey AS dataset, CASE s_suppkey % 3 WHEN 0 THEN NULL ELSE s_suppkey % 90 END AS age, CASE s_suppkey % 2 WHEN 0 THEN 'CHECK' ELSE '24' END AS weight,
-    CASE WHEN s_suppkey % 4 = 0 THEN 2 ELSE 0 END AS n_exclude, CASE WHEN s_suppkey % 4 = 0 THEN 'R' END AS second_side FROM supplier""")
+    CASE WHEN s_suppkey % 4 = 0 THEN 2 ELSE 0 END::BIGINT AS n_exclude, CASE WHEN s_suppkey % 4 = 0 THEN 'R' END AS second_side FROM supplier""")
 def read_brains(spark, d):
     p = scratch(spark)
     k = F.col("s_suppkey")
     ex = F.when(k % 4 == 0, F.array(F.array(F.lit("N1"), F.lit("B")), F.array(F.lit("N2"), F.lit("R"))))
-    D.table(spark, d, "supplier").select(
-        F.concat(F.lit("S"), k.cast("string")).alias("name"), F.when(k % 3 == 0, "?").otherwise((k % 90).cast("string")).alias("age"),
-        F.when(k % 2 == 0, "CHECK").otherwise("24").alias("weight"), ex.alias("exclude")).write.json(p)
+    rows = D.table(spark, d, "supplier").select(
+        F.expr("s_suppkey div 50").alias("chunk"), F.concat(F.lit("S"), k.cast("string")).alias("name"), F.when(k % 3 == 0, "?").otherwise((k % 90).cast("string")).alias("age"),
+        F.when(k % 2 == 0, "CHECK").otherwise("24").alias("weight"), ex.alias("exclude"))
+    # one JSON array of at most 50 brains per file
+    docs = rows.groupBy("chunk").agg(F.to_json(F.collect_list(F.struct("name", "age", "weight", "exclude"))).alias("value"))
+    docs.write.partitionBy("chunk").text(p)
     b = S.read_brains(spark, p)
     return b.select("dataset", "age", "weight", F.size("exclude").alias("n_exclude"), F.try_element_at("exclude", F.lit(2))["side"].alias("second_side"))
 
