@@ -1,5 +1,5 @@
 """Spatial cell-map analytics on Spark DataFrames."""
 
-from somagrid.session import build_session, checkpoint_root, cut
+from somagrid.session import build_session, checkpoint_root, cut, spread
 
-__all__ = ["build_session", "checkpoint_root", "cut"]
+__all__ = ["build_session", "checkpoint_root", "cut", "spread"]

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from somagrid.operators.components import connected
 from somagrid.operators.spatial import nearest_point
-from somagrid.session import cut
+from somagrid.session import cut, spread
 
 AXES = ["z", "y", "x"]
 CORNERS = [f"{a}{i}" for i in (0, 1) for a in AXES]
@@ -20,7 +20,7 @@ def box_voxels(boxes: DataFrame, cols: list[str]) -> DataFrame:
     d = boxes
     for a in AXES:
         d = d.withColumn(a, F.explode(F.sequence(F.col(f"{a}0"), F.col(f"{a}1") - 1)))
-    return d.select(*cols, *AXES)
+    return spread(d.select(*cols, *AXES))
 
 
 def split_overlaps(boxes: DataFrame, box: str = "box") -> DataFrame:
@@ -90,6 +90,7 @@ def box_pairs(boxes: DataFrame, iou: float, box: str = "box", tile: int = 8) ->
     t = boxes.select(box, *CORNERS)
     for a in AXES:
         t = t.withColumn(f"_t{a}", F.explode(F.sequence(F.floor(F.col(f"{a}0") / tile), F.floor((F.col(f"{a}1") - 1) / tile))))
+    t = spread(t)
     a, b = t.alias("a"), t.alias("b")
     on = functools.reduce(operator.and_, [F.col(f"a._t{c}") == F.col(f"b._t{c}") for c in AXES])
     home = functools.reduce(operator.and_, [
@@ -127,6 +128,7 @@ def extract_crops(cells: DataFrame, voxels: DataFrame, half: dict, idc: str = "c
     c = cells.select(idc, *AXES)
     for a, h in half.items():
         c = c.withColumn(f"_t{a}", F.explode(F.sequence(F.floor((F.col(a) - h) / (2 * h)), F.floor((F.col(a) + h - 1) / (2 * h)))))
+    c = spread(c)
     v = voxels.select(*AXES, value, *[F.floor(F.col(a) / (2 * h)).alias(f"_t{a}") for a, h in half.items()])
     on = functools.reduce(operator.and_, [F.col(f"c._t{a}") == F.col(f"v._t{a}") for a in AXES])
     rel = {a: F.col(f"v.{a}") - F.col(f"c.{a}") + h for a, h in half.items()}

@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
-from somagrid.session import cut, release
+from somagrid.session import cut, release, spread
 
 AXES = ["z", "y", "x"]
 BITS = 21
@@ -135,9 +135,9 @@ def label_components(voxels: DataFrame, connectivity: int = 26, within: str | No
     arr = F.from_json(F.lit(json.dumps([dict(zip(AXES, o)) for o in steps])), "array<struct<z:bigint,y:bigint,x:bigint>>")
     on_face = functools.reduce(operator.or_, [F.pmod(F.col(a), F.lit(block)).isin(0, block - 1) for a in AXES])
     rim = pieces.filter(on_face)
-    sent = rim.withColumn("_o", F.explode(arr)).select(
+    sent = spread(rim.withColumn("_o", F.explode(arr)).select(
         *[(F.col(a) + F.col(f"_o.{a}")).alias(a) for a in AXES], "_g", F.col("_piece").alias("src")
-    )
+    ))
     meet = sent.join(rim.select(*AXES, "_g", F.col("_piece").alias("dst")), [*AXES, "_g"]).filter("src <> dst").select("src", "dst").distinct()
     comp = connected(meet, pieces.select(F.col("_piece").alias("id")).distinct())
     lab = pieces.join(comp.withColumnRenamed("id", "_piece"), "_piece").select(*AXES, F.col("component").alias(out))

@@ -13,7 +13,7 @@ import operator
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from somagrid.operators.reshape import first_by
-from somagrid.session import cut
+from somagrid.session import cut, spread
 
 AXES = ["z", "y", "x"]
 
@@ -34,7 +34,7 @@ def _buckets(df: DataFrame, edge: float, axes=AXES, ring: int = 0) -> DataFrame:
         if ring:
             b = F.explode(F.sequence(b - ring, b + ring))
         df = df.withColumn(f"_b{a}", b)
-    return df
+    return spread(df) if ring else df
 
 
 def bucket_join(a: DataFrame, b: DataFrame, radius: float, axes=AXES, scale: dict | None = None) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from somagrid.session import spread
+
 AXES = ["z", "y", "x"]
 
 
@@ -54,7 +56,7 @@ def assign_tiles(df: DataFrame, shape: dict, size: dict, overlap: dict) -> DataF
         hi = F.when(F.col(a) >= back, F.lit(last)).otherwise(F.floor(F.col(a) / step)).cast("bigint")
         starts = F.array_distinct(_starts(lo, hi, step, back))
         df = df.withColumn(f"{a}0", F.explode(_holding(starts, a, s)))
-    return df
+    return spread(df)
 
 
 def _starts(lo: Column, hi: Column, step: int, back: int) -> Column:

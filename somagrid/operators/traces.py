@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from somagrid.operators.ordered import value_ranks
 from somagrid.operators.spatial import knn
 from somagrid.operators.voxels import footprint, send
-from somagrid.session import cut
+from somagrid.session import cut, spread
 
 AXES = ["z", "y", "x"]
 
@@ -82,6 +82,7 @@ def bridge_ends(ends: DataFrame, voxels: DataFrame, r: int = 2) -> DataFrame:
         k = F.floor(F.col(x) / edge)
         a = a.withColumn(f"_b{x}", F.explode(F.sequence(k - 1, k + 1)))
         b = b.withColumn(f"_b{x}", k)
+    a = spread(a)
     on = functools.reduce(operator.and_, [F.col(f"a._b{x}") == F.col(f"b._b{x}") for x in AXES])
     reach = F.greatest(*[F.abs(F.col(f"a.{x}") - F.col(f"b.{x}")) for x in AXES])
     j = a.alias("a").join(b.alias("b"), on & (F.col("a.seg") != F.col("b.seg"))).filter(reach <= edge)

@@ -12,7 +12,7 @@ import operator
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from somagrid.operators.ordered import neighbour_row, value_ranks
-from somagrid.session import cut
+from somagrid.session import cut, spread
 
 AXES = ["z", "y", "x"]
 
@@ -118,6 +118,7 @@ def predict_next(tracks: DataFrame, crop: dict, scales: list[float], need: int =
             k = F.floor(F.col(axis) / h)
             a = a.withColumn(f"_b{axis}", F.explode(F.sequence(k - 1, k + 1)))
             b = b.withColumn(f"_b{axis}", k)
+        a = spread(a)
         on = functools.reduce(operator.and_, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ["frame", *[f"_b{x}" for x in crop]]])
         j = a.alias("a").join(b.alias("b"), on).withColumn("_l", _box_level(crop, levels, "a", "b")).filter("_l IS NOT NULL")
         j = j.select("a.series", "a.frame", *[F.col(f"a.{c}").alias(c) for c in AXES], "_l", *[F.col(f"b.d{c}").alias(f"d{c}") for c in AXES])
@@ -160,6 +161,7 @@ def candidate_links(cells: DataFrame, cand: DataFrame, d: float = 20.0) -> DataF
         k = F.floor(F.col(x) / F.lit(float(d)))
         a = a.withColumn(f"_b{x}", F.explode(F.sequence(k - 1, k + 1)))
         b = b.withColumn(f"_b{x}", k)
+    a = spread(a)
     on = functools.reduce(operator.and_, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ["frame", *[f"_b{x}" for x in AXES]]])
     d2 = functools.reduce(operator.add, [(F.col(f"a.{c}") - F.col(f"b.{c}")) * (F.col(f"a.{c}") - F.col(f"b.{c}")) for c in AXES]).cast("double")
     return a.alias("a").join(b.alias("b"), on).filter(d2 <= d * d).select("a.frame", "a.cell", "b.cand", F.sqrt(d2).alias("distance"))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from somagrid.operators.components import label_components, offsets
 from somagrid.operators.ordered import value_ranks
-from somagrid.session import cut, release
+from somagrid.session import cut, release, spread
 
 AXES = ["z", "y", "x"]
 
@@ -31,7 +31,8 @@ def steps_array(steps) -> Column:
 
 def send(df: DataFrame, steps, cols: list = ()) -> DataFrame:
     """One row per step: ``df`` rows moved by each step, with ``cols`` alongside."""
-    return df.withColumn("_o", F.explode(steps_array(steps))).select(*[(F.col(a) + F.col(f"_o.{a}")).alias(a) for a in AXES], *cols)
+    moved = df.withColumn("_o", F.explode(steps_array(steps)))
+    return spread(moved.select(*[(F.col(a) + F.col(f"_o.{a}")).alias(a) for a in AXES], *cols))
 
 
 def footprint(shape: str, r: int) -> list[tuple[int, int, int]]:

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from somagrid.session import spread
+
 SIDE = 32          # y and x extent of the derived volume
 PLANE_PARTS = 8    # parts per z plane
 RES = 25.0         # micrometres per voxel
@@ -85,7 +87,7 @@ def atlas(spark, d) -> DataFrame:
     grid = F.sequence(F.lit(0).cast("bigint"), F.lit(SIDE - 1).cast("bigint"))
     n = table(spark, d, "supplier").agg(F.count(F.lit(1))).scalar()
     v = planes.select("z", F.explode(grid).alias("y")).select("z", "y", F.explode(grid).alias("x"))
-    return v.select(
+    return spread(v).select(
         "z", "y", "x",
         F.when(F.col("y") < 2, F.lit(0).cast("bigint"))
         .otherwise(1000 + F.expr("(z div 8) * 16 + (y div 8) * 4 + x div 8") % n).alias("label"),

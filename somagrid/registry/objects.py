@@ -296,11 +296,11 @@ def cell_crops(spark, d):
 
 def _score(pdf: pd.DataFrame) -> pd.DataFrame:
     mean = pdf["voxels"].map(lambda px: sum(p["value"] for p in px) / len(px))
-    return pdf[["cell_id"]].assign(**{"class": (mean > 30).astype(int), "confidence": mean / 100})
+    return pdf[["cell_id"]].assign(**{"class": (mean > 30).astype(int), "confidence": mean})
 
 
 @query("scored_cells", f"""
-  SELECT cell_id, CASE WHEN total / n > 30 THEN 1 ELSE 0 END::BIGINT AS class, round(total / n / 100, 6) AS confidence FROM ({CROPS})""", "cells voxels")
+  SELECT cell_id, CASE WHEN total / n > 30 THEN 1 ELSE 0 END::BIGINT AS class, round(total / n, 6) AS confidence FROM ({CROPS})""", "cells voxels")
 def scored_cells(spark, d):
     crops = B.extract_crops(D.cells(spark, d).filter("vols > 900"), D.voxels(spark, d), {"z": 2, "y": 3, "x": 3})
     return U.score_cells(crops, _score, "cell_id")

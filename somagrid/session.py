@@ -26,6 +26,8 @@ def build_session(app: str = "somagrid", master: str | None = None, shuffle_part
     )
     if master:
         b = b.master(master)
+        if master.startswith("local"):
+            b = b.config("spark.driver.memory", "12g").config("spark.ui.enabled", "false")
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return b.getOrCreate()
@@ -46,6 +48,16 @@ def checkpoint_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Mark rows that an ``explode`` has multiplied.
+
+    Spark's size estimate does not see the multiplication, so it might broadcast
+    such a side unchecked; the hint holds up to the next join and asks for a
+    shuffled one, where adaptive execution still splits skewed keys.
+    """
+    return df.hint("merge")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back."""
     spark = df.sparkSession

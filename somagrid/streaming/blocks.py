@@ -64,7 +64,9 @@ def _link(key, batches, state: GroupState):
     state.update((int(last["frame"]), float(last["z"]), float(last["y"]), float(last["x"])))
     d = rows[VOXEL].astype(float).diff().shift(-1)
     near = rows["frame"].diff().shift(-1) == 1
-    yield pd.DataFrame({"series": rows["series"], "frame": rows["frame"], "dz": d["z"], "dy": d["y"], "dx": d["x"]})[near]
+    out = pd.DataFrame({"series": rows["series"], "frame": rows["frame"], "dz": d["z"], "dy": d["y"], "dx": d["x"]})[near]
+    if len(out):
+        yield out
 
 
 def stream_tracks(spark: SparkSession, folder: str, schema, out: str, checkpoint: str, files_per_trigger: int | None = None) -> None:

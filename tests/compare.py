@@ -33,7 +33,7 @@ def norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return float(f"{v:.9g}") + 0.0
+        return v + 0.0
     if isinstance(v, (list, tuple)):
         return tuple(norm(x) for x in v)
     return v
@@ -77,7 +77,8 @@ def compare(df, con, sql) -> list[str]:
             bad.append(f"{len(diff)} rows differ, columns {cols}, first {diff[:2]}")
         exact = sum(g != e for g, e in zip(got, exp))
         if not diff and exact:
-            bad.append(f"note: {exact} rows differ in the last digit only")
+            one = next((c, a, b) for g, e in zip(got, exp) for c, a, b in zip(cols, g, e) if a != b)
+            bad.append(f"note: {exact} rows differ in the last digit only, as {one}")
     if not got:
         bad.append("note: no rows")
     return bad
