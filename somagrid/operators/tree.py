@@ -103,25 +103,29 @@ def rollup_tree(regions: DataFrame, sums: list[str], keys=("dataset",), volume:
 
     One shuffle per level over the region table (brains x regions, not cells):
     each row is sent to its own id and, as a share, to its parent's id, so the
-    table is read once and never joined with itself.
+    table is never joined with itself.  Only numbers go through the levels (hash
+    aggregates); the other columns come back in one join at the end.
     """
+    regions = cut(regions)
     if levels is None:
         levels = sorted((r[0] for r in regions.select("st_level").distinct().collect()), reverse=True)
-    done = regions
-    rest = [c for c in regions.columns if c not in (*keys, "ids", *sums)]
+    fixed = ["parent", "st_level"]
+    done = regions.select(*keys, "ids", *fixed, *sums)
     for level in levels[1:]:
         sent = done.withColumn("_to", F.explode(F.array(F.struct(F.col("ids").alias("id"), F.lit(True).alias("own")),
                                                         F.struct(F.col("parent").alias("id"), F.lit(False).alias("own")))))
         own = F.col("_to.own")
-        g = sent.filter(F.col("_to.id").isNotNull()).groupBy(*keys, F.col("_to.id").alias("_id")).agg(
-            F.max(F.when(own, F.struct(*rest, *sums))).alias("_row"), F.bool_or(~own).alias("_kids"),
+        g = sent.filter(F.col("_to.id").isNotNull()).groupBy(*keys, F.col("_to.id").alias("ids")).agg(
+            F.bool_or(own).alias("_own"), F.bool_or(~own).alias("_kids"),
+            *[F.max(F.when(own, F.col(c))).alias(c) for c in (*fixed, *sums)],
             *[F.coalesce(F.sum(F.when(~own, F.col(c))), F.lit(0)).alias(f"_{c}") for c in sums],
-        ).filter(F.col("_row").isNotNull())
-        take = (F.col("_row.st_level") == level) & F.col(f"_row.{volume}").isNull() & F.col("_kids")
-        done = g.select(
-            *keys, F.col("_id").alias("ids"), *[F.col(f"_row.{c}").alias(c) for c in rest],
-            *[F.when(take, F.col(f"_{c}")).otherwise(F.col(f"_row.{c}")).alias(c) for c in sums],
-        )
+        ).filter("_own")
+        take = (F.col("st_level") == level) & F.col(volume).isNull() & F.col("_kids")
+        g = g.withColumn("_take", take)
+        done = g.select(*keys, "ids", *fixed, *[F.when(F.col("_take"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in sums])
+    rest = [c for c in regions.columns if c not in (*keys, "ids", *fixed, *sums)]
+    if rest:
+        done = done.join(regions.select(*keys, "ids", *rest), [*keys, "ids"])
     return done.select(*regions.columns)
 
 

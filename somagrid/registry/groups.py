@@ -62,11 +62,12 @@ def ttest_adjusted(spark, d):
        * (1.0 / nullif(n1, 0) + 1.0 / nullif(n2, 0))), 0) AS t FROM g),
    p AS (SELECT *, {t_sql('t', 'df')} AS p_val, CASE WHEN x1 > 0 AND x2 > 0 THEN log2(x2) - log2(x1) END AS lf FROM t)
   SELECT ids, acronym, round(x1, 6) AS mean_x1, round(x2, 6) AS mean_x2, round(t, 6) AS t, df, round(p_val, 6) AS p_val,
-    round(x2 / nullif(x1, 0), 6) AS fold_change, round(x2 - x1, 6) AS abs_change, round(lf, 6) AS log2fold,
+    round(round(x2 / nullif(x1, 0), 9), 6) AS fold_change, round(x2 - x1, 6) AS abs_change, round(lf, 6) AS log2fold,
     round(CASE WHEN p_val > 0 THEN -log10(p_val) END, 6) AS neg_log10_p,
     CASE WHEN p_val < 0.01 AND lf > 0.3 THEN 'up' WHEN p_val < 0.01 AND lf < -0.3 THEN 'down' ELSE 'none' END AS change_type FROM p""", "pooled")
 def volcano(spark, d):
-    return Q.volcano(D.pooled(spark, d), "exp", "P60", "Cuprizone").drop("n1", "n2")
+    return Q.volcano(D.pooled(spark, d), "exp", "P60", "Cuprizone").drop("n1", "n2").withColumn(
+        "fold_change", F.round("fold_change", 9))  # simple fractions: settle the last bit before the final rounding
 
 
 @query("left_right_correlation", f"""
