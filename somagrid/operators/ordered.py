@@ -20,6 +20,7 @@ DISTINCT_LIMIT = 1_000_000
 SAMPLE = 16_384
 BINS = 256
 FRAME_WIDTH = 262_144
+ALL = "_all"
 
 
 def _same(a: str, b: str, keys: list[str]) -> Column:
@@ -47,13 +48,11 @@ def _bin_values(tab: DataFrame, keys: list[str], value: str, limit: int) -> Data
     )
     every = F.greatest(F.lit(1), (F.size("_s") / BINS).cast("int"))
     splitters = sample.select(*keys, F.filter("_s", lambda v, i: i % every == 0).alias("_s"))
-    return (
-        tab.alias("t")
-        .join(splitters.alias("s"), _same("t", "s", keys), "left")
-        .select("t.*", F.coalesce(F.size(F.filter("s._s", lambda v: v < F.col(f"t.{value}"))), F.lit(0)).alias("_bin0"))
-        .withColumn("_bin", F.greatest(F.col("_bin0"), F.lit(0)))
-        .drop("_bin0")
-    )
+    place = lambda arr: F.coalesce(F.size(F.filter(arr, lambda v: v < F.col(value))), F.lit(0))
+    if keys == [ALL]:  # one group: one short array, no join on a constant
+        return tab.withColumn("_sp", splitters.select("_s").scalar()).withColumn("_bin", F.greatest(place(F.col("_sp")), F.lit(0))).drop("_sp")
+    j = tab.alias("t").join(splitters.alias("s"), _same("t", "s", keys), "left").select("t.*", "s._s")
+    return j.withColumn("_bin", F.greatest(place(F.col("_s")), F.lit(0))).drop("_s")
 
 
 def value_ranks(
@@ -71,14 +70,14 @@ def value_ranks(
     """
     one = not keys
     if one:
-        df, keys = df.withColumn("_all", F.lit(0)), ["_all"]
+        df, keys = df.withColumn(ALL, F.lit(0)), [ALL]
     aggs = [F.count(F.lit(1)).alias("n")] + [F.sum(e).alias(k) for k, e in (sums or {}).items()]
     tab = cut(df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(*aggs))
     largest = tab.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0] or 0
     if largest <= limit:
         w = W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
         out = tab.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).withColumn("_bin", F.lit(0))
-        return out.drop("_all") if one else out
+        return out.drop(ALL) if one else out
     tab = _bin_values(tab, keys, value, limit)
     w = W.partitionBy(*keys, "_bin").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
     inside = tab.withColumn("_in", F.coalesce(F.sum("n").over(w), F.lit(0)))
@@ -91,12 +90,11 @@ def value_ranks(
         inside.alias("i").join(starts.alias("s"), _same("i", "s", [*keys, "_bin"]))
         .select("i.*", (F.col("_in") + F.col("_start")).alias("before")).drop("_in")
     )
-    return out.drop("_all") if one else out
+    return out.drop(ALL) if one else out
 
 
 def suffix_min(ranked: DataFrame, keys: list[str], value: str, col: str, out: str) -> DataFrame:
     """Smallest ``col`` at this or any larger ``value`` of a :func:`value_ranks` table."""
-    part = keys or ["_bin"]
     w = W.partitionBy(*keys, "_bin").orderBy(value).rowsBetween(0, W.unboundedFollowing)
     inside = ranked.withColumn("_m", F.min(col).over(w))
     bins = ranked.groupBy(*keys, "_bin").agg(F.min(col).alias("_b"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from somagrid.functions.probability import normal_two_sided, t_pvalue
 from somagrid.operators.ordered import DISTINCT_LIMIT, average_ranks, suffix_min, value_ranks
@@ -109,9 +111,14 @@ def linfit(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
 
 
 # -------------------------------------------------------------- rank test
-def mannwhitney(df: DataFrame, keys: list[str], group: str, value: str, g1, g2, limit: int = DISTINCT_LIMIT) -> DataFrame:
+def mannwhitney(df: DataFrame, keys: list[str], group: str, value: str, g1, g2, limit: int = DISTINCT_LIMIT,
+                exact: bool = False) -> DataFrame:
     """Mann-Whitney U of the first group, two sided: normal approximation with
-    tie term and continuity correction (``method`` says so)."""
+    tie term and continuity correction.
+
+    With ``exact``, p is exact where there are no ties and one group has at most
+    8 values (the other at most ``EXACT_LIMIT``).  ``method`` tells which.
+    """
     one = F.when(F.col(group) == g1, 1).otherwise(0)
     d = df.filter(F.col(group).isin(g1, g2))
     r = value_ranks(d, keys, value, {"n_first": one}, limit)
@@ -126,11 +133,33 @@ def mannwhitney(df: DataFrame, keys: list[str], group: str, value: str, g1, g2,
     a = a.withColumn("u", F.col("_r1") - n1 * (n1 + 1) / 2.0)
     sd = F.sqrt(n1 * n2 / 12.0 * (total + 1 - F.try_divide(F.col("_ties"), total * (total - 1))))
     top = F.greatest(F.col("u"), n1 * n2 - F.col("u")) - n1 * n2 / 2.0 - 0.5
-    return (
-        a.withColumn("z", F.try_divide(top, sd))
-        .withColumn("p_val", F.when(F.col("z") < 0, F.lit(1.0)).otherwise(normal_two_sided(F.col("z"))))
-        .withColumn("method", F.lit("normal")).drop("_r1", "_ties")
-    )
+    normal = F.when(F.col("z") < 0, F.lit(1.0)).otherwise(normal_two_sided(F.col("z")))
+    a = a.withColumn("z", F.try_divide(top, sd)).withColumn("p_val", normal).withColumn("method", F.lit("normal"))
+    if exact:
+        small, large = F.least("n1", "n2"), F.greatest("n1", "n2")
+        fits = (F.col("_ties") == 0) & (small >= 1) & (small <= 8) & (large <= EXACT_LIMIT)
+        a = a.withColumn("_far", F.when(fits, F.greatest(F.col("u"), n1 * n2 - F.col("u"))))
+        a = a.withColumn("p_val", F.coalesce(_exact_u(small, large, F.col("_far")), F.col("p_val"))).withColumn(
+            "method", F.when(F.col("_far").isNotNull(), "exact").otherwise("normal")).drop("_far")
+    return a.drop("_r1", "_ties")
+
+
+EXACT_LIMIT = 200
+
+
+@F.pandas_udf(T.DoubleType())
+def _exact_u(small: pd.Series, large: pd.Series, far: pd.Series) -> pd.Series:
+    """2 P(U >= far) for tie-free samples; NULL where ``far`` is.  One row per tested
+    group reaches this, after the aggregates."""
+    def tail(m: int, n: int, u: float) -> float:
+        # ways to reach each U with m values among n others, n growing by one
+        ways = [np.eye(1, m * n + 1)[0] for _ in range(m + 1)]
+        for k in range(1, n + 1):
+            for i in range(1, m + 1):
+                ways[i] = ways[i] + np.concatenate([np.zeros(k), ways[i - 1][:-k]])
+        return float(min(1.0, 2.0 * ways[m][int(u):].sum() / ways[m].sum()))
+
+    return pd.Series([None if pd.isna(u) else tail(int(m), int(n), u) for m, n, u in zip(small, large, far)], dtype="float64")
 
 
 def bh_adjust(df: DataFrame, p: str, out: str = "p_adj", limit: int = DISTINCT_LIMIT) -> DataFrame:

@@ -106,3 +106,16 @@ def test_normal(spark):
     got = spark.createDataFrame([(v,) for v in z], "z double").select("z", normal_two_sided(F.col("z")).alias("p")).collect()
     for r in got:
         assert abs(r["p"] - erfc(r["z"] / sqrt(2))) < 1e-12
+
+
+def test_mannwhitney_exact(spark):
+    from itertools import combinations
+
+    a, b = [1.5, 7.0, 9.0, 12.0], [0.5, 2.0, 3.0, 4.0, 5.0, 6.0]
+    df = spark.createDataFrame([("p", v) for v in a] + [("q", v) for v in b], "grp string, value double").withColumn("k", F.lit(1))
+    r = Q.mannwhitney(df, ["k"], "grp", "value", "p", "q", exact=True).first()
+    u = sum(x > y for x in a for y in b)
+    every = [sum(c) - 6 for c in combinations(range(10), 4)]
+    far = max(u, 24 - u)
+    assert r["u"] == u and r["method"] == "exact"
+    assert abs(r["p_val"] - min(1.0, 2 * sum(e >= far for e in every) / len(every))) < 1e-12
