@@ -26,7 +26,7 @@ from somagrid.llm.bpe import Encoder, Vocabulary, expand, word_batches
 from somagrid.session import cut
 
 CAPACITY = 2048
-GRID = 8
+GRID = 16
 SALT_ROWS = 4096
 GAP = 0.0005
 PIECES = ("doc_id {t}, start long, length long, ids_crc32 long, doc_tokens long")
