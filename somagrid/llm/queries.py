@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from somagrid.llm.bpe import compile_lexicon, digests
+from somagrid.llm import cotrain, toxicity
 from somagrid.llm.near_dups import near_duplicates
 from somagrid.llm.packing import pack_documents
 
@@ -21,6 +22,22 @@ def op1_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), width=2, percent=80)
 
 
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document; labels of the held-out fold are never seen."""
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    lexicon = toxicity.learn(docs, labels, usable=~toxicity.held_out(F.col("_id")))
+    return toxicity.score(docs, lexicon).select(
+        F.col("id").alias("doc_id"), F.coalesce(toxicity.held_out(F.col("id")), F.lit(False)).alias("held_out"), "score",
+        F.when(F.col("score") >= toxicity.THRESHOLD, 1).otherwise(0).alias("predicted"), "clauses")
+
+
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document by two co-trained views."""
+    docs = table(spark, folder, "documents")
+    return cotrain.score(docs, cotrain.fit(docs, table(spark, folder, "labels"))).withColumnRenamed("id", "doc_id").withColumn(
+        "keep", (F.col("score") >= cotrain.KEEP))
+
+
 def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Encoding and decoding of all documents with the corpus' lexicon."""
     docs = table(spark, folder, "documents")
@@ -34,6 +51,8 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_toxicity": op2_toxicity,
+    "op6_quality": op6_quality,
     "op7_bpe": op7_bpe,
     "op9_packing": op9_packing,
 }
