@@ -31,7 +31,8 @@ from somagrid.session import cut
 TRAIN_ROWS = 20000
 LEXICON_LIMIT = 4000
 STEMS = (4, 5, 6, 7)
-SURPLUS, PURITY = 0.0, 0.5
+SURPLUS = 0.0
+PURITIES, STEM_PURITY = (0.98, 0.9, 0.75, 0.5), 0.9
 BIAS = -5.0
 THRESHOLD = 0.3
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
@@ -132,7 +133,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if usable is not None:
         rows = rows.filter(usable)
     rows = rows.groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(limit)
-    known = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(rows), "_id")  # at most ``limit`` rows
+    rows = cut(rows)  # at most ``limit`` rows
+    known = cut(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(rows), "_id"))
 
     def count(batches):
         for b in batches:
@@ -162,10 +164,18 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # chance that a word of so many toxic documents and no other is innocent, against the number of words tried
     luck = np.log(max(counts.count(), 1)) + SURPLUS
     rare = -np.log(bad / (bad + good))
-    picked = counts.withColumn("weight", odds).filter(
-        (F.col("toxic") * F.lit(float(rare)) >= F.lit(float(luck))) & (F.col("toxic") >= PURITY * (F.col("toxic") + F.col("clean"))) & ~F.col("word").contains("�"))
-    picked = picked.orderBy(F.desc(F.col("toxic") * F.col("weight")), "word", "stem").limit(limit if limit < LEXICON_LIMIT else LEXICON_LIMIT)
-    return [(r["word"], r["stem"], float(r["weight"])) for r in picked.collect()]
+    pure = F.col("toxic") / (F.col("toxic") + F.col("clean"))
+    picked = counts.withColumn("weight", odds).withColumn("pure", F.when((F.col("stem") > 0) & (pure < STEM_PURITY), 0.0).otherwise(pure)).filter(
+        (F.col("toxic") * F.lit(float(rare)) >= F.lit(float(luck))) & (F.col("pure") >= min(PURITIES)) & ~F.col("word").contains("�"))
+    rows_ = picked.orderBy(F.desc(F.col("toxic") * F.col("weight")), "word", "stem").limit(LEXICON_LIMIT).collect()
+    best, least = [], None
+    for p in PURITIES:  # of the lexicons, the one with the fewest wrong documents in the sample
+        own = [(r["word"], r["stem"], float(r["weight"])) for r in rows_ if r["pure"] >= p]
+        told = score(known.select("_id", "_text"), own, "_id", "_text").join(F.broadcast(rows), F.col("id") == F.col("_id"))
+        wrong = told.filter((F.col("score") >= THRESHOLD) != (F.col("_y") == 1)).count()
+        if least is None or wrong < least:
+            best, least = own, wrong
+    return best
 
 
 def score(docs: DataFrame, lexicon: list[tuple[str, int, float]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
