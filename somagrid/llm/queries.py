@@ -6,10 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from somagrid.llm.bpe import compile_lexicon, digests
-from somagrid.llm import cotrain, toxicity
+from somagrid.llm import backoff, cotrain, crosspoly, licences, secrets, topk, toxicity
 from somagrid.llm.near_dups import near_duplicates
+from somagrid.llm.oracles import ORACLES
 from somagrid.llm.packing import pack_documents
 
+__all__ = ["ORACLES", "QUERIES"]
+
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -31,6 +34,21 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("score") >= toxicity.THRESHOLD, 1).otherwise(0).alias("predicted"), "clauses")
 
 
+def op3_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Stupid-backoff score of every document under the counts of all documents."""
+    return backoff.scores(table(spark, folder, "documents")).withColumn("log_score", F.round("log_score", 4))
+
+
+def op4_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 highest integer inner products of each query vector."""
+    return topk.search(table(spark, folder, "embeddings"))
+
+
+def op5_licences(spark: SparkSession, folder: str) -> DataFrame:
+    """Best licence template of every document."""
+    return licences.match(table(spark, folder, "documents"))
+
+
 def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Quality of every document by two co-trained views."""
     docs = table(spark, folder, "documents")
@@ -44,16 +62,32 @@ def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return digests(docs, WORD_BPE, lexicon=compile_lexicon(docs, WORD_BPE)).withColumnRenamed("id", "doc_id")
 
 
+def op8_ann(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest vectors found for each query vector."""
+    return crosspoly.search(table(spark, folder, "embeddings"))
+
+
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Sequences of at most 2048 tokens from all documents."""
     return pack_documents(table(spark, folder, "documents"), WORD_BPE)
 
 
+def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secret spans of every document, with the verdict of corpus-wide ownership."""
+    docs = secrets.with_rows(table(spark, folder, "documents"))
+    return secrets.report(secrets.scan(docs)).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_toxicity": op2_toxicity,
+    "op3_lm_scores": op3_lm_scores,
+    "op4_topk": op4_topk,
+    "op5_licences": op5_licences,
     "op6_quality": op6_quality,
     "op7_bpe": op7_bpe,
+    "op8_ann": op8_ann,
     "op9_packing": op9_packing,
+    "op10_secrets": op10_secrets,
 }
-ORACLES: dict[str, str] = {}
+
