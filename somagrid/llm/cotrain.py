@@ -70,10 +70,14 @@ def _meta(b: pa.RecordBatch) -> np.ndarray:
     return np.stack([chars, b.column(3).to_numpy(zero_copy_only=False), b.column(4).to_numpy(zero_copy_only=False)], axis=1).astype(float)
 
 
-def _inputs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _codes(id_col: str, text_col: str) -> list:
     code = lambda c: F.when(F.col(c).isNull(), -1).otherwise(F.pmod(F.xxhash64(c), F.lit(SOURCE_BUCKETS))).cast("int")
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col("n_chars").cast("long").alias("n_chars"),
-                       code("lang").alias("lang"), code("source").alias("source"))
+    return [F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col("n_chars").cast("long").alias("n_chars"),
+            code("lang").alias("lang"), code("source").alias("source")]
+
+
+def _inputs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(*_codes(id_col, text_col))
 
 
 class View:
@@ -163,6 +167,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return views, scale, logistic(both, y[hold], 0.1)
 
 
+def _rate(model, data: np.ndarray, off: np.ndarray, meta: np.ndarray) -> list[np.ndarray]:
+    """Text, metadata and combined scores."""
+    if model is None:
+        return [np.full(len(off) - 1, 0.5)] * 3
+    views, scale, last = model
+    z = [a[0] + a[1] * v.logit(own) for v, a, own in zip(views, scale, (text_features(data, off), meta))]
+    z.append(last[0] + last[1] * z[0] + last[2] * z[1])
+    return [1 / (1 + np.exp(-np.clip(k, -30, 30))) for k in z]
+
+
 def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text_score, meta_score, score) of every document."""
 
@@ -171,14 +185,23 @@ def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text"
             meta = _meta(b)
             for i, data, off in text_chunks(b, "text"):
                 n = len(off) - 1
-                if model is None:
-                    p = [np.full(n, 0.5)] * 3
-                else:
-                    views, scale, last = model
-                    z = [a[0] + a[1] * v.logit(own) for v, a, own in zip(views, scale, (text_features(data, off), meta[i:i + n]))]
-                    z.append(last[0] + last[1] * z[0] + last[2] * z[1])
-                    p = [1 / (1 + np.exp(-np.clip(k, -30, 30))) for k in z]
+                p = _rate(model, data, off, meta[i:i + n])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, n), *map(pa.array, p)], ["id", "text_score", "meta_score", "score"])
 
     source = _inputs(docs, id_col, text_col)
     return source.mapInArrow(run, f"id {dict(source.dtypes)['id']}, text_score double, meta_score double, score double")
+
+
+def keep(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", threshold: float = KEEP) -> DataFrame:
+    """Rows of ``docs`` that score at least the threshold, with all their columns; nothing is shuffled."""
+    coded = docs.select(F.struct(*docs.columns).alias("row"), *_codes(id_col, text_col))
+
+    def run(batches):
+        for b in batches:
+            meta = _meta(b.select(["id", "text", "n_chars", "lang", "source"]))
+            for i, data, off in text_chunks(b, "text"):
+                n = len(off) - 1
+                good = pa.array(_rate(model, data, off, meta[i:i + n])[2] >= threshold)
+                yield pa.RecordBatch.from_struct_array(b.column(0).slice(i, n).filter(good))
+
+    return coded.mapInArrow(run, docs.schema)

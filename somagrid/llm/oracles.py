@@ -47,7 +47,7 @@ def op5() -> str:
     """Dice coefficient of every line and text with every template."""
     rows = ", ".join(f"('{k}', '{' '.join(licences.normal_words(t))}')" for k, t in licences.TEMPLATES.items())
     return f"""
-with t as (select column0 as licence, string_split(column1, ' ') as w from (values {rows})),
+with t as (select licence, string_split(words, ' ') as w from (values {rows}) as v(licence, words)),
 tg as (select licence, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as g from t),
 d as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
 u as (select distinct r, unnest(list_append(string_split(text, chr(10)), text)) as u from d),
@@ -70,7 +70,7 @@ def op10() -> str:
         part.append(f"""
 select r, src, '{kind}' as kind, {order} as ord, s, s + len(m) as e, v from (
   select r, src, unnest(ms) as m, unnest(vs) as v, unnest(list_transform(range(1, len(ms) + 1), lambda i: list_sum(list_transform(gs[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: len(x))), 0)))::bigint as s from (
-    select r, src, regexp_extract_all(text, '{p}', 0{flags}) as ms, regexp_extract_all(text, '{p}', {group}{flags}) as vs, string_split_regex(text, '{"(?i)" if flags else ""}{p}') as gs from d)) where len(v) >= {least}"""
+    select r, src, regexp_extract_all(text, '{p}', 0{flags}) as ms, regexp_extract_all(text, '{p}', {group}{flags}) as vs, string_split_regex(text, '{"(?i)" if flags else ""}{p}') as gs from d where regexp_matches(text, '{p}'{flags}))) where len(v) >= {least}"""
                     + (" and regexp_matches(v, '[0-9]') and regexp_matches(v, '[A-Za-z]')" if kind == "bare" else ""))
     return f"""
 with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text, coalesce(source, '') as src from documents),

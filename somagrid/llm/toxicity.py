@@ -178,8 +178,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return best
 
 
-def score(docs: DataFrame, lexicon: list[tuple[str, int, float]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score, clauses): score from 0 to 1 and the number of matched clauses of every whole text."""
+def _scorer(lexicon: list[tuple[str, int, float]]):
+    """Function from (bytes, offsets) to the scores and the numbers of matched clauses of whole texts."""
     learned = {0: {}, **{k: {} for k in STEMS}}
     for w, k, x in lexicon:
         learned[k][w] = min(x, 6.0)
@@ -195,47 +195,66 @@ def score(docs: DataFrame, lexicon: list[tuple[str, int, float]], id_col: str =
         kind = np.array([INSULT if w in learned[k] and kinds.get(w) != THREAT else kinds.get(w, INSULT) for w in own], _KIND)
         tables[k] = (h[o], kind[o] if len(own) else kind, np.array([learned[k].get(w, 0.0) for w in own])[o] if len(own) else np.zeros(0))
 
+    nxt, factor = grammar()
+
+    def rate(data: np.ndarray, off: np.ndarray):
+        n = len(off) - 1
+        total, clauses = np.zeros(n), np.zeros(n, np.int64)
+        low, s, e, doc, clause = letters(data, off)
+        h = hash_spans(low, s, e)
+        kind, weight = np.zeros(len(s), _KIND), np.zeros(len(s))
+        for k, who, hk in [(0, np.arange(len(s)), h), *_stem_hashes(low, s, e)]:
+            th, tk, tw = tables[k]
+            if not len(th) or not len(hk):
+                continue
+            at = np.minimum(np.searchsorted(th, hk), len(th) - 1)
+            hit = np.flatnonzero(th[at] == hk)
+            if k:
+                hit = hit[tw[at[hit]] > weight[who[hit]]]
+            kind[who[hit]], weight[who[hit]] = tk[at[hit]], tw[at[hit]]
+        # clauses as runs of equal (text, clause); those with an insult or a threat are walked
+        new = np.ones(len(s), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (clause[1:] != clause[:-1])
+        first = np.r_[np.flatnonzero(new), len(s)]
+        hot = np.unique(np.searchsorted(first, np.flatnonzero((kind == INSULT) | (kind == THREAT)), side="right") - 1)
+        best: dict = {}
+        for c in hot.tolist():
+            state, a, z = 0, int(first[c]), int(first[c + 1])
+            d = int(doc[a])
+            for x, (what, w) in enumerate(zip(kind[a:z].tolist(), weight[a:z].tolist()), a):
+                if w > 0:
+                    word = (d, int(h[x]))
+                    best[word] = max(best.get(word, 0.0), w * factor[state, what])
+                state = nxt[state, what]
+            clauses[d] += 1
+        for (d, _), x in best.items():
+            total[d] += x
+        return 1 / (1 + np.exp(-np.clip(BIAS + total, -30, 30))), clauses
+
+    return rate
+
+
+def score(docs: DataFrame, lexicon: list[tuple[str, int, float]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, score, clauses): score from 0 to 1 and the number of matched clauses of every whole text."""
+
     def run(batches):
-        nxt, factor = grammar()
+        rate = _scorer(lexicon)
         for b in batches:
             for i, data, off in text_chunks(b, text_col):
-                n = len(off) - 1
-                total, clauses = np.zeros(n), np.zeros(n, np.int64)
-                low, s, e, doc, clause = letters(data, off)
-                h = hash_spans(low, s, e)
-                kind, weight = np.zeros(len(s), _KIND), np.zeros(len(s))
-                for k, who, hk in [(0, np.arange(len(s)), h), *_stem_hashes(low, s, e)]:
-                    th, tk, tw = tables[k]
-                    if not len(th) or not len(hk):
-                        continue
-                    at = np.minimum(np.searchsorted(th, hk), len(th) - 1)
-                    hit = np.flatnonzero(th[at] == hk)
-                    if k:
-                        hit = hit[tw[at[hit]] > weight[who[hit]]]
-                    kind[who[hit]], weight[who[hit]] = tk[at[hit]], tw[at[hit]]
-                hot = np.flatnonzero((kind == INSULT) | (kind == THREAT))
-                best: dict = {}
-                seen = set()
-                for w in hot.tolist():
-                    key = (int(doc[w]), int(clause[w]))
-                    if key in seen:
-                        continue
-                    seen.add(key)
-                    a = w
-                    while a > 0 and w - a < 64 and doc[a - 1] == doc[w] and clause[a - 1] == clause[w]:
-                        a -= 1
-                    state, x = 0, a
-                    while x < len(s) and doc[x] == doc[w] and clause[x] == clause[w]:
-                        c = int(kind[x])
-                        if weight[x] > 0:
-                            word = (key[0], int(h[x]))
-                            best[word] = max(best.get(word, 0.0), weight[x] * factor[state, c])
-                        state = nxt[state, c]
-                        x += 1
-                    clauses[key[0]] += 1
-                for (d, _), x in best.items():
-                    total[d] += x
-                p = 1 / (1 + np.exp(-np.clip(BIAS + total, -30, 30)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, n), pa.array(p), pa.array(clauses)], ["id", "score", "clauses"])
+                p, clauses = rate(data, off)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, len(p)), pa.array(p), pa.array(clauses)], ["id", "score", "clauses"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias(text_col)).mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, score double, clauses long")
+
+
+def keep(docs: DataFrame, lexicon: list[tuple[str, int, float]], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """Rows of ``docs`` that score below the threshold, with all their columns; nothing is shuffled."""
+
+    def run(batches):
+        rate = _scorer(lexicon)
+        for b in batches:
+            for i, data, off in text_chunks(b, text_col):
+                p, _ = rate(data, off)
+                yield b.slice(i, len(p)).filter(pa.array(p < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
