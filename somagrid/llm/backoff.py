@@ -202,7 +202,7 @@ def scores(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col
             used[hit] = k
         log = log + (reach - used) * np.log(ALPHA)
         doc = np.repeat(np.arange(len(block.sizes)), block.sizes)
-        total = np.bincount(doc, log, len(block.sizes))
+        total = np.bincount(doc, log, len(block.sizes)).astype(float)
         return pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(block.sizes), pa.array(total)], ["doc_id", "n_words", "log_score"])
 
     return _told(rows, order + 1, parts, final, "doc_id long, n_words long, log_score double")
