@@ -58,9 +58,10 @@ def match(docs: DataFrame, templates: dict[str, str] = TEMPLATES, dice: float =
     units = F.when(text.rlike(hint), F.array_distinct(F.concat(lines, F.array(text))))
     best = F.transform(units, lambda u: _best(u, grams, ratio, dice, least, most))
     hits = F.filter(best, lambda x: x.isNotNull())
-    top = F.array_min(F.transform(hits, lambda x: F.struct((-x["dice"]).alias("d"), x["licence"].alias("licence"))))
-    return docs.select(F.col(id_col).alias("doc_id"), hits.alias("_h"), top.alias("_t")).select(
-        "doc_id", F.col("_t.licence").alias("licence"), (-F.col("_t.d")).alias("dice"), F.coalesce(F.size("_h"), F.lit(0)).cast("long").alias("n_units"))
+    top = F.array_min(F.transform("_h", lambda x: F.struct((-x["dice"]).alias("d"), x["licence"].alias("licence"))))
+    found = docs.select(F.col(id_col).alias("doc_id"), hits.alias("_h"))  # used more than once below, so computed once here
+    return found.select("doc_id", top.alias("_t"), F.coalesce(F.size("_h"), F.lit(0)).cast("long").alias("n_units")).select(
+        "doc_id", F.col("_t.licence").alias("licence"), (-F.col("_t.d")).alias("dice"), "n_units")
 
 
 def hint_words(words: list[str], ratio: float) -> set[str]:
