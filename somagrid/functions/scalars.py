@@ -93,18 +93,22 @@ def layer_filter(df: DataFrame, layer: str, on: str = "names") -> DataFrame:
     return df.filter(F.col(on).contains(layer))
 
 
-# The cortical layers in order, and the form of a layer name.
+# The cortical layers in order.
 LAYERS = ["L1", "L2/3", "L4", "L5", "L6a", "L6b"]
-LAYER_NAME = r"(?i)^(.*?)(?:,\s*|\s+)layer\s*(\d(?:/\d)?[a-z]?)$"
 
 
 def parse_layer(df: DataFrame, on: str = "names", layers=LAYERS) -> DataFrame:
-    """Split '<macro region> layer <token>'; names without a known layer are dropped."""
+    """Split a name at its last word "layer": before it the macro region, after it a token of ``layers``.
+
+    Names without a listed token, or without a blank or comma before the word, are dropped."""
+    low = F.lower(on)
+    token = F.trim(F.substring_index(low, "layer", -1))
+    before = F.expr(f"left(`{on}`, length(`{on}`) - length(substring_index(lower(`{on}`), 'layer', -1)) - length('layer'))")
     order = F.array_position(F.array(*[F.lit(v) for v in layers]), F.col("layer"))
+    named = df.filter(low.contains("layer")).withColumn("_before", before).withColumn("macro", F.expr("trim(TRAILING ', ' FROM _before)"))
     return (
-        df.withColumn("macro", F.trim(F.regexp_extract(on, LAYER_NAME, 1)))
-        .withColumn("layer", F.concat(F.lit("L"), F.lower(F.regexp_extract(on, LAYER_NAME, 2))))
-        .withColumn("layer_order", order).filter("layer_order > 0")
+        named.filter(F.col("macro") != F.col("_before")).drop("_before").withColumn("macro", F.trim("macro"))
+        .withColumn("layer", F.concat(F.lit("L"), token)).withColumn("layer_order", order).filter("layer_order > 0")
     )
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import functools
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from somagrid.functions.probability import normal_two_sided, t_pvalue
+from somagrid.functions.probability import normal_two_sided, t_log_pvalue, t_pvalue
 from somagrid.operators.ordered import DISTINCT_LIMIT, average_ranks, suffix_min, value_ranks
 
 
@@ -40,7 +42,9 @@ def _t_columns(a: DataFrame) -> DataFrame:
     pooled = F.try_divide((n1 - 1) * F.col("_v1") + (n2 - 1) * F.col("_v2"), dfree)
     t = F.try_divide(F.col("mean_x1") - F.col("mean_x2"), F.sqrt(pooled * (F.try_divide(F.lit(1.0), n1) + F.try_divide(F.lit(1.0), n2))))
     a = a.withColumn("t", t).withColumn("df", dfree)
-    return a.withColumn("p_val", t_pvalue(F.col("t"), F.col("df"))).drop("_v1", "_v2")
+    # groups without any spread and with different means: t is beyond all bounds and p is 0
+    apart = (pooled == 0) & (F.col("mean_x1") != F.col("mean_x2"))
+    return a.withColumn("p_val", F.when(apart, 0.0).otherwise(t_pvalue(F.col("t"), F.col("df")))).drop("_v1", "_v2")
 
 
 def ttest(df: DataFrame, keys: list[str], group: str, value: str, g1, g2) -> DataFrame:
@@ -60,7 +64,7 @@ def volcano(df: DataFrame, by: str, g1, g2, value: str = "density_w", max_level:
     a = (
         a.withColumn("fold_change", F.try_divide("mean_x2", "mean_x1")).withColumn("abs_change", F.col("mean_x2") - F.col("mean_x1"))
         .withColumn("log2fold", pos("mean_x2") - pos("mean_x1"))
-        .withColumn("neg_log10_p", F.when(F.col("p_val") > 0, -F.log10("p_val")))
+        .withColumn("neg_log10_p", -t_log_pvalue(F.col("t"), F.col("df")) / math.log(10))
     )
     sure = F.col("p_val") < p_limit
     return a.withColumn(

@@ -17,7 +17,7 @@ def t_sql(t: str, df: str) -> str:
            f"exp(k * ln(4) + 2 * lgamma(k + 1) - lgamma(2 * k + 2)) * pow(cos({th}), 2 * k + 1))), 0)))")
     even = (f"(sin({th}) * list_sum(list_transform(range(0, {df} // 2), lambda k: "
             f"exp(lgamma(2 * k + 1) - k * ln(4) - 2 * lgamma(k + 1)) * pow(cos({th}), 2 * k))))")
-    return f"CASE WHEN {df} < 1 THEN NULL WHEN {df} % 2 = 1 THEN greatest(0, 1 - {odd}) ELSE greatest(0, 1 - {even}) END"
+    return f"CASE WHEN {df} < 1 OR {t} IS NULL THEN NULL WHEN {df} % 2 = 1 THEN greatest(0, 1 - {odd}) ELSE greatest(0, 1 - {even}) END"
 
 
 def z_sql(z: str) -> str:

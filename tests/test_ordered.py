@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from somagrid.functions.probability import normal_two_sided, t_pvalue
+from somagrid.functions.probability import normal_two_sided, t_log_pvalue, t_pvalue
 from somagrid.operators import ordered as O, stats as Q, tracks as T
 
 
@@ -99,6 +99,18 @@ def test_t_pvalue(spark):
         assert abs(r["p"] - _t_tail(abs(r["t"]), r["n"])) < 1e-9, r
 
 
+def test_t_far_tails(spark):
+    """Relative error far out, where the series 1 - area has no digits left."""
+    want = {(30.0, 20): 4.2e-18, (60.0, 30): 8.3e-33}
+    rows = spark.createDataFrame(list(want), "t double, n int").select("t", "n", t_pvalue(F.col("t"), F.col("n")).alias("p"), t_log_pvalue(F.col("t"), F.col("n")).alias("lp")).collect()
+    for r in rows:
+        assert abs(r["p"] / want[r["t"], r["n"]] - 1) < 0.02 and abs(np.exp(r["lp"]) / r["p"] - 1) < 1e-9, r
+    # closed forms for 1 and 2 degrees of freedom
+    t = 1e6
+    one, two = spark.createDataFrame([(t, 1), (t, 2)], "t double, n int").select(t_pvalue(F.col("t"), F.col("n")).alias("p")).collect()
+    assert abs(one["p"] / (2 / np.pi * np.arctan(1 / t)) - 1) < 1e-10 and abs(two["p"] * t * t - 1) < 1e-9
+
+
 def test_normal(spark):
     from math import erfc, sqrt
 
