@@ -35,12 +35,13 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return moved.union(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
 
-def connected(edges: DataFrame, nodes: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, component): component is the smallest id in it.
 
     Alternating large-star and small-star steps (Kiveris et al. 2014) until the
     edge set stops changing; each round is written once to the checkpoint
-    folder and checked by row count and hash sum observed during the write.
+    folder and checked by row count and hash sums observed during the write.  Ids
+    may be of any type that has an order.
     """
     canon = edges.filter("src <> dst").select(
         F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")
@@ -49,22 +50,17 @@ def connected(edges: DataFrame, nodes: DataFrame, max_rounds: int = 60) -> DataF
     def write(e: DataFrame):
         seen = Observation()
         mark = F.bit_xor(F.xxhash64("u", "v"))
-        t = cut(e.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.col("v").cast("decimal(38,0)")).alias("s"), mark.alias("x")))
+        t = cut(e.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("v").cast("decimal(38,0)")).alias("s"), mark.alias("x")))
         got = seen.get
         return t, (got["n"], got["s"], got["x"])
 
     cur, mark = write(canon)
-    for _ in range(max_rounds):
-        if mark[0] == 0:
-            break
+    same = mark[0] == 0
+    while not same:
         nxt, new = write(_stars(_stars(cur, True), False))
         release(cur)
         cur, same = nxt, new == mark
         mark = new
-        if same:
-            break
-    else:
-        raise RuntimeError("components did not settle")
     return nodes.select("id").join(cur.select(F.col("u").alias("id"), F.col("v").alias("_m")), "id", "left").select(
         "id", F.coalesce("_m", "id").alias("component")
     )

@@ -7,20 +7,20 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-SHARDS = 64
-
-
-def grouped(df: DataFrame, keys: list[str], partial: Callable, partial_schema: str, final: Callable, schema: str,
-            shards: int = SHARDS) -> DataFrame:
+def grouped(df: DataFrame, keys: list[str], partial: Callable, partial_schema: str, final: Callable, schema: str) -> DataFrame:
     """Grouped function in two steps, so that no group sits in one task.
 
-    ``partial`` reduces a shard of a group to a few rows (frame in, frame out),
-    ``final`` combines the reduced rows of the group.  Prefer built-in
-    aggregates where they can say the same.
+    ``partial`` reduces the rows that a group has in one Arrow batch to a few
+    (frame in, frame out) before anything is shuffled, ``final`` combines the
+    reduced rows of the group.  Prefer built-in aggregates where they can say
+    the same.
     """
-    parts = df.withColumn("_shard", F.pmod(F.xxhash64(*df.columns), F.lit(shards)))
-    reduced = parts.groupBy(*keys, "_shard").applyInPandas(lambda pdf: partial(pdf.drop(columns="_shard")), partial_schema)
-    return reduced.groupBy(*keys).applyInPandas(final, schema)
+    def reduce(batches):
+        for pdf in batches:
+            for _, rows in pdf.groupby(keys, dropna=False, sort=False):
+                yield partial(rows)
+
+    return df.mapInPandas(reduce, partial_schema).groupBy(*keys).applyInPandas(final, schema)
 
 
 def grouped_stats(df: DataFrame, key: str, value: str) -> DataFrame:

@@ -5,20 +5,18 @@ group along its order column first:
 
 * integer order columns that are unique per group (frames, slices, positions)
   are cut into fixed-width bins, so a bin holds at most ``width`` rows;
-* value columns are reduced to ``(group, value, n)`` first; if some group
-  still has more than ``limit`` distinct values, it is cut at splitters taken
-  from a hash sample, and small per-bin totals carry the running counts over.
+* value columns are reduced to ``(group, value, n)`` first; that table is cut
+  into sorted ranges, whose number follows its size, and small per-range totals
+  carry the running counts over.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from somagrid.session import cut
+from somagrid.session import cut, release
 
-DISTINCT_LIMIT = 1_000_000
-SAMPLE = 16_384
-BINS = 256
+RANGE_ROWS = 1_000_000
 FRAME_WIDTH = 262_144
 ALL = "_all"
 
@@ -30,60 +28,34 @@ def _same(a: str, b: str, keys: list[str]) -> Column:
     return cond
 
 
-def _bin_values(tab: DataFrame, keys: list[str], value: str, limit: int) -> DataFrame:
-    """Add ``_bin``, rising with ``value``; groups under ``limit`` keep one bin.
-
-    The splitters depend on the stored rows only (hash sample, sorted), so
-    every evaluation of the plan gives the same bins.
-    """
-    size = tab.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    hot = size.filter(F.col("_size") > limit)
-    step = F.greatest(F.lit(1), (F.col("_size") / SAMPLE).cast("bigint"))
-    sample = (
-        tab.alias("t")
-        .join(hot.alias("h"), _same("t", "h", keys))
-        .filter(F.pmod(F.xxhash64(F.col(f"t.{value}")), step) == 0)
-        .groupBy(*[F.col(f"t.{k}").alias(k) for k in keys])
-        .agg(F.sort_array(F.collect_list(F.col(f"t.{value}"))).alias("_s"))
-    )
-    every = F.greatest(F.lit(1), (F.size("_s") / BINS).cast("int"))
-    splitters = sample.select(*keys, F.filter("_s", lambda v, i: i % every == 0).alias("_s"))
-    place = lambda arr: F.coalesce(F.size(F.filter(arr, lambda v: v < F.col(value))), F.lit(0))
-    if keys == [ALL]:  # one group: one short array, no join on a constant
-        return tab.withColumn("_sp", splitters.select("_s").scalar()).withColumn("_bin", F.greatest(place(F.col("_sp")), F.lit(0))).drop("_sp")
-    j = tab.alias("t").join(splitters.alias("s"), _same("t", "s", keys), "left").select("t.*", "s._s")
-    return j.withColumn("_bin", F.greatest(place(F.col("_s")), F.lit(0))).drop("_s")
-
-
 def value_ranks(
     df: DataFrame,
     keys: list[str],
     value: str,
     sums: dict[str, Column] | None = None,
-    limit: int = DISTINCT_LIMIT,
+    limit: int = RANGE_ROWS,
 ) -> DataFrame:
     """Distinct values per group with counts and running counts.
 
     Gives ``keys, value, n, before`` (rows with a smaller value), ``_bin`` and,
     for each entry of ``sums``, a further total per distinct value.  NULL values
-    are left out.
+    are left out, NULL keys are a group.  ``_bin`` rises with the value: it is the
+    range partition of ``(keys, value)``, about ``limit`` rows long at most, and
+    is written down so that no later evaluation can draw other bounds.
     """
     one = not keys
     if one:
         df, keys = df.withColumn(ALL, F.lit(0)), [ALL]
     aggs = [F.count(F.lit(1)).alias("n")] + [F.sum(e).alias(k) for k, e in (sums or {}).items()]
     tab = cut(df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(*aggs))
-    largest = tab.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0] or 0
-    if largest <= limit:
-        w = W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-        out = tab.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).withColumn("_bin", F.lit(0))
-        return out.drop(ALL) if one else out
-    tab = _bin_values(tab, keys, value, limit)
+    ranges = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-tab.count() // limit))
+    binned = cut(tab.repartitionByRange(ranges, *keys, value).withColumn("_bin", F.spark_partition_id()))
+    release(tab)
     w = W.partitionBy(*keys, "_bin").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    inside = tab.withColumn("_in", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    inside = binned.withColumn("_in", F.coalesce(F.sum("n").over(w), F.lit(0)))
     wb = W.partitionBy(*keys).orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
     starts = (
-        tab.groupBy(*keys, "_bin").agg(F.sum("n").alias("_n"))
+        binned.groupBy(*keys, "_bin").agg(F.sum("n").alias("_n"))
         .withColumn("_start", F.coalesce(F.sum("_n").over(wb), F.lit(0))).drop("_n")
     )
     out = (
@@ -93,6 +65,12 @@ def value_ranks(
     return out.drop(ALL) if one else out
 
 
+def join_ranks(df: DataFrame, ranks: DataFrame, keys: list[str], value: str, out: list[str]) -> DataFrame:
+    """Rows of ``df`` with the columns ``out`` of their ``(keys, value)``; NULL keys match."""
+    on = _same("d", "r", keys) & (F.col(f"d.{value}") == F.col(f"r.{value}"))
+    return df.alias("d").join(ranks.alias("r"), on).select("d.*", *[f"r.{c}" for c in out])
+
+
 def suffix_min(ranked: DataFrame, keys: list[str], value: str, col: str, out: str) -> DataFrame:
     """Smallest ``col`` at this or any larger ``value`` of a :func:`value_ranks` table."""
     w = W.partitionBy(*keys, "_bin").orderBy(value).rowsBetween(0, W.unboundedFollowing)
@@ -100,7 +78,7 @@ def suffix_min(ranked: DataFrame, keys: list[str], value: str, col: str, out: st
     bins = ranked.groupBy(*keys, "_bin").agg(F.min(col).alias("_b"))
     if keys:
         wb = W.partitionBy(*keys).orderBy("_bin").rowsBetween(1, W.unboundedFollowing)
-    else:  # at most BINS + 1 rows
+    else:  # one row per range
         wb = W.partitionBy(F.lit(0)).orderBy("_bin").rowsBetween(1, W.unboundedFollowing)
     later = bins.withColumn("_later", F.min("_b").over(wb)).drop("_b")
     return (
@@ -109,14 +87,14 @@ def suffix_min(ranked: DataFrame, keys: list[str], value: str, col: str, out: st
     )
 
 
-def average_ranks(df: DataFrame, keys: list[str], value: str, out: str = "rank", limit: int = DISTINCT_LIMIT) -> DataFrame:
+def average_ranks(df: DataFrame, keys: list[str], value: str, out: str = "rank", limit: int = RANGE_ROWS) -> DataFrame:
     """Rows of ``df`` with the average rank of ``value`` in the group (ties share)."""
     r = value_ranks(df, keys, value, limit=limit)
     r = r.select(*keys, value, (F.col("before") + (F.col("n") + 1) / 2.0).alias(out))
-    return df.join(r, [*keys, value], "inner")
+    return join_ranks(df, r, keys, value, [out])
 
 
-def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median", limit: int = DISTINCT_LIMIT) -> DataFrame:
+def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median", limit: int = RANGE_ROWS) -> DataFrame:
     """Exact median per group by running counts."""
     r = value_ranks(df, keys, value, limit=limit)
     total = r.groupBy(*keys).agg(F.sum("n").alias("_t"))

@@ -36,14 +36,18 @@ def region_counts(labelled: DataFrame, onto: DataFrame, brains: DataFrame, min_s
     return grid.join(n, ["dataset", "ids"], "left").fillna(0, subset=counts)
 
 
-def region_volume(atlas: DataFrame, res: float = 20.0) -> DataFrame:
-    """mm3 per label, whole and per hemisphere, at ``res`` micrometres."""
-    nz = lambda n: F.nullif(n, F.lit(0))
-    return atlas.filter("label > 0").groupBy(F.col("label").alias("ids")).agg(
-        (F.count(F.lit(1)) * F.lit(res**3) * 1e-9).alias("vol_w"),
-        (nz(F.count_if(F.col("hemisphere") == 1)) * F.lit(res**3) * 1e-9).alias("vol_l"),
-        (nz(F.count_if(F.col("hemisphere") == 2)) * F.lit(res**3) * 1e-9).alias("vol_r"),
-    )
+def region_volume(atlas: DataFrame, res: float = 20.0, counted: bool = False) -> DataFrame:
+    """mm3 per label at ``res`` micrometres: the whole, and half of it for each side.
+
+    With ``counted`` the sides are the voxels of each hemisphere instead, NULL
+    where a side has none.
+    """
+    mm3 = F.lit(res**3)
+    n = atlas.filter("label > 0").groupBy(F.col("label").alias("ids")).agg(
+        F.count(F.lit(1)).alias("_w"), *[F.count_if(F.col("hemisphere") == i).alias(f"_{s}") for i, s in ((1, "l"), (2, "r"))])
+    whole = F.col("_w") * mm3 * 1e-9
+    side = lambda s: F.nullif(F.col(f"_{s}"), F.lit(0)) * mm3 * 1e-9 if counted else whole / 2
+    return n.select("ids", whole.alias("vol_w"), side("l").alias("vol_l"), side("r").alias("vol_r"))
 
 
 def region_density(df: DataFrame, side: Column | None = None) -> DataFrame:

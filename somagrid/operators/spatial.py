@@ -8,6 +8,7 @@ them; a crowded place costs one row, not one row per cell.
 from __future__ import annotations
 
 import functools
+import math
 import operator
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -209,25 +210,39 @@ def flat_projection(voxels: DataFrame, lookup: DataFrame, kind: str = "max", val
     return voxels.join(lookup, AXES).groupBy("u", "v").agg(agg(value).alias(value))
 
 
-def dbscan(points: DataFrame, eps: float, min_samples: int, idc: str) -> DataFrame:
+def dbscan(points: DataFrame, eps: float, min_samples: int, idc: str, scale: dict | None = None) -> DataFrame:
     """Density clusters: core points have ``min_samples`` points within ``eps``
     (themselves counted), core points within ``eps`` share a cluster, border
-    points take the smallest cluster id near them, noise gets NULL.
+    points take the smallest cluster near them, noise and points without a
+    position get NULL.  A cluster is named by the smallest ``idc`` at its core
+    positions.  ``scale`` multiplies axes before distances are taken.
 
-    Work runs on distinct positions with counts.
+    Work runs on distinct positions with counts, in cells whose diagonal is at
+    most ``eps``: the core positions of a cell are one node, a cell of
+    ``min_samples`` points is all core, and only links between nodes are written.
     """
-    from somagrid.operators.components import connected, voxel_id
-
-    pos = cut(points.groupBy(*AXES).agg(F.count(F.lit(1)).alias("_n")).withColumn("_id", voxel_id()))
-    near = bucket_join(pos, pos, eps).select(F.col("a._id").alias("src"), F.col("b._id").alias("dst"), F.col("b._n").alias("n"))
-    near = cut(near)
-    core = cut(near.groupBy("src").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_samples).select(F.col("src").alias("id")))
-    edges = near.join(core.withColumnRenamed("id", "src"), "src", "left_semi").join(core.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    comp = cut(connected(edges.select("src", "dst"), core))
-    border = (
-        near.join(comp.withColumnRenamed("id", "dst"), "dst").join(core.withColumnRenamed("id", "src"), "src", "left_anti")
-        .groupBy(F.col("src").alias("id")).agg(F.min("component").alias("component"))
-    )
-    lab = comp.unionByName(border).select(F.col("id").alias("_id"), F.col("component").alias("cluster"))
-    at = pos.join(lab, "_id", "left").select(*AXES, "cluster")
-    return points.join(at, AXES).select(idc, "cluster")
+    from somagrid.operators.components import connected
+
+    for a, f in (scale or {}).items():
+        points = points.withColumn(a, F.col(a) * F.lit(float(f)))
+    place = functools.reduce(operator.and_, [F.col(a).isNotNull() for a in AXES])
+    edge = float(eps) / math.sqrt(3) * (1 - 1e-9)
+    cell = [f"_c{a}" for a in AXES]
+    pos = points.filter(place).groupBy(*AXES).agg(F.count(F.lit(1)).alias("_n"), F.min(idc).alias("_id")).select(
+        "*", *[F.floor(F.col(a) / F.lit(edge)).alias(c) for a, c in zip(AXES, cell)])
+    pos = cut(pos)
+    full = pos.groupBy(*cell).agg(F.sum("_n").alias("_full")).filter(F.col("_full") >= min_samples)
+    pos = cut(pos.join(full, cell, "left"))
+    sparse = pos.filter("_full IS NULL")
+    near = bucket_join(sparse.select(*AXES, "_id"), pos.select(*AXES, "_n"), eps).groupBy(F.col("a._id").alias("_id")).agg(F.sum("b._n").alias("_m"))
+    lone = near.filter(F.col("_m") >= min_samples).select("_id")
+    core = cut(pos.filter("_full IS NOT NULL").drop("_full").unionByName(sparse.drop("_full").join(lone, "_id", "left_semi").select(*AXES, "_n", "_id", *cell)))
+    core = cut(core.join(core.groupBy(*cell).agg(F.min("_id").alias("_node")), cell).select(*AXES, "_id", "_node"))
+    links = bucket_join(core.select(*AXES, "_node"), core.select(*AXES, "_node"), eps).filter("a._node < b._node").select(
+        F.col("a._node").alias("src"), F.col("b._node").alias("dst")).distinct()
+    comp = connected(cut(links), core.select(F.col("_node").alias("id")).distinct())
+    core = cut(core.join(comp.withColumnRenamed("id", "_node"), "_node").select(*AXES, "_id", F.col("component").alias("cluster")))
+    rest = sparse.join(core.select("_id"), "_id", "left_anti").select(*AXES, "_id")
+    border = bucket_join(rest, core, eps).groupBy(F.col("a._id").alias("_id")).agg(F.min("b.cluster").alias("cluster"))
+    border = rest.join(border, "_id").select(*AXES, "cluster")
+    return points.join(core.select(*AXES, "cluster").unionByName(border), AXES, "left").select(idc, "cluster")

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from somagrid.functions.probability import normal_two_sided, t_log_pvalue, t_pvalue
-from somagrid.operators.ordered import DISTINCT_LIMIT, average_ranks, suffix_min, value_ranks
+from somagrid.operators.ordered import RANGE_ROWS, average_ranks, suffix_min, value_ranks
 
 
 def sem(c: str) -> Column:
@@ -27,12 +27,20 @@ def join_on(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") ->
 
 
 # ---------------------------------------------------------------- t-test
-def _two_groups(df: DataFrame, keys: list[str], group: str, value: str, g1, g2, more: list[Column] = ()) -> DataFrame:
-    v = F.col(value).cast("double")
+def _two_groups(df: DataFrame, keys: list[str], group: str, value: str, g1, g2, more: list[Column] = (), missing: str = "none") -> DataFrame:
+    """Counts, means and variances of two groups.  A missing value leaves a group
+    without variance (``missing="none"``, so no t and no p) or is passed over
+    (``missing="skip"``)."""
+    v = F.nanvl(F.col(value).cast("double"), F.lit(None))
     parts = []
     for i, g in ((1, g1), (2, g2)):
         x = F.when(F.col(group) == g, v)
-        parts += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"mean_x{i}"), F.var_samp(x).alias(f"_v{i}")]
+        var = F.var_samp(x)
+        if missing == "none":
+            var = F.when(F.count_if((F.col(group) == g) & v.isNull()) == 0, var)
+        elif missing != "skip":
+            raise ValueError("missing is 'none' or 'skip'")
+        parts += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"mean_x{i}"), var.alias(f"_v{i}")]
     return df.groupBy(*keys).agg(*parts, *more)
 
 
@@ -47,19 +55,21 @@ def _t_columns(a: DataFrame) -> DataFrame:
     return a.withColumn("p_val", F.when(apart, 0.0).otherwise(t_pvalue(F.col("t"), F.col("df")))).drop("_v1", "_v2")
 
 
-def ttest(df: DataFrame, keys: list[str], group: str, value: str, g1, g2) -> DataFrame:
-    """Two-sample t-test with equal variances, two sided, per key."""
-    return _t_columns(_two_groups(df, keys, group, value, g1, g2))
+def ttest(df: DataFrame, keys: list[str], group: str, value: str, g1, g2, missing: str = "none") -> DataFrame:
+    """Two-sample t-test with equal variances, two sided, per key.  A key with a
+    missing value in a group has no p unless ``missing`` is ``"skip"``."""
+    return _t_columns(_two_groups(df, keys, group, value, g1, g2, missing=missing))
 
 
 def volcano(df: DataFrame, by: str, g1, g2, value: str = "density_w", max_level: int = 9, p_limit: float = 0.01,
-            fold_limit: float = 0.3, keys=("ids", "acronym")) -> DataFrame:
+            fold_limit: float = 0.3, keys=("ids", "acronym"), missing: str = "none") -> DataFrame:
     """Per region: group means, fold, difference, log2 fold of the means, p, class.
 
-    Regions below ``max_level`` and regions without any value are left out.
+    Regions below ``max_level`` and regions without any value are left out; a
+    missing value in a group is treated as in :func:`ttest`.
     """
     d = df.filter(F.col("st_level") <= max_level)
-    a = _t_columns(_two_groups(d, list(keys), by, value, g1, g2, [F.count(value).alias("_any")])).filter("_any > 0").drop("_any")
+    a = _t_columns(_two_groups(d, list(keys), by, value, g1, g2, [F.count(value).alias("_any")], missing)).filter("_any > 0").drop("_any")
     pos = lambda c: F.when(F.col(c) > 0, F.log2(c))
     a = (
         a.withColumn("fold_change", F.try_divide("mean_x2", "mean_x1")).withColumn("abs_change", F.col("mean_x2") - F.col("mean_x1"))
@@ -95,7 +105,7 @@ def pearson(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     return a.withColumn("r", _clip(F.col("r"))).withColumn("p_val", F.when(F.col("r").isNotNull(), r_pvalue(F.col("r"), F.col("n"))))
 
 
-def spearman(df: DataFrame, keys: list[str], x: str, y: str, limit: int = DISTINCT_LIMIT) -> DataFrame:
+def spearman(df: DataFrame, keys: list[str], x: str, y: str, limit: int = RANGE_ROWS) -> DataFrame:
     """Spearman rho per key with average ranks for ties."""
     d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
     r = average_ranks(average_ranks(d, keys, x, "_rx", limit), keys, y, "_ry", limit)
@@ -115,7 +125,7 @@ def linfit(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
 
 
 # -------------------------------------------------------------- rank test
-def mannwhitney(df: DataFrame, keys: list[str], group: str, value: str, g1, g2, limit: int = DISTINCT_LIMIT,
+def mannwhitney(df: DataFrame, keys: list[str], group: str, value: str, g1, g2, limit: int = RANGE_ROWS,
                 exact: bool = False) -> DataFrame:
     """Mann-Whitney U of the first group, two sided: normal approximation with
     tie term and continuity correction.
@@ -166,7 +176,7 @@ def _exact_u(small: pd.Series, large: pd.Series, far: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(u) else tail(int(m), int(n), u) for m, n, u in zip(small, large, far)], dtype="float64")
 
 
-def bh_adjust(df: DataFrame, p: str, out: str = "p_adj", limit: int = DISTINCT_LIMIT) -> DataFrame:
+def bh_adjust(df: DataFrame, p: str, out: str = "p_adj", limit: int = RANGE_ROWS) -> DataFrame:
     """Benjamini-Hochberg over all rows; a missing p counts as 1."""
     d = df.withColumn("_p", F.coalesce(F.nanvl(F.col(p), F.lit(1.0)), F.lit(1.0)))
     r = value_ranks(d.select("_p"), [], "_p", limit=limit)

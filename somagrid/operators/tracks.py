@@ -11,7 +11,7 @@ import operator
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from somagrid.operators.ordered import neighbour_row, value_ranks
+from somagrid.operators.ordered import join_ranks, neighbour_row, value_ranks
 from somagrid.session import cut, spread
 
 AXES = ["z", "y", "x"]
@@ -20,7 +20,7 @@ AXES = ["z", "y", "x"]
 def row_index(df: DataFrame, keys: list[str], order: str, out: str = "idx") -> DataFrame:
     """Dense position of each row in its group by a unique order column."""
     r = value_ranks(df, keys, order)
-    return df.join(r.select(*keys, order, F.col("before").alias(out)), [*keys, order])
+    return join_ranks(df, r.withColumnRenamed("before", out), keys, order, [out])
 
 
 def track_edges(spots: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ import operator
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from somagrid.operators.components import label_components, offsets
-from somagrid.operators.ordered import value_ranks
+from somagrid.operators.ordered import join_ranks, value_ranks
 from somagrid.session import cut, release, spread
 
 AXES = ["z", "y", "x"]
@@ -174,7 +174,7 @@ def renumber(objects: DataFrame, tile: list[str], label: str = "label", out: str
     Numbers are running counts over the distinct labels, so one tile (or none)
     may hold any number of labels."""
     names = value_ranks(objects.select(*tile, label).distinct(), tile, label)
-    return objects.join(names.select(*tile, label, (F.col("before") + 1).alias(out)), [*tile, label])
+    return join_ranks(objects, names.withColumn(out, F.col("before") + 1), tile, label, [out])
 
 
 # ------------------------------------------------------------ morphology
@@ -524,14 +524,16 @@ def slab_snr(voxels: DataFrame, depth: int = 33, value: str = "value", threshold
 
 
 def smooth(voxels: DataFrame, sigma: float, bounds: dict, value: str = "value", truncate: float = 4.0) -> DataFrame:
-    """Gaussian smoothing, one pass per axis, mirrored at the volume edge."""
+    """Gaussian smoothing, one pass per axis, mirrored at the volume edge (as often
+    as the kernel is longer than the axis)."""
     r = int(truncate * sigma + 0.5)
     raw = [math.exp(-0.5 * (i / sigma) ** 2) for i in range(-r, r + 1)]
     kernel = F.from_json(F.lit(json.dumps([{"o": i - r, "w": w / sum(raw)} for i, w in enumerate(raw)])), "array<struct<o:int,w:double>>")
     cur = voxels.select(*AXES, F.col(value).cast("double").alias(value))
     for a in AXES:
         n = bounds[a]
-        images = F.array(F.col(a), -1 - F.col(a), 2 * n - 1 - F.col(a))
+        turns = range(-(r // (2 * n)) - 1, r // (2 * n) + 2)
+        images = F.array(*[p + 2 * n * k for k in turns for p in (F.col(a), -1 - F.col(a))])
         near = F.filter(images, lambda p: p.between(-r, n - 1 + r))
         s = cur.withColumn("_p", F.explode(near)).withColumn("_k", F.explode(kernel))
         s = s.select(*[(F.col("_p") + F.col("_k.o")).alias(c) if c == a else F.col(c) for c in AXES], (F.col(value) * F.col("_k.w")).alias(value))

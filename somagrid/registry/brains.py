@@ -54,6 +54,14 @@ def region_volume(spark, d):
     return R.region_volume(D.atlas(spark, d), D.RES)
 
 
+@query("region_volume_by_side", """
+  SELECT label AS ids, count(*) * 15625.0::DOUBLE AS um3_w, nullif(count(*) FILTER (hemisphere = 1), 0) * 15625.0::DOUBLE AS um3_l,
+         nullif(count(*) FILTER (hemisphere = 2), 0) * 15625.0::DOUBLE AS um3_r FROM atlas WHERE label > 0 GROUP BY label""", "atlas")
+def region_volume_by_side(spark, d):
+    v = R.region_volume(D.atlas(spark, d), D.RES, counted=True)
+    return v.select("ids", *[F.round(F.col(f"vol_{s}") * 1e9, 3).alias(f"um3_{s}") for s in "wlr"])
+
+
 @query("region_density", """
   SELECT r.dataset, r.ids, round(num_l / nullif(vol_l, 0), 6) AS density_l, round(num_r / nullif(vol_r, 0), 6) AS density_r,
          round(CASE WHEN b.sex = 'M' THEN num_l / nullif(vol_l, 0) ELSE num_w / nullif(vol_w, 0) END, 6) AS density_w,

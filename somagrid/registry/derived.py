@@ -184,8 +184,7 @@ SQL["region_counts_t"] = ("labelled ontology brains", """
   GROUP BY b.dataset, o.ids""")
 SQL["region_volume_t"] = ("atlas", """
   SELECT label AS ids, count(*) * 15625 * 1e-9 AS vol_w,
-         nullif(count(*) FILTER (hemisphere = 1), 0) * 15625 * 1e-9 AS vol_l,
-         nullif(count(*) FILTER (hemisphere = 2), 0) * 15625 * 1e-9 AS vol_r
+         count(*) * 15625 * 1e-9 / 2 AS vol_l, count(*) * 15625 * 1e-9 / 2 AS vol_r
   FROM atlas WHERE label > 0 GROUP BY label""")
 # pooled table: exclusions applied, rolled up from the deepest level, densities
 SQL["kept"] = ("region_counts_t region_volume_t exclusions closure ontology", """

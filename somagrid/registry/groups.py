@@ -43,6 +43,24 @@ def ttest(spark, d):
     return Q.ttest(D.samples(spark, d), ["region"], "grp", "value", "F", "O")
 
 
+GAPS = """
+  SELECT region, count(v) FILTER (grp = 'F') AS n1, count(v) FILTER (grp = 'O') AS n2, avg(v) FILTER (grp = 'F') AS mean_x1,
+         avg(v) FILTER (grp = 'O') AS mean_x2, var_samp(v) FILTER (grp = 'F') AS v1, var_samp(v) FILTER (grp = 'O') AS v2,
+         count(*) FILTER (grp IN ('F', 'O') AND v IS NULL) AS gaps
+  FROM (SELECT region, grp, CASE WHEN value > (SELECT quantile_disc(value, 0.001) FROM samples) THEN value END AS v FROM samples) GROUP BY region"""
+GAPS_T = f"""SELECT *, n1 + n2 - 2 AS df, (mean_x1 - mean_x2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1.0 / n1 + 1.0 / n2)) AS t FROM ({GAPS})"""
+
+
+@query("ttest_with_gaps", f"""
+  SELECT region, n1, n2, CASE WHEN gaps = 0 THEN round({t_sql('t', 'df')}, 6) END AS p_val, round({t_sql('t', 'df')}, 6) AS p_skip FROM ({GAPS_T})""", "samples")
+def ttest_with_gaps(spark, d):
+    s = D.samples(spark, d)
+    low = s.agg(F.expr("percentile_disc(0.001) WITHIN GROUP (ORDER BY value)")).scalar()
+    s = s.withColumn("v", F.when(F.col("value") > low, F.col("value")))
+    skip = Q.ttest(s, ["region"], "grp", "v", "F", "O", missing="skip").select("region", F.col("p_val").alias("p_skip"))
+    return Q.ttest(s, ["region"], "grp", "v", "F", "O").select("region", "n1", "n2", "p_val").join(skip, "region")
+
+
 @query("ttest_adjusted", f"""
   WITH t AS ({TTEST}),
        r AS (SELECT region, p_val, p_val * count(*) OVER () / row_number() OVER (ORDER BY p_val) AS q FROM t)
@@ -56,7 +74,8 @@ def ttest_adjusted(spark, d):
 @query("volcano", f"""
   WITH g AS (SELECT ids, acronym, count(density_w) FILTER (exp = 'P60') AS n1, count(density_w) FILTER (exp = 'Cuprizone') AS n2,
        avg(density_w) FILTER (exp = 'P60') AS x1, avg(density_w) FILTER (exp = 'Cuprizone') AS x2,
-       var_samp(density_w) FILTER (exp = 'P60') AS v1, var_samp(density_w) FILTER (exp = 'Cuprizone') AS v2
+       CASE WHEN count(*) FILTER (exp = 'P60' AND density_w IS NULL) = 0 THEN var_samp(density_w) FILTER (exp = 'P60') END AS v1,
+       CASE WHEN count(*) FILTER (exp = 'Cuprizone' AND density_w IS NULL) = 0 THEN var_samp(density_w) FILTER (exp = 'Cuprizone') END AS v2
      FROM pooled WHERE st_level <= 9 GROUP BY ids, acronym HAVING count(density_w) > 0),
    t AS (SELECT *, n1 + n2 - 2 AS df, (x1 - x2) / nullif(sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / nullif(n1 + n2 - 2, 0)
        * (1.0 / nullif(n1, 0) + 1.0 / nullif(n2, 0))), 0) AS t FROM g),

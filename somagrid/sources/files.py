@@ -73,26 +73,29 @@ def read_tracks(spark: SparkSession, path: str, scale: dict | None = None, dims:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text lines with their running number, over any number of read tasks: rows
-    are numbered in each task, and the few per-task counts give the offsets."""
-    raw = spark.read.text(path).withColumn("_id", F.monotonically_increasing_id()).withColumn("file", F.input_file_name())
-    d = cut(raw.select("value", "file", F.shiftright("_id", 33).alias("_part"), F.col("_id").bitwiseAND((1 << 33) - 1).alias("_row")))
-    n = d.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    off = n.withColumn("_o", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    return d.join(off.select("_part", "_o"), "_part").select("file", "value", (F.col("_row") + F.col("_o")).alias("line"))
+    """Text lines with their running number in their file, over any number of read
+    tasks: a split is one run of rows inside a task, and the few line counts per
+    split, in the order of the splits' places in the file, give the offsets."""
+    raw = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_id"))
+    d = cut(raw)
+    n = d.groupBy("file", "_at").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    before = W.partitionBy("file").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
+    off = n.withColumn("_o", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    return d.join(off, ["file", "_at"]).select("file", "value", (F.col("_id") - F.col("_first") + F.col("_o")).alias("line"))
 
 
 def read_trees(spark: SparkSession, path: str) -> DataFrame:
     """Trace trees kept as row pairs (parents, then original indices): one row per
-    node of each tree."""
+    node of each tree; ``tree`` counts the pairs of a file from 0."""
     # Fixed form: name, a skipped field, three sizes, then the values
     f = F.split("value", ",")
     vals = F.filter(F.transform(F.slice(f, 6, F.greatest(F.size(f) - 5, F.lit(0))), lambda v: v.try_cast("bigint")), lambda v: v.isNotNull())
     d = numbered_lines(spark, path).select(
-        F.expr("line div 2").alias("tree"), (F.col("line") % 2).alias("kind"), F.split(f[0], "\\.tif")[0].alias("name"),
+        "file", F.expr("line div 2").alias("tree"), (F.col("line") % 2).alias("kind"), F.split(f[0], "\\.tif")[0].alias("name"),
         F.slice(f, 3, 3).cast("array<bigint>").alias("size"), F.posexplode(vals).alias("node", "v"))
-    p = d.filter("kind = 0").select("tree", "name", "size", "node", F.col("v").alias("parent"))
-    return p.join(d.filter("kind = 1").select("tree", "node", F.col("v").alias("orig_idx")), ["tree", "node"], "left")
+    p = d.filter("kind = 0").select("file", "tree", "name", "size", "node", F.col("v").alias("parent"))
+    return p.join(d.filter("kind = 1").select("file", "tree", "node", F.col("v").alias("orig_idx")), ["file", "tree", "node"], "left")
 
 
 def read_swc(spark: SparkSession, paths, scale_xy: float = 0.20756792660398113) -> DataFrame:

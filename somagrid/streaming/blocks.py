@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 VOXEL = ["z", "y", "x"]
 
@@ -51,29 +49,22 @@ def latest_counts(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.parquet(out).groupBy("label").agg(F.max_by(F.struct("num", "num_large"), "batch").alias("b")).select("label", "b.*")
 
 
-LINK = "series bigint, frame bigint, dz double, dy double, dx double"
+def stream_tracks(spark: SparkSession, folder: str, schema, out: str, checkpoint: str, files_per_trigger: int | None = None,
+                  late_frames: int | None = None) -> None:
+    """Frame-by-frame links by a stream-stream join on ``(series, frame)``.
 
-
-def _link(key, batches, state: GroupState):
-    """Displacement of one track from the last spot seen to each new one."""
-    rows = pd.concat(list(batches)).sort_values("frame", ignore_index=True)
-    if state.exists:
-        f, z, y, x = state.get
-        rows = pd.concat([pd.DataFrame({"series": [key[0]], "frame": [f], "z": [z], "y": [y], "x": [x]}), rows], ignore_index=True)
-    last = rows.iloc[-1]
-    state.update((int(last["frame"]), float(last["z"]), float(last["y"]), float(last["x"])))
-    d = rows[VOXEL].astype(float).diff().shift(-1)
-    near = rows["frame"].diff().shift(-1) == 1
-    out = pd.DataFrame({"series": rows["series"], "frame": rows["frame"], "dz": d["z"], "dy": d["y"], "dx": d["x"]})[near]
-    if len(out):
-        yield out
-
-
-def stream_tracks(spark: SparkSession, folder: str, schema, out: str, checkpoint: str, files_per_trigger: int | None = None) -> None:
-    """Frame-by-frame links: the state of a track is its last position only, so
-    a frame needs nothing but the one before.  Frames arrive in file order."""
-    s = block_stream(spark, folder, schema, files_per_trigger).select("series", "frame", *VOXEL)
-    links = s.groupBy("series").applyInPandasWithState(
-        _link, LINK, "frame bigint, z double, y double, x double", "append", GroupStateTimeout.NoTimeout)
+    Each spot meets the one of the next frame whichever arrives first, so late
+    frames lose no link, and the rows of one track are spread over all tasks.
+    The state keeps every spot; with ``late_frames`` it forgets spots that are
+    more frames behind the newest, and so would links to frames later than that.
+    """
+    def side(shift: int, prefix: str) -> DataFrame:
+        s = block_stream(spark, folder, schema, files_per_trigger).filter("series IS NOT NULL AND frame IS NOT NULL")
+        s = s.select("series", (F.col("frame") - shift).alias("frame"), *[F.col(c).cast("double").alias(prefix + c) for c in VOXEL])
+        s = s.withColumn("_at", F.timestamp_seconds("frame"))
+        return s if late_frames is None else s.withWatermark("_at", f"{late_frames} seconds")
+
+    links = side(0, "a").join(side(1, "b"), ["series", "frame", "_at"]).select(
+        "series", "frame", *[(F.col(f"b{c}") - F.col(f"a{c}")).alias(f"d{c}") for c in VOXEL])
     _finish(links.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append")
             .trigger(availableNow=True).start(out))
