@@ -12,6 +12,8 @@ import json
 import math
 import operator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from somagrid.operators.components import label_components, offsets
@@ -363,24 +365,60 @@ def merge_groups(touch: DataFrame, group: str, item: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ maps
+def ball_sums(counts: DataFrame, radius: int, shape: dict | None = None, value: str = "_n", block: int = 32) -> DataFrame:
+    """Sum of ``value`` (one row per voxel) in the ball around each voxel, where it is not 0.
+
+    A voxel goes to its block of ``block`` cubed and to those whose halo holds it (about twice in all, not
+    once per step); a block is one array of bounded size, whatever its number of cells, and gives its inside."""
+    kind = dict(counts.dtypes)
+    dealt = counts
+    for a in AXES:
+        own = F.sequence(F.floor((F.col(a) - radius) / block), F.floor((F.col(a) + radius) / block))
+        if shape:  # no blocks outside
+            last = (shape[a] - 1) // block
+            own = F.filter(own, lambda b: b.between(0, last))
+        dealt = dealt.withColumn(f"_b{a}", F.explode(own))
+
+    def run(t: pa.Table) -> pa.Table:
+        low = [t.column(f"_b{a}")[0].as_py() * block for a in AXES]
+        grid = np.zeros((block + 2 * radius,) * 3, np.int64)
+        grid[tuple(t.column(a).to_numpy() - s + radius for a, s in zip(AXES, low))] = t.column(value).to_numpy()
+        along = np.pad(grid.cumsum(axis=2), ((0, 0), (0, 0), (1, 0)))
+        out = np.zeros((block,) * 3, np.int64)
+        for dz in range(-radius, radius + 1):
+            for dy in range(-radius, radius + 1):
+                rest = radius * radius - dz * dz - dy * dy
+                if rest >= 0:
+                    half = math.isqrt(rest)
+                    rows = along[radius + dz:radius + dz + block, radius + dy:radius + dy + block]
+                    out += rows[:, :, radius + half + 1:radius + half + 1 + block] - rows[:, :, radius - half:radius - half + block]
+        at = np.nonzero(out)
+        return pa.table({**{a: v + s for a, v, s in zip(AXES, at, low)}, value: out[at]})
+
+    sums = dealt.groupBy(*[f"_b{a}" for a in AXES]).applyInArrow(run, f"z long, y long, x long, {value} long")
+    return inside(sums.select(*[F.col(a).cast(kind[a]).alias(a) for a in AXES], value), shape)
+
+
 def density_map(cells: DataFrame, atlas: DataFrame, radius: int = 5, res_um: float = 20.0, shape: dict | None = None) -> DataFrame:
     """Cells per mm3 around each atlas voxel: every cell adds 1 to all voxels within
     ``radius``, over the volume of the surrounding cube.
 
-    Cells are counted per voxel first, so crowded voxels cost one kernel.  With
-    a shape, positions past the far side fall on its last voxel (once per
-    cell); positions below 0 are dropped.
+    Cells are counted per voxel first, and the counts are summed in blocks, so
+    crowded voxels cost one row.  With a shape, positions past the far side fall
+    on its last voxel (once per cell); positions below 0 are dropped.  For a cell
+    inside the shape the last voxel is then reached only if it is in the plain
+    ball, so only cells beyond the far side go through single steps.
     """
     n = cells.groupBy(*AXES).agg(F.count(F.lit(1)).alias("_n"))
     ball = footprint("ball", radius)
     if shape:
-        far = functools.reduce(operator.or_, [F.col(a) + radius > s - 1 for a, s in shape.items()])
+        far = functools.reduce(operator.or_, [F.col(a) > s - 1 for a, s in shape.items()])
         capped = n.filter(far).withColumn("_o", F.explode(steps_array(ball))).select(
             F.struct(*AXES).alias("_c"), *[F.least(F.col(a) + F.col(f"_o.{a}"), F.lit(shape[a] - 1)).alias(a) for a in AXES], "_n"
         ).distinct().select(*AXES, "_n")
-        spread = send(n.filter(~far), ball, ["_n"]).unionByName(capped)
+        spread = ball_sums(n.filter(~far), radius, shape).unionByName(capped)
     else:
-        spread = send(n, ball, ["_n"])
+        spread = ball_sums(n, radius)
     scale = 1.0 / (radius * res_um * 0.001 * 2) ** 3
     dens = spread.groupBy(*AXES).agg((F.sum("_n") * F.lit(scale)).alias("density"))
     return dens.join(atlas.filter("label > 0").select(*AXES), AXES, "left_semi")

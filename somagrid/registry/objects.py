@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -154,11 +155,11 @@ def core_halo_match(spark, d):
 
 
 @query("skeleton_degree", f"""
-  WITH v AS (SELECT DISTINCT z, y, x FROM cells WHERE vols > 700), s AS (SELECT z, y, x, z + dz AS nz, y + dy AS ny, x + dx AS nx FROM v, {reach(1)} WHERE abs(dz) + abs(dy) + abs(dx) > 0),
+  WITH v AS (SELECT DISTINCT z, y, x FROM cells), s AS (SELECT z, y, x, z + dz AS nz, y + dy AS ny, x + dx AS nx FROM v, {reach(1)} WHERE abs(dz) + abs(dy) + abs(dx) > 0),
    g AS (SELECT s.z, s.y, s.x, count(w.z) AS degree FROM s LEFT JOIN v w ON w.z = nz AND w.y = ny AND w.x = nx GROUP BY ALL)
   SELECT z, y, x, degree, CASE degree WHEN 0 THEN 'single' WHEN 1 THEN 'end' WHEN 2 THEN 'path' ELSE 'branch' END AS kind FROM g""", "cells")
 def skeleton_degree(spark, d):
-    return V.voxel_degree(D.cells(spark, d).filter("vols > 700"))
+    return V.voxel_degree(D.cells(spark, d))
 
 
 @query("divided_by_structure", f"""
@@ -255,9 +256,9 @@ def detection_scores_large(spark, d):
     return B.detection_scores(D.truth_voxels(spark, d), D.pred_voxels(spark, d), min_size=10)
 
 
-@query("objects_touching_mask", "SELECT DISTINCT label FROM truth_voxels JOIN (SELECT DISTINCT z, y, x FROM cells WHERE vols > 960) c USING (z, y, x)", "truth_voxels cells")
+@query("objects_touching_mask", "SELECT DISTINCT label FROM truth_voxels JOIN (SELECT DISTINCT z, y, x FROM cells) c USING (z, y, x)", "truth_voxels cells")
 def objects_touching_mask(spark, d):
-    return B.overlap_objects(D.truth_voxels(spark, d), D.cells(spark, d).filter("vols > 960"))
+    return B.overlap_objects(D.truth_voxels(spark, d), D.cells(spark, d))
 
 
 BOX_PAIRS = """bp AS MATERIALIZED (SELECT a.box AS a, b.box AS b, i / ((a.z1 - a.z0) * (a.y1 - a.y0) * (a.x1 - a.x0) + (b.z1 - b.z0) * (b.y1 - b.y0) * (b.x1 - b.x0) - i) AS iou
@@ -283,24 +284,26 @@ def box_clusters(spark, d):
     return B.cluster_boxes(D.boxes(spark, d), 0.5)
 
 
-CROPS = """SELECT c.cell_id, count(*) AS n, sum(v.value) AS total, sum((v.z - c.z + 2) * v.value) AS moment FROM cells c JOIN voxels v
-   ON v.z BETWEEN c.z - 2 AND c.z + 1 AND v.y BETWEEN c.y - 3 AND c.y + 2 AND v.x BETWEEN c.x - 3 AND c.x + 2 WHERE c.vols > 900 GROUP BY c.cell_id"""
+CROPS = """SELECT c.cell_id, count(*) AS n, sum(v.value) AS total, sum((c.dz + 2) * v.value) AS moment FROM (
+     SELECT cell_id, dz, z + dz AS z, y + dy AS y, x + dx AS x FROM cells, (SELECT unnest(range(-2, 2)) AS dz), (SELECT unnest(range(-3, 3)) AS dy),
+     (SELECT unnest(range(-3, 3)) AS dx)) c JOIN voxels v USING (z, y, x) GROUP BY c.cell_id"""
 
 
 @query("cell_crops", f"SELECT cell_id, n, round(total, 6) AS total, round(moment, 6) AS moment FROM ({CROPS})", "cells voxels")
 def cell_crops(spark, d):
-    c = B.extract_crops(D.cells(spark, d).filter("vols > 900"), D.voxels(spark, d), {"z": 2, "y": 3, "x": 3})
+    c = B.extract_crops(D.cells(spark, d), D.voxels(spark, d), {"z": 2, "y": 3, "x": 3})
     add = lambda e: F.aggregate("voxels", F.lit(0.0), lambda a, v: a + e(v))
     return c.select("cell_id", F.size("voxels").alias("n"), add(lambda v: v["value"]).alias("total"), add(lambda v: v["z"] * v["value"]).alias("moment"))
 
 
 def _score(pdf: pd.DataFrame) -> pd.DataFrame:
-    mean = pdf["voxels"].map(lambda px: sum(p["value"] for p in px) / len(px))
+    mean = pdf["values"].map(np.mean)
     return pdf[["cell_id"]].assign(**{"class": (mean > 30).astype(int), "confidence": mean})
 
 
 @query("scored_cells", f"""
   SELECT cell_id, CASE WHEN total / n > 30 THEN 1 ELSE 0 END::BIGINT AS class, round(total / n, 6) AS confidence FROM ({CROPS})""", "cells voxels")
 def scored_cells(spark, d):
-    crops = B.extract_crops(D.cells(spark, d).filter("vols > 900"), D.voxels(spark, d), {"z": 2, "y": 3, "x": 3})
+    crops = B.extract_crops(D.cells(spark, d), D.voxels(spark, d), {"z": 2, "y": 3, "x": 3})
+    crops = crops.select("cell_id", F.transform("voxels", lambda v: v["value"]).alias("values"))
     return U.score_cells(crops, _score, "cell_id")

@@ -55,8 +55,8 @@ def loops_dropped(spark, d):
     return R.drop_loops(s, e)
 
 
-BODY = "body AS MATERIALIZED (SELECT DISTINCT z, y, x, (z // 8) * 16 + (y // 8) * 4 + x // 8 AS seg FROM cells WHERE vols > 500)"
-ENDS = "ends AS MATERIALIZED (SELECT DISTINCT z, y, x, (z // 8) * 16 + (y // 8) * 4 + x // 8 AS seg FROM cells WHERE vols > 940)"
+BODY = "body AS MATERIALIZED (SELECT DISTINCT z, y, x, (z // 8) * 16 + (y // 8) * 4 + x // 8 AS seg FROM cells)"
+ENDS = "ends AS MATERIALIZED (SELECT DISTINCT z, y, x, (z // 8) * 16 + (y // 8) * 4 + x // 8 AS seg FROM cells WHERE vols > 500)"
 
 
 @query("bridged_ends", f"""
@@ -70,13 +70,13 @@ ENDS = "ends AS MATERIALIZED (SELECT DISTINCT z, y, x, (z // 8) * 16 + (y // 8)
 def bridged_ends(spark, d):
     c = D.cells(spark, d)
     seg = F.expr("(z div 8) * 16 + (y div 8) * 4 + x div 8").alias("seg")
-    b = R.bridge_ends(c.filter("vols > 940").select("z", "y", "x", seg), c.filter("vols > 500").select("z", "y", "x", seg).distinct(), 2)
+    b = R.bridge_ends(c.filter("vols > 500").select("z", "y", "x", seg), c.select("z", "y", "x", seg).distinct(), 2)
     return b.select("seg", "z", "y", "x", "other", "length", F.col("to.z").alias("to_z"), F.col("to.y").alias("to_y"), F.col("to.x").alias("to_x"), "kind")
 
 
 @query("gaps_filled")
 def gaps_filled(spark, d):
-    return R.fill_gaps(D.cells(spark, d).filter("vols > 940"))
+    return R.fill_gaps(D.cells(spark, d))
 
 
 @query("distinct_coordinates", "SELECT DISTINCT z, y, x FROM cells", "cells")

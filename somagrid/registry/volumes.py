@@ -94,11 +94,11 @@ def local_maxima(spark, d):
 @query("density_map", f"""
   WITH c AS (SELECT z, y, x, count(*) AS n FROM cells WHERE vols > 30 GROUP BY ALL),
    s AS (SELECT DISTINCT c.z AS cz, c.y AS cy, c.x AS cx, n, least(c.z + dz, {NZ} - 1) AS z, least(c.y + dy, 31) AS y, least(c.x + dx, 31) AS x
-         FROM c, (SELECT * FROM {reach(3)} WHERE dz * dz + dy * dy + dx * dx <= 9)),
-   m AS (SELECT z, y, x, sum(n) * (1.0::DOUBLE / pow(3 * 20 * 0.001 * 2, 3)) AS density FROM s GROUP BY ALL)
+         FROM c, (SELECT * FROM {reach(5)} WHERE dz * dz + dy * dy + dx * dx <= 25)),
+   m AS (SELECT z, y, x, sum(n) * (1.0::DOUBLE / pow(5 * 20 * 0.001 * 2, 3)) AS density FROM s GROUP BY ALL)
   SELECT z, y, x, round(density, 6) AS density FROM m WHERE EXISTS (SELECT 1 FROM atlas a WHERE a.z = m.z AND a.y = m.y AND a.x = m.x AND a.label > 0)""", "cells atlas")
 def density_map(spark, d):
-    return V.density_map(D.cells(spark, d).filter("vols > 30"), D.atlas(spark, d), 3, shape=D.shape(spark, d))
+    return V.density_map(D.cells(spark, d).filter("vols > 30"), D.atlas(spark, d), 5, shape=D.shape(spark, d))
 
 
 @query("mean_map", """
