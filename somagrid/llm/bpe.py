@@ -12,6 +12,7 @@ Null counts as empty text (no ids).  Texts may be of any length.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import json
@@ -22,8 +23,8 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, functions as F
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from somagrid.llm.common import mix
 
@@ -45,6 +46,32 @@ def byte_alphabet() -> list[str]:
     return [out[b] for b in range(256)]
 
 
+@functools.cache
+def unicode_tables() -> tuple[np.ndarray, np.ndarray, int]:
+    """(kind, lower case, first differing code point) of every code point, as the vocabulary's own library sees them.
+
+    Unicode versions differ in what is a letter or has a lower case.  Classes of assigned code points are stable, so
+    the library is asked about blanks and about what Python's version does not know yet; the planes 4 to 13 hold nothing."""
+    kind = np.full(0x110000, OTHER, np.uint8)
+    ask = []
+    for i in (*range(0xD800), *range(0xE000, 0x40000), *range(0xE0000, 0xF0000)):
+        what = unicodedata.category(chr(i))
+        if what == "Cn" or chr(i).isspace():
+            ask.append(i)
+        elif what[0] in "LN":
+            kind[i] = LETTER if what[0] == "L" else DIGIT
+    point, every = np.array(ask), "".join(map(chr, ask))
+    for what, pattern in ((LETTER, r"\p{L}+"), (DIGIT, r"\p{N}+"), (SPACE, r"\s+")):
+        for _, (a, z) in pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(every):
+            kind[point[a:z]] = what
+    fold = np.arange(0x110000, dtype=np.uint32)
+    new = [c for c in every if not c.isspace()]
+    for c, x in zip(new, normalizers.Lowercase().normalize_str("\n".join(new)).split("\n")):
+        fold[ord(c)] = ord(x) if len(x) == 1 else ord(c)
+    changed = np.flatnonzero(fold != np.arange(0x110000))
+    return kind, fold, int(changed[0]) if len(changed) else 0x110000
+
+
 class Vocabulary:
     """Ids, merges and special strings of a tokenizer file."""
 
@@ -79,12 +106,9 @@ class Encoder:
         o = np.argsort(key)
         self.key, self.rank, self.made = key[o], rank[o].astype(np.int32), c.astype(np.int32)
         self._slots()
+        plain, self.fold, self.first_fold = unicode_tables()
         kind = np.full(0x110000 + 1 + len(v.special), OTHER, np.uint8)
-        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-        for what, pattern in ((LETTER, r"\p{L}+"), (DIGIT, r"\p{N}+"), (SPACE, r"\s+")):
-            for m in regex.finditer(pattern, every):
-                at = lambda i: ord(every[i])
-                kind[at(m.start()):at(m.end() - 1) + 1] = what
+        kind[:len(plain)] = plain
         kind[0x110000:] = SPECIAL
         self.kind = kind
         self.lexicon = Lexicon.open(lexicon) if lexicon else None
@@ -234,7 +258,13 @@ class Encoder:
                 plain.append(s)
                 size.append(len(s) + 1)
         flush()
-        return (np.concatenate(parts) if parts else np.zeros(0, np.uint32)), np.r_[0, np.cumsum(size)].astype(np.int64)
+        code = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        high = np.flatnonzero((code >= self.first_fold) & (code < 0x110000))
+        if len(high):
+            if not code.flags.writeable:
+                code = code.copy()
+            code[high] = self.fold[code[high]]
+        return code, np.r_[0, np.cumsum(size)].astype(np.int64)
 
     def split(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, end) of the words: letters together, digits and special strings alone, others together, endings after an apostrophe."""

@@ -136,6 +136,19 @@ def test_bpe_odd(odd, reference, docs_of):
     assert bpe.digests(empty, Q.WORD_BPE, lexicon=bpe.compile_lexicon(empty, Q.WORD_BPE)).count() == 0
 
 
+def test_bpe_any_code_point(reference):
+    """Random mixes of code points, among them ones that newer Unicode versions added, against the library."""
+    rng = np.random.default_rng(3)
+    own = ["'s", "'S", "don't", " ", "\u3000", "\x1c", "\x85", "é", "e\u0301", "Σ", "İ", "ẞ", "٣", "½", "😀", "...", "<|", "<|endoftext|>", "</w>", "क\u093c", "\u1c89", "\ua7cb", "\ua7ce",
+           "\U00010940", "\U00010d50", "\U00016ea0"]
+    e = bpe.Encoder(bpe.Vocabulary(Q.WORD_BPE))
+    for _ in range(1500):
+        wild = [chr(i) for i in (*rng.integers(32, 0xD800, 3), *rng.integers(0xE000, 0x20000, 3))]
+        text = "".join(rng.choice([*own, *wild], int(rng.integers(1, 14))).tolist())
+        number, _ = e.encode([text])
+        assert bpe.expand(e.ids, e.bound, number).tolist() == reference.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
 def test_lexicon():
     words = sorted({w.encode() for w in "a ab abc bc bac tap taps top tops été".split()})
     bound = np.arange(len(words) + 1)
