@@ -85,3 +85,22 @@ def test_late_frames_keep_their_links(spark, tmp_path):
         B.stream_tracks(spark, f"{tmp_path}/in", spots.schema, f"{tmp_path}/out", f"{tmp_path}/state")
     got = spark.read.parquet(f"{tmp_path}/out").select("series", "frame", "dz", "dy", "dx").collect()
     assert sorted(map(tuple, got)) == [(s, f, 2.0, 1.0, 0.0) for s in (1, 2) for f in range(7)]
+
+
+def test_density_in_blocks(spark):
+    """Cells across block borders, at the edges, below 0 and beyond the far side, against single steps."""
+    rng = np.random.default_rng(4)
+    shape, r = {"z": 70, "y": 40, "x": 33}, 5
+    pts = np.vstack([rng.integers(-4, [74, 44, 37], (300, 3)), [[31, 31, 31]] * 7, [[32, 0, 32]] * 2])
+    want: dict = {}
+    for p in pts:
+        reach = {tuple(min(int(c + o), n - 1) for c, o, n in zip(p, (a, b, c), shape.values()))
+                 for a in range(-r, r + 1) for b in range(-r, r + 1) for c in range(-r, r + 1) if a * a + b * b + c * c <= r * r}
+        for v in reach:
+            if min(v) >= 0:
+                want[v] = want.get(v, 0) + 1
+    grid = np.indices(tuple(shape.values())).reshape(3, -1).T
+    atlas = spark.createDataFrame(pd.DataFrame(grid, columns=AXES).assign(label=1))
+    cells = spark.createDataFrame(pd.DataFrame(pts, columns=AXES))
+    got = {(t.z, t.y, t.x): round(t.density * 0.2 ** 3) for t in V.density_map(cells, atlas, r, 20.0, shape).toPandas().itertuples()}
+    assert got == want
