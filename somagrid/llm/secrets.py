@@ -3,10 +3,14 @@
 Spans come from patterns (kinds, in their listed order: assign, access, hex).
 Each match's value is hashed and counted over the corpus by distinct
 repositories and owners: a value that many owners hold is an example that was
-copied around, one of a single owner looks live.  The method adds spans of two
-kinds: ``live``, a value of few owners, looked up among bare tokens of all
-texts as well, so the same credential without its keyword is found; and
-``example`` for widely copied values of such tokens.
+copied around, one of a single owner looks live.  The method adds spans of
+three kinds: ``live``, a value of one holder, looked up among bare tokens of all
+texts as well, so the same credential without its keyword is found; ``shared``,
+a value of more holders that is not widely copied; and ``example`` for widely
+copied values of such tokens.  The holders of a value are the smaller of its two
+counts, so many owners in one repository or many repositories of one owner make
+no example.  :func:`report` lists ``live`` and ``example`` only, as its SQL twin
+does; :func:`redact` replaces ``shared`` values like ``live`` ones.
 
 Positions count code points, ends are exclusive.  Null text counts as empty.
 Rows are told apart by a row key, so repeated rows and ids keep their own
@@ -83,15 +87,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_c
         F.transform("_assign", lambda x: F.struct(x.alias("s"), F.lit(0).alias("order"))), F.transform("_access", lambda x: F.struct(x.alias("s"), F.lit(1).alias("order"))),
         F.transform("_hex", lambda x: F.struct(x.alias("s"), F.lit(2).alias("order"))), F.transform("_bare", lambda x: F.struct(x.alias("s"), F.lit(3).alias("order"))))).alias("x"))
     spans = spans.select("_row", "x.s.*", "x.order", F.xxhash64(F.lower("x.s.value")).alias("hash")).join(own, "hash", "left")
-    live = F.col("owners") <= LIVE_OWNERS
-    wide = F.col("owners") >= WIDE_OWNERS
-    # a bare token becomes a live or an example span; a keyword's or a pattern's own span is repeated under the verdict of its value
-    verdict = F.when(live, "live").when(wide, "example")
-    item = lambda kind, order: F.struct(F.col("start"), order.alias("order"), F.col("end"), kind.alias("kind"), F.col("value"), F.col("owners"))
+    holders = F.least("owners", "repositories")
+    # a bare token becomes a live, a shared or an example span; a keyword's or a pattern's own span is repeated under the verdict of its value
+    verdict = F.when(holders <= LIVE_OWNERS, "live").when(holders >= WIDE_OWNERS, "example").otherwise("shared")
+    item = lambda kind, order: F.struct(F.col("start"), order.alias("order"), F.col("end"), kind.alias("kind"), F.col("value"), holders.alias("holders"))
     per_row = spans.groupBy("_row").agg(
         F.sort_array(F.collect_list(F.when(F.col("order") < 3, item(F.col("kind"), F.col("order"))))).alias("base"),
-        F.sort_array(F.array_distinct(F.collect_list(F.when(verdict.isNotNull(), item(verdict, F.lit(3)))))).alias("added"))
-    none = "array<struct<start:int,order:int,end:int,kind:string,value:string,owners:bigint>>"
+        F.sort_array(F.array_distinct(F.collect_list(item(verdict, F.lit(3))))).alias("added"))
+    none = "array<struct<start:int,order:int,end:int,kind:string,value:string,holders:bigint>>"
     return docs.select("_row", F.col(id_col).alias("id")).join(per_row, "_row", "left").select(
         "_row", "id", F.coalesce("base", F.array().cast(none)).alias("base"), F.coalesce("added", F.array().cast(none)).alias("added"))
 
@@ -102,10 +105,10 @@ def with_rows(docs: DataFrame) -> DataFrame:
 
 
 def report(scanned: DataFrame) -> DataFrame:
-    """Counts, digest of the base spans and all spans as text."""
+    """Counts, digest of the base spans and all spans but the shared ones as text."""
     name = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
-    every = F.sort_array(F.concat("base", "added"))
+    every = F.sort_array(F.concat("base", F.filter("added", lambda x: x["kind"] != "shared")))
     return scanned.select(
         "id", *[count(k) for k, *_ in KINDS], F.sha2(F.array_join(F.transform("base", name), ","), 256).alias("base_sha256"),
         F.array_join(F.transform(every, name), ",").alias("spans"))
@@ -116,7 +119,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
 
     Only texts with a hint of a secret meet the verdicts; the others pass as they are."""
     owned = scan(docs, id_col, text_col, repo_col, owner_col).select(
-        "_row", F.array_distinct(F.transform(F.filter(F.concat("base", "added"), lambda x: x["owners"] < WIDE_OWNERS), lambda x: x["value"])).alias("_v"))
+        "_row", F.array_distinct(F.transform(F.filter(F.concat("base", "added"), lambda x: x["holders"] < WIDE_OWNERS), lambda x: x["value"])).alias("_v"))
     longest = F.array_sort("_v", lambda a, b: F.length(b) - F.length(a))
     clean = F.aggregate(longest, F.col(text_col), lambda t, v: F.replace(t, v, F.lit(mark)))
     hinted = F.coalesce(F.col(text_col).rlike(BARE) | F.col(text_col).rlike(HINTS["assign"]), F.lit(False))
