@@ -1,12 +1,16 @@
 """Packing of token sequences by cutting-stock column generation.
 
 Documents longer than a sequence give full pieces; what remains of each is one
-piece.  The histogram of piece lengths (on a grid of ``GRID`` tokens, so of a
-fixed size) is the only thing the driver sees.  A linear program over patterns
+piece.  The histogram of piece lengths (exact up to ``max(SHORTS)`` tokens, on a
+grid of ``GRID`` tokens above, so of a fixed size) is the only thing the driver
+sees.  For the longer pieces, a linear program over patterns
 (sets of lengths that fit one sequence) is solved by column generation: a
 knapsack dynamic program over the dual prices finds the next pattern.  The
 patterns' rounded-down counts, and best-fit patterns for the few pieces left
-over, become intervals of ranks: the r-th piece of a length goes to the
+over, are topped up with short pieces at their exact lengths; further short
+pieces form sequences of their own.  Which lengths count as short is tried for
+each of ``SHORTS``; the plan of fewest sequences is taken.  Its patterns become
+intervals of ranks: the r-th piece of a length goes to the
 sequence whose interval holds r.  Ranks are counted in salted parts, so a
 length that a third of all documents share is not ranked in one task.
 
@@ -27,6 +31,7 @@ from somagrid.session import cut
 
 CAPACITY = 2048
 GRID = 16
+SHORTS = (0, 64, 256)
 SALT_ROWS = 4096
 GAP = 0.0005
 PIECES = ("doc_id {t}, start long, length long, ids_crc32 long, doc_tokens long")
@@ -128,6 +133,46 @@ def patterns(histogram: dict[int, int], units: int, rounds: int = 20000) -> list
     return plan
 
 
+def topped(plan: list[tuple[dict[int, int], int]], short: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """``plan`` (patterns of lengths in tokens) with all short pieces added: longest first into the room of each pattern, then into new ones."""
+    left = {q: n for q, n in sorted(short.items(), reverse=True) if n > 0}
+    out = []
+
+    def take(own: dict[int, int], room: int, n: int) -> dict[int, int]:
+        for q in left:
+            k = min(room // q, left[q] // n)
+            if k:
+                own[q], room = own.get(q, 0) + k, room - q * k
+        return own
+
+    def used(own: dict[int, int], n: int) -> None:
+        for q, k in own.items():
+            left[q] -= k * n
+            if not left[q]:
+                del left[q]
+
+    for p, n in plan:
+        own = take({}, capacity - sum(q * k for q, k in p.items()), n)
+        used(own, n)
+        out.append(({**p, **own}, n))
+    while left:
+        own = take({}, capacity, 1)
+        n = min(left[q] // k for q, k in own.items())
+        used(own, n)
+        out.append((own, n))
+    return out
+
+
+def planned(seen: dict[int, int], short: int, capacity: int, grid: int) -> list[tuple[dict[int, int], int]]:
+    """Patterns of lengths in tokens for a histogram: the linear program on the grid above ``short``, exact lengths up to it."""
+    units: dict[int, int] = {}
+    for q, n in seen.items():
+        if q > short:
+            units[-(-q // grid)] = units.get(-(-q // grid), 0) + n
+    plan = [({u * grid: k for u, k in p.items()}, n) for p, n in patterns(units, capacity // grid)]
+    return topped(plan, {q: n for q, n in seen.items() if q <= short}, capacity)
+
+
 def ranked(df: DataFrame, key: str, by: list[str]) -> DataFrame:
     """Add ``rank`` from 0 within ``key``: salted parts are numbered alone and shifted by the parts before them."""
     parts = max(1, -(-df.count() // SALT_ROWS))
@@ -141,15 +186,15 @@ def ranked(df: DataFrame, key: str, by: list[str]) -> DataFrame:
 def pack(cuts: DataFrame, capacity: int = CAPACITY, grid: int = GRID) -> DataFrame:
     """Place pieces into sequences: adds ``sequence_id`` and the gapless ``offset``."""
     spark = cuts.sparkSession
-    units = capacity // grid
-    full = F.col("length") == capacity
-    rows = ranked(cuts.withColumn("_q", F.when(full, 0).otherwise(F.ceil(F.col("length") / grid)).cast("int")), "_q", ["doc_id", "start", "ids_crc32"])
-    seen = {r["_q"]: r["n"] for r in cuts.groupBy(F.when(full, 0).otherwise(F.ceil(F.col("length") / grid)).cast("int").alias("_q"))
-            .agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity / grid + 1 rows
+    length, most = F.col("length"), max(SHORTS)
+    key = lambda short: F.when(length == capacity, 0).when(length <= short, length).otherwise(F.ceil(length / grid) * grid).cast("int")
+    seen = {r["_q"]: r["n"] for r in cuts.groupBy(key(most).alias("_q")).agg(F.count(F.lit(1)).alias("n")).collect()}  # at most max(SHORTS) + capacity / grid + 1 rows
     whole = seen.pop(0, 0)
     used: dict[int, int] = {}
     ranges, base = [(0, 0, whole, 0, 1, 0)], whole
-    for p, n in patterns(seen, units):
+    plan, short = min(((planned(seen, x, capacity, grid), x) for x in SHORTS), key=lambda y: sum(n for _, n in y[0]))
+    rows = ranked(cuts.withColumn("_q", key(short)), "_q", ["doc_id", "start", "ids_crc32"])
+    for p, n in plan:
         slot = 0
         for q, k in sorted(p.items(), reverse=True):
             ranges.append((q, used.get(q, 0), used.get(q, 0) + n * k, base, k, slot))

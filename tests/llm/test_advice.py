@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from somagrid.llm import secrets
+from somagrid.llm import packing, secrets
 
 
 def test_secret_of_two_sources(docs_of):
@@ -23,3 +23,19 @@ def test_secret_holders_by_both_counts(docs_of):
     for names in ({"repo_col": "one"}, {"owner_col": "one"}):
         assert {x["kind"] for r in secrets.scan(docs, **names).collect() for x in r["added"]} == {"live"}
         assert {r["text"] for r in secrets.redact(docs, **names).collect()} == {"see <secret> there"}
+
+
+def test_packing_short_texts(spark):
+    """A table ruled by short texts fills its sequences; every piece is placed once, without gaps."""
+    cuts = spark.range(6000).select(
+        F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("start"), F.when(F.col("id") % 3 == 0, 1).when(F.col("id") % 3 == 1, 17).otherwise(33).cast("long").alias("length"),
+        F.col("id").alias("ids_crc32"), F.lit(33).cast("long").alias("doc_tokens"))
+    rows = packing.pack(cuts).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(6000))
+    parts = {}
+    for r in rows:
+        parts.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for own in parts.values():
+        own.sort()
+        assert [o for o, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))] and sum(n for _, n in own) <= packing.CAPACITY
+    assert sum(r["length"] for r in rows) >= 0.98 * packing.CAPACITY * len(parts)
