@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from somagrid.llm import packing, secrets
+from somagrid.llm import licences, notices, packing, secrets
 
 
 def test_secret_of_two_sources(docs_of):
@@ -39,3 +39,18 @@ def test_packing_short_texts(spark):
         own.sort()
         assert [o for o, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))] and sum(n for _, n in own) <= packing.CAPACITY
     assert sum(r["length"] for r in rows) >= 0.98 * packing.CAPACITY * len(parts)
+
+
+def test_licence_spans(docs_of):
+    """Wrapped, embedded and whole licences; lines and whole texts count as before."""
+    grant = notices.MIT.replace("\n", " ").split()
+    wrapped = "\n".join("# " + " ".join(grant[i:i + 9]) for i in range(0, len(grant), 9))
+    filler = "\n".join(f"plain words of line {i} about nothing" for i in range(60))
+    rows = [(1, f"{filler}\n{wrapped}\n{filler}"), (2, " ".join(grant)), (3, "code Released under the MIT License. See the LICENSE file in the root"),
+            (4, f"{filler}\n{notices.APACHE}\n{filler}"), (5, f"{filler} {notices.BSD} {filler}"), (6, f"{notices.GPL}\n{filler}"),
+            (7, notices.NOTICES["GPL-3.0"][1]), (8, f"{filler}\n{notices.NOTICES['Apache-2.0'][1]}\n{filler}"), (9, filler), (10, "Released under the\nMIT License."),
+            (11, f"{filler}\nReleased under the MIT License.\n{filler}")]
+    got = {r["doc_id"]: (r["licence"], round(r["dice"], 3) if r["dice"] else None, r["n_units"]) for r in licences.match(docs_of(rows)).collect()}
+    assert got[1] == got[2] == ("MIT-text", 1.0, 1) and got[3] == ("MIT", 1.0, 1) and got[4][0] == "Apache-2.0" and got[5] == ("BSD-3-Clause", 1.0, 1)
+    assert got[6] == ("GPL-3.0", 1.0, 1) and got[7] == ("GPL-3.0", 1.0, 1) and got[8][0] == "Apache-2.0" and got[9] == (None, None, 0)
+    assert got[10] == ("MIT", 1.0, 1) and got[11] == ("MIT", 1.0, 1)
