@@ -84,4 +84,21 @@ select d.doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0
   sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from d left join z on z.r = d.r"""
 
 
-ORACLES = {"op3_lm_scores": op3(), "op4_topk": OP4, "op5_licences": op5(), "op10_secrets": op10()}
+OP11 = """
+with t as (
+  select doc_id, coalesce(text, '') as text, sha256('1:' || coalesce(doc_id::varchar, '')) as h from documents),
+u as (
+  select *, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') as u, ('0x' || h[1:8])::bigint as h1, ('0x' || h[9:16])::bigint as h2,
+    ('0x' || h[17:24])::bigint as h3, ('0x' || h[25:32])::bigint as h4 from t),
+c as (
+  select *, len(u) as n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) as a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) as b,
+    case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 90 then 'plain'
+      when h4 % 100 < 20 then 'spm' else 'psm' end as form from u),
+p as (select *, array_to_string(u[1:a], '') as x, array_to_string(u[a + 1:b], '') as y, array_to_string(u[b + 1:], '') as z from c)
+select doc_id, n::bigint as n, form, case when form <> 'plain' then length(x) end::bigint as prefix_chars,
+  case when form <> 'plain' then length(y) end::bigint as middle_chars,
+  sha256(case form when 'psm' then '<P>' || x || '<S>' || z || '<M>' || y when 'spm' then '<S>' || z || '<P>' || x || '<M>' || y else text end) as output_sha256,
+  sha256(text) as restored_sha256 from p"""
+
+
+ORACLES = {"op3_lm_scores": op3(), "op4_topk": OP4, "op5_licences": op5(), "op10_secrets": op10(), "op11_fill_in_middle": OP11}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from somagrid.llm.bpe import compile_lexicon, digests
-from somagrid.llm import backoff, cotrain, crosspoly, licences, secrets, topk, toxicity
+from somagrid.llm import backoff, cotrain, crosspoly, licences, middle, secrets, topk, toxicity
 from somagrid.llm.near_dups import near_duplicates
 from somagrid.llm.oracles import ORACLES
 from somagrid.llm.packing import pack_documents
@@ -78,6 +78,11 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.report(secrets.scan(docs)).withColumnRenamed("id", "doc_id")
 
 
+def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    """Prefix, middle and suffix forms of every document."""
+    return middle.digests(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_toxicity": op2_toxicity,
@@ -89,5 +94,6 @@ QUERIES = {
     "op8_ann": op8_ann,
     "op9_packing": op9_packing,
     "op10_secrets": op10_secrets,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
 
