@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from somagrid.llm.bpe import compile_lexicon, digests
-from somagrid.llm import backoff, cotrain, crosspoly, licences, middle, repair, secrets, topk, toxicity
+from somagrid.llm import backoff, cotrain, crosspoly, licences, middle, repair, repeats, secrets, topk, toxicity
 from somagrid.llm.near_dups import near_duplicates
 from somagrid.llm.oracles import ORACLES
 from somagrid.llm.packing import pack_documents
@@ -83,6 +83,11 @@ def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
     return middle.digests(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op12_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document without those in passages of 20 words that occur earlier."""
+    return repeats.digests(table(spark, folder, "documents"))
+
+
 def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     """Faults and cheapest repair of every damaged conversation."""
     return repair.report(table(spark, folder, "conversations"))
@@ -100,6 +105,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_secrets": op10_secrets,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_substring_dedup": op12_substring_dedup,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
