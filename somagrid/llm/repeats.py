@@ -183,8 +183,7 @@ def _ask_names(keyed: DataFrame, window: int, rounds: int) -> DataFrame:
             many = np.bincount(np.cumsum(lead) - 1)[np.cumsum(lead) - 1] > 1 if len(name) else lead
             once = np.r_[True, (name[1:] != name[:-1]) | (text[1:] != text[:-1])][:len(name)]
             name, text, lead, many = name[once], text[once], lead[once], many[once]
-            yield pa.RecordBatch.from_arrays([pa.array(np.where(lead, name, text)), pa.array(~lead), pa.array(name), pa.array(text), pa.array(many)],
-                                             ["key", "sure", "name", "h1", "many"])
+            yield pa.RecordBatch.from_arrays([pa.array(~lead), pa.array(name), pa.array(text), pa.array(many)], ["sure", "name", "h1", "many"])
 
     def settle(batches):
         held = None  # a row of the last name, which may go on in the next batch, and whether the name is known to repeat
@@ -204,8 +203,8 @@ def _ask_names(keyed: DataFrame, window: int, rounds: int) -> DataFrame:
             held = (name[s[-1]:s[-1] + 1], text[s[-1]:s[-1] + 1], hit[-1:])
             yield pa.RecordBatch.from_arrays([pa.array(text[out]), pa.array(name[out])], ["h1", "name"])
 
-    asked = keyed.select("h1", "text").mapInArrow(run, "key long, sure boolean, name long, h1 long, many boolean")
-    dealt = asked.repartition("key").sortWithinPartitions("sure", "name", "h1").select("sure", "name", "h1", "many")
+    asked = keyed.select("h1", "text").mapInArrow(run, "sure boolean, name long, h1 long, many boolean")
+    dealt = asked.repartition(F.when(F.col("sure"), F.col("h1")).otherwise(F.col("name"))).sortWithinPartitions("sure", "name", "h1")
     return dealt.mapInArrow(settle, "h1 long, name long").groupBy("h1").agg(F.collect_set("name").alias("names"))
 
 
@@ -248,11 +247,10 @@ def _ask_windows(held: DataFrame, window: int, rounds: int) -> DataFrame:
             ask, sure = np.flatnonzero(~again), at[s]
             both = np.r_[ask, sure]
             count = np.r_[np.zeros(len(ask), np.int32), np.diff(np.r_[s, len(at)]).astype(np.int32)]
-            key = np.where(count > 0, ids[owner[both]], w1[both])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key), pa.array(count), pa.array(np.where(count > 0, 0, w1[both])), pa.array(np.where(count > 0, 0, w2[both]).astype(np.int32)),
+                [pa.array(count), pa.array(np.where(count > 0, 0, w1[both])), pa.array(np.where(count > 0, 0, w2[both]).astype(np.int32)),
                  pa.array(ids[owner[both]]), pa.array(sub[owner[both]]), pa.array(place[both].astype(np.int32))],
-                ["key", "count", "w1", "w2", "key_id", "sub", "place"])
+                ["count", "w1", "w2", "key_id", "sub", "place"])
 
     def settle(batches):
         lead = None  # the first row of the last name
@@ -271,8 +269,8 @@ def _ask_windows(held: DataFrame, window: int, rounds: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(3).filter(out), b.column(4).filter(out), b.column(5).filter(out), pa.array(np.maximum(count, 1).astype(np.int32)).filter(out)],
                                              ["key_id", "sub", "place", "count"])
 
-    asked = held.select("key_id", "sub", "text", "names").mapInArrow(run, "key long, count int, w1 long, w2 int, key_id long, sub long, place int")
-    dealt = asked.repartition("key").sortWithinPartitions("count", "w1", "w2", "key_id", "sub", "place").select("count", "w1", "w2", "key_id", "sub", "place")
+    asked = held.select("key_id", "sub", "text", "names").mapInArrow(run, "count int, w1 long, w2 int, key_id long, sub long, place int")
+    dealt = asked.repartition(F.when(F.col("count") > 0, F.col("key_id")).otherwise(F.col("w1"))).sortWithinPartitions("count", "w1", "w2", "key_id", "sub", "place")
     found = dealt.mapInArrow(settle, "key_id long, sub long, place int, count int")
     return found.groupBy("key_id", "sub").agg(F.collect_list(F.struct("place", "count")).alias("found"))
 
@@ -314,8 +312,8 @@ def _cleaned(held: DataFrame, window: int) -> DataFrame:
         run, "h1 long, h2 long, key_id long, n_words long, n_removed long, kept string")
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept): every row's words without those in a window of ``window`` words that starts earlier as well."""
+def _removed(docs: DataFrame, window: int, id_col: str, text_col: str, rounds: int, shown) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept) of every row, ``kept`` as ``shown`` makes it from the kept words."""
     keyed = _keyed(docs, id_col, text_col)
     rows = keyed.groupBy("h1", "h2", "key_id", "doc_id").agg(F.count(F.lit(1)).alias("copies"))
     firsts = rows.groupBy("h1", "h2").agg(F.min("key_id").alias("key_id"))
@@ -326,13 +324,18 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     key = ["h1", "h2", "key_id"]
     found = _ask_windows(keyed.drop("doc_id").join(named, key), window, rounds)
     marked = cut(firsts.join(found, ["key_id", "sub"], "left"))
-    texts = _cleaned(keyed.drop("doc_id").join(marked, key), window).dropDuplicates(["h1", "h2"])
+    texts = _cleaned(keyed.drop("doc_id").join(marked, key), window).withColumn("kept", shown(F.col("kept"))).dropDuplicates(["h1", "h2"])
     one = rows.join(texts.withColumnRenamed("key_id", "first_id"), ["h1", "h2"])
     one = one.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     stays = (F.col("key_id") == F.col("first_id")) & (F.col("k") == 1) | (F.col("n_words") < window)
-    return one.select("doc_id", "n_words", F.when(stays, F.col("n_removed")).otherwise(F.col("n_words")).alias("n_removed"), F.when(stays, F.col("kept")).otherwise("").alias("kept"))
+    return one.select("doc_id", "n_words", F.when(stays, F.col("n_removed")).otherwise(F.col("n_words")).alias("n_removed"), F.when(stays, F.col("kept")).otherwise(shown(F.lit(""))).alias("kept"))
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept): every row's words without those in a window of ``window`` words that starts earlier as well."""
+    return _removed(docs, window, id_col, text_col, rounds, lambda kept: kept)
 
 
-def digests(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The columns of :func:`remove_repeats` with a digest of the kept words."""
-    return remove_repeats(docs, window, id_col, text_col).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+def digests(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
+    """The columns of :func:`remove_repeats` with a digest of the kept words, made before rows move."""
+    return _removed(docs, window, id_col, text_col, rounds, lambda kept: F.sha2(kept, 256)).withColumnRenamed("kept", "kept_sha256")
