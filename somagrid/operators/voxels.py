@@ -12,10 +12,9 @@ import json
 import math
 import operator
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from somagrid.operators.blocks import ball_sums, boundaries, degree, dilate, erode, peaks, smooth, thin  # noqa: F401 - part of this module's functions
 from somagrid.operators.components import label_components, offsets
 from somagrid.operators.ordered import join_ranks, value_ranks
 from somagrid.session import cut, release, spread
@@ -180,37 +179,6 @@ def renumber(objects: DataFrame, tile: list[str], label: str = "label", out: str
 
 
 # ------------------------------------------------------------ morphology
-def dilate(voxels: DataFrame, shape: str = "ball", r: int = 1, value: str | None = None, bounds: dict | None = None) -> DataFrame:
-    """Dilation; with ``value`` each voxel takes the largest one in reach."""
-    out = inside(send(voxels, footprint(shape, r), [value] if value else []), bounds)
-    return out.groupBy(*AXES).agg(F.max(value).alias(value)) if value else out.distinct()
-
-
-def erode(voxels: DataFrame, shape: str = "ball", r: int = 1, bounds: dict | None = None) -> DataFrame:
-    """Voxels whose whole footprint is set; beyond given bounds nothing is asked."""
-    steps = footprint(shape, r)
-    n = send(voxels.select(*AXES).distinct(), steps).groupBy(*AXES).agg(F.count(F.lit(1)).alias("_n"))
-    need = F.lit(len(steps))
-    if bounds:
-        need = F.size(F.filter(steps_array(steps), lambda o: functools.reduce(
-            operator.and_, [(F.col(a) + o[a]).between(0, s - 1) for a, s in bounds.items()])))
-    return inside(n, bounds).filter(F.col("_n") == need).select(*AXES)
-
-
-def boundaries(voxels: DataFrame, label: str = "label", bounds: dict | None = None) -> DataFrame:
-    """Pixels whose slice neighbours (4) have another label, on both sides of the
-    line; missing pixels are label 0."""
-    four = [(0, 0, 0), (0, -1, 0), (0, 1, 0), (0, 0, -1), (0, 0, 1)]
-    got = inside(send(voxels.filter(F.col(label) != 0), four, [label]), bounds)
-    n = got.groupBy(*AXES).agg(F.count(F.lit(1)).alias("_n"), F.min(label).alias("_lo"), F.max(label).alias("_hi"))
-    need = F.lit(5)
-    if bounds:
-        need = F.lit(1)
-        for a in ("y", "x"):
-            need = need + (F.col(a) > 0).cast("int") + (F.col(a) < bounds[a] - 1).cast("int")
-    return n.filter((F.col("_n") < need) | (F.col("_lo") != F.col("_hi"))).select(*AXES)
-
-
 def distance_map(mask: DataFrame, rmax: int = 5, bounds: dict | None = None, out: str = "distance") -> DataFrame:
     """Euclidean distance of each mask voxel to the nearest background voxel, NULL
     beyond ``rmax``.
@@ -246,25 +214,8 @@ def distance_map(mask: DataFrame, rmax: int = 5, bounds: dict | None = None, out
 def local_maxima(field: DataFrame, value: str = "distance", min_distance: int = 3) -> DataFrame:
     """Voxels not below any of their 26 neighbours, thinned so that no two stay
     within ``min_distance``: larger value first, then a hash of the position, so
-    that plateaus settle in few rounds.
-
-    Each round keeps the candidates that beat all open ones in reach and clears
-    their surroundings, until none is open.
-    """
-    cube = footprint("cube", 1)
-    around = send(field, cube, [value]).groupBy(*AXES).agg(F.max(value).alias("_top"))
-    peaks = field.join(around, AXES).filter((F.col(value) >= F.col("_top")) & (F.col(value) > 0)).select(*AXES, value)
-    order = F.struct((-F.col(value)).alias("v"), F.xxhash64(*AXES).alias("h"), *AXES)
-    todo, kept = cut(peaks), []
-    reach = footprint("cube", min_distance)
-    while not todo.isEmpty():
-        t = todo.withColumn("_k", order)
-        best = send(t, reach, ["_k"]).groupBy(*AXES).agg(F.min("_k").alias("_best"))
-        seen = cut(t.join(best, AXES).select(*AXES, value, (F.col("_k") == F.col("_best")).alias("_win")))
-        win = seen.filter("_win").select(*AXES, value)
-        kept.append(win)
-        todo = cut(seen.filter("NOT _win").select(*AXES, value).join(send(win, reach).distinct(), AXES, "left_anti"))
-    return functools.reduce(DataFrame.unionByName, kept) if kept else peaks
+    that plateaus settle in few rounds."""
+    return thin(peaks(field, value), value, min_distance)
 
 
 def seeded_split(mask: DataFrame, seeds: DataFrame, label: str = "label", connectivity: int = 6, leftover: int | None = 1000) -> DataFrame:
@@ -305,10 +256,8 @@ def match_cores(halo: DataFrame, core: DataFrame, label: str = "label") -> DataF
 
 def voxel_degree(voxels: DataFrame) -> DataFrame:
     """26-neighbour count of each skeleton voxel and its class."""
-    v = voxels.select(*AXES).distinct()
-    n = send(v, offsets(26) + [(0, 0, 0)], [F.lit(1).alias("_s")]).groupBy(*AXES).agg((F.count(F.lit(1)) - 1).alias("degree"))
     kind = F.when(F.col("degree") == 0, "single").when(F.col("degree") == 1, "end").when(F.col("degree") == 2, "path").otherwise("branch")
-    return v.join(n, AXES).withColumn("kind", kind)
+    return degree(voxels).withColumn("kind", kind)
 
 
 def apply_corrections(labels: DataFrame, codes: DataFrame, min_size: int = 10, label: str = "label") -> DataFrame:
@@ -365,40 +314,6 @@ def merge_groups(touch: DataFrame, group: str, item: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ maps
-def ball_sums(counts: DataFrame, radius: int, shape: dict | None = None, value: str = "_n", block: int = 32) -> DataFrame:
-    """Sum of ``value`` (one row per voxel) in the ball around each voxel, where it is not 0.
-
-    A voxel goes to its block of ``block`` cubed and to those whose halo holds it (about twice in all, not
-    once per step); a block is one array of bounded size, whatever its number of cells, and gives its inside."""
-    kind = dict(counts.dtypes)
-    dealt = counts
-    for a in AXES:
-        own = F.sequence(F.floor((F.col(a) - radius) / block), F.floor((F.col(a) + radius) / block))
-        if shape:  # no blocks outside
-            last = (shape[a] - 1) // block
-            own = F.filter(own, lambda b: b.between(0, last))
-        dealt = dealt.withColumn(f"_b{a}", F.explode(own))
-
-    def run(t: pa.Table) -> pa.Table:
-        low = [t.column(f"_b{a}")[0].as_py() * block for a in AXES]
-        grid = np.zeros((block + 2 * radius,) * 3, np.int64)
-        grid[tuple(t.column(a).to_numpy() - s + radius for a, s in zip(AXES, low))] = t.column(value).to_numpy()
-        along = np.pad(grid.cumsum(axis=2), ((0, 0), (0, 0), (1, 0)))
-        out = np.zeros((block,) * 3, np.int64)
-        for dz in range(-radius, radius + 1):
-            for dy in range(-radius, radius + 1):
-                rest = radius * radius - dz * dz - dy * dy
-                if rest >= 0:
-                    half = math.isqrt(rest)
-                    rows = along[radius + dz:radius + dz + block, radius + dy:radius + dy + block]
-                    out += rows[:, :, radius + half + 1:radius + half + 1 + block] - rows[:, :, radius - half:radius - half + block]
-        at = np.nonzero(out)
-        return pa.table({**{a: v + s for a, v, s in zip(AXES, at, low)}, value: out[at]})
-
-    sums = dealt.groupBy(*[f"_b{a}" for a in AXES]).applyInArrow(run, f"z long, y long, x long, {value} long")
-    return inside(sums.select(*[F.col(a).cast(kind[a]).alias(a) for a in AXES], value), shape)
-
-
 def density_map(cells: DataFrame, atlas: DataFrame, radius: int = 5, res_um: float = 20.0, shape: dict | None = None) -> DataFrame:
     """Cells per mm3 around each atlas voxel: every cell adds 1 to all voxels within
     ``radius``, over the volume of the surrounding cube.
@@ -561,24 +476,6 @@ def slab_snr(voxels: DataFrame, depth: int = 33, value: str = "value", threshold
     return a.withColumn("snr_db", F.when(r > 0, 10.0 * F.log10(r)))
 
 
-def smooth(voxels: DataFrame, sigma: float, bounds: dict, value: str = "value", truncate: float = 4.0) -> DataFrame:
-    """Gaussian smoothing, one pass per axis, mirrored at the volume edge (as often
-    as the kernel is longer than the axis)."""
-    r = int(truncate * sigma + 0.5)
-    raw = [math.exp(-0.5 * (i / sigma) ** 2) for i in range(-r, r + 1)]
-    kernel = F.from_json(F.lit(json.dumps([{"o": i - r, "w": w / sum(raw)} for i, w in enumerate(raw)])), "array<struct<o:int,w:double>>")
-    cur = voxels.select(*AXES, F.col(value).cast("double").alias(value))
-    for a in AXES:
-        n = bounds[a]
-        turns = range(-(r // (2 * n)) - 1, r // (2 * n) + 2)
-        images = F.array(*[p + 2 * n * k for k in turns for p in (F.col(a), -1 - F.col(a))])
-        near = F.filter(images, lambda p: p.between(-r, n - 1 + r))
-        s = cur.withColumn("_p", F.explode(near)).withColumn("_k", F.explode(kernel))
-        s = s.select(*[(F.col("_p") + F.col("_k.o")).alias(c) if c == a else F.col(c) for c in AXES], (F.col(value) * F.col("_k.w")).alias(value))
-        cur = s.filter(F.col(a).between(0, n - 1)).groupBy(*AXES).agg(F.sum(value).alias(value))
-    return cur
-
-
 def divide_by_structure(a: DataFrame, b: DataFrame, threshold: float = 500, min_size: int = 100, value: str = "value") -> DataFrame:
     """``b`` over the bright structure of ``a``: voxels over the threshold in pieces
     of at least ``min_size``, scaled to their largest value and raised by 2;
