@@ -15,9 +15,11 @@ import operator
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from somagrid.operators.blocks import ball_sums, boundaries, degree, dilate, erode, peaks, smooth, thin  # noqa: F401 - part of this module's functions
-from somagrid.operators.components import label_components, offsets
+from somagrid.operators.components import label_components
+from somagrid.operators.distance import distance_map  # noqa: F401
+from somagrid.operators.flood import flood
 from somagrid.operators.ordered import join_ranks, value_ranks
-from somagrid.session import cut, release, spread
+from somagrid.session import cut, spread
 
 AXES = ["z", "y", "x"]
 
@@ -179,38 +181,6 @@ def renumber(objects: DataFrame, tile: list[str], label: str = "label", out: str
 
 
 # ------------------------------------------------------------ morphology
-def distance_map(mask: DataFrame, rmax: int = 5, bounds: dict | None = None, out: str = "distance") -> DataFrame:
-    """Euclidean distance of each mask voxel to the nearest background voxel, NULL
-    beyond ``rmax``.
-
-    One pass per axis with ``2 rmax + 1`` steps (the squared distance is
-    separable), instead of one pass over the whole ball.  A bit per step tells
-    which neighbours along the axis are background.  Outside the given bounds
-    is not background.
-    """
-    if not 1 <= rmax <= 31:
-        raise ValueError("rmax must be between 1 and 31")
-    lim = rmax * rmax
-    cur = mask.select(*AXES).distinct().withColumn("_f", F.lit(None).cast("bigint"))
-    for a in ("x", "y", "z"):
-        sent = cur.withColumn("_o", F.explode(F.sequence(F.lit(-rmax), F.lit(rmax))))
-        moved = sent.select(
-            *[(F.col(c) + F.col("_o")).alias(c) if c == a else F.col(c) for c in AXES],
-            (F.col("_f") + F.col("_o") * F.col("_o")).alias("_g"), F.expr(f"shiftleft(1L, _o + {rmax})").alias("_bit"),
-        )
-        got = moved.groupBy(*AXES).agg(F.min("_g").alias("_g"), F.bit_or("_bit").alias("_seen"))
-        got = got.filter(F.expr(f"(_seen & shiftleft(1L, {rmax})) <> 0"))  # the voxel itself is in the mask
-        gaps = []
-        for k in range(1, rmax + 1):
-            low = f"({a} >= {k} AND (_seen & shiftleft(1L, {rmax + k})) = 0)" if bounds else f"(_seen & shiftleft(1L, {rmax + k})) = 0"
-            high = f"({a} <= {bounds[a] - 1 - k} AND (_seen & shiftleft(1L, {rmax - k})) = 0)" if bounds else f"(_seen & shiftleft(1L, {rmax - k})) = 0"
-            gaps.append(f"WHEN {low} OR {high} THEN {k * k}L")
-        got = got.withColumn("_gap", F.expr(f"CASE {' '.join(gaps)} END"))
-        f = F.least("_g", "_gap")
-        cur = got.select(*AXES, F.when(f <= lim, f).alias("_f"))
-    return cur.select(*AXES, F.sqrt(F.col("_f").cast("double")).alias(out))
-
-
 def local_maxima(field: DataFrame, value: str = "distance", min_distance: int = 3) -> DataFrame:
     """Voxels not below any of their 26 neighbours, thinned so that no two stay
     within ``min_distance``: larger value first, then a hash of the position, so
@@ -218,27 +188,15 @@ def local_maxima(field: DataFrame, value: str = "distance", min_distance: int =
     return thin(peaks(field, value), value, min_distance)
 
 
-def seeded_split(mask: DataFrame, seeds: DataFrame, label: str = "label", connectivity: int = 6, leftover: int | None = 1000) -> DataFrame:
-    """Mask voxels to the seed fewest steps away inside the mask (smaller label on
-    ties), grown ring by ring; pieces no seed reaches become new objects when
-    they have more than ``leftover`` voxels.
-
-    Only the last ring and the still open voxels take part in a round.
-    """
-    steps = offsets(connectivity)
-    m = mask.select(*AXES).distinct()
-    front = cut(seeds.select(*AXES, label).join(m, AXES, "left_semi").groupBy(*AXES).agg(F.min(label).alias(label)))
-    rings, left = [front], cut(m.join(front, AXES, "left_anti"))
-    while not front.isEmpty():
-        reach = send(front, steps, [label]).groupBy(*AXES).agg(F.min(label).alias(label))
-        front = cut(reach.join(left, AXES, "left_semi"))
-        nxt = cut(left.join(front, AXES, "left_anti"))
-        release(left)
-        rings.append(front)
-        left = nxt
-    done = functools.reduce(DataFrame.unionByName, rings)
+def seeded_split(mask: DataFrame, seeds: DataFrame, label: str = "label", connectivity: int = 6, leftover: int | None = 1000, height: str | None = None) -> DataFrame:
+    """Mask voxels to the seed whose flood reaches them (:func:`flood`, by steps or by
+    a column of heights, such as the inverted distance); pieces no seed reaches become
+    new objects when they have more than ``leftover`` voxels."""
+    done = flood(mask, seeds, label, connectivity, height)
     if leftover is None:
         return done
+    done = cut(done)
+    left = mask.select(*AXES).distinct().join(done, AXES, "left_anti")
     top = done.agg(F.coalesce(F.max(label), F.lit(0))).scalar()
     rest = cut(by_size(label_components(left, 26), "component").filter(F.col("size") > leftover).select(*AXES, "component"))
     new = renumber(rest, [], "component", "_n").select(*AXES, (F.col("_n") + top).cast(done.schema[label].dataType).alias(label))

@@ -10,6 +10,7 @@ from somagrid.functions import scalars as S
 from somagrid.operators import boxes as B, components as C, grouped as U, voxels as V
 from somagrid.registry import derived as D
 from somagrid.registry.base import query
+from somagrid.session import cut
 from somagrid.registry.volumes import NZ, reach
 
 ID = "z * 4398046511104 + y * 2097152 + x"
@@ -147,6 +148,14 @@ def seeded_split(spark, d):
     return V.seeded_split(v.filter("value > 15"), seeds, leftover=20)
 
 
+@query("watershed_split")
+def watershed_split(spark, d):
+    """Bright pieces parted at their waists: the inverted distance to the outside is flooded from its deepest places."""
+    depth = cut(V.distance_map(D.voxels(spark, d).filter("value > 15"), bounds=D.shape(spark, d)))
+    seeds = V.local_maxima(depth, "distance", 3).withColumn("label", C.voxel_id())
+    return V.seeded_split(depth.withColumn("height", -F.col("distance")), seeds, leftover=20, height="height")
+
+
 @query("core_halo_match", """
   SELECT z, y, x, h.label, CASE WHEN h.label IS NOT NULL AND c.z IS NOT NULL THEN 'core' WHEN h.label IS NULL THEN 'unmatched core' ELSE 'halo' END AS status
   FROM (SELECT z, y, x, label FROM object_voxels WHERE value > 30) h FULL JOIN (SELECT DISTINCT z, y, x FROM cells WHERE vols > 800) c USING (z, y, x)""", "object_voxels cells")

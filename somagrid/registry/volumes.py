@@ -76,14 +76,19 @@ def label_boundaries(spark, d):
     return V.boundaries(D.atlas(spark, d), bounds=D.shape(spark, d))
 
 
+def _nearest(src: str, out: str, axis: str) -> str:
+    """Least squared distance so far plus that along one more axis, over whole lines."""
+    u, v = [a for a in "zyx" if a != axis]
+    return f"""{out} AS MATERIALIZED (SELECT p.z, p.y, p.x, min(q.f + (p.{axis} - q.{axis}) * (p.{axis} - q.{axis})) AS f
+      FROM atlas p JOIN (SELECT * FROM {src} WHERE f IS NOT NULL) q ON p.{u} = q.{u} AND p.{v} = q.{v} GROUP BY ALL)"""
+
+
 @query("distance_to_background", f"""
-  WITH {GROWN}, bg AS MATERIALIZED (SELECT z, y, x FROM atlas ANTI JOIN grown USING (z, y, x)),
-   sent AS (SELECT g.z, g.y, g.x, g.z + dz AS nz, g.y + dy AS ny, g.x + dx AS nx, dz * dz + dy * dy + dx * dx AS d2 FROM grown g,
-            (SELECT * FROM {reach(3)} WHERE dz * dz + dy * dy + dx * dx <= 9)),
-   near AS (SELECT s.z, s.y, s.x, min(d2) AS d2 FROM sent s JOIN bg b ON b.z = nz AND b.y = ny AND b.x = nx GROUP BY s.z, s.y, s.x)
-  SELECT z, y, x, round(sqrt(d2), 6) AS distance FROM grown LEFT JOIN near USING (z, y, x)""", "voxels atlas")
+  WITH {GROWN}, bg AS MATERIALIZED (SELECT z, y, x, 0 AS f FROM atlas ANTI JOIN grown USING (z, y, x)),
+   {_nearest("bg", "f1", "x")}, {_nearest("f1", "f2", "y")}, {_nearest("f2", "f3", "z")}
+  SELECT g.z, g.y, g.x, round(sqrt(f), 6) AS distance FROM grown g LEFT JOIN f3 USING (z, y, x)""", "voxels atlas")
 def distance_to_background(spark, d):
-    return V.distance_map(_grown(spark, d), 3, D.shape(spark, d))
+    return V.distance_map(_grown(spark, d), bounds=D.shape(spark, d))
 
 
 @query("local_maxima")
