@@ -11,9 +11,9 @@ import functools
 import math
 import operator
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from somagrid.operators.reshape import first_by
+from somagrid.operators.nearest import knn
 from somagrid.session import cut, spread
 
 AXES = ["z", "y", "x"]
@@ -58,50 +58,6 @@ def radius_count(a: DataFrame, b: DataFrame, radius: float, out: str = "n_near")
     return a.join(near, AXES, "left").fillna(0, subset=[out])
 
 
-def knn(q: DataFrame, p: DataFrame, k: int, qid: str, pid: str, edge: float = 2.0, keep: list[str] = ()) -> DataFrame:
-    """The ``k`` nearest points of each query point, itself left out by id.
-
-    Gives ``qid, rank, pid, distance`` and the ``keep`` columns of the point;
-    ties go to the smaller id.  Each position keeps its first ``k + 1`` ids,
-    which is exact.  Buckets double in edge until every query position has
-    ``k + 1`` points inside the radius its 27 buckets are sure to cover, or
-    the buckets cover all points.
-    """
-    need = k + 1
-    pts = cut(first_by(p.select(*AXES, F.col(pid).alias("_pid"), *keep), AXES, ["_pid"], need))
-    todo = cut(q.select(*AXES).distinct())
-    box = pts.agg(*[f(c).alias(f"{n}{c}") for c in AXES for n, f in (("lo", F.min), ("hi", F.max))])
-    ext = todo.agg(*[f(c).alias(f"{n}{c}") for c in AXES for n, f in (("lo", F.min), ("hi", F.max))])
-    span = box.unionByName(ext).agg(*[(F.max(f"hi{c}") - F.min(f"lo{c}")).alias(c) for c in AXES]).first()
-    whole = max([float(v or 0) for v in span]) + 1
-    cand = F.struct(F.col("_d2").alias("d2"), F.col("b._pid").alias("pid"), *[F.col(f"b.{c}").alias(c) for c in keep])
-    done = []
-    while True:
-        sure = float(edge) ** 2 if edge < whole else float("inf")
-        keys = [f"_b{x}" for x in AXES]
-        la, rb = _buckets(todo, edge, AXES, 1).alias("a"), _buckets(pts, edge).alias("b")
-        on = functools.reduce(operator.and_, [F.col(f"a.{x}") == F.col(f"b.{x}") for x in keys])
-        pairs = la.join(rb, on).withColumn("_d2", dist2("a", "b")).filter(F.col("_d2") <= sure)
-        pairs = pairs.select(*[F.col(f"a.{c}").alias(c) for c in AXES], cand.alias("c"))
-        best = first_by(pairs, AXES, [F.col("c.d2"), F.col("c.pid")], need)
-        best = best.groupBy(*AXES).agg(F.sort_array(F.collect_list("c")).alias("cands"))
-        if edge >= whole:
-            done.append(best)
-            break
-        found = cut(todo.join(best, AXES, "left"))
-        done.append(found.filter(F.size("cands") >= need))
-        rest = found.filter(F.coalesce(F.size("cands"), F.lit(0)) < need).select(*AXES)
-        if rest.isEmpty():
-            break
-        todo, edge = rest, edge * 2
-    cands = functools.reduce(DataFrame.unionByName, done)
-    j = q.join(cands, AXES).select(F.col(qid), F.slice(F.filter("cands", lambda c: c["pid"] != F.col(qid)), 1, k).alias("_c"))
-    return j.select(qid, F.posexplode("_c").alias("rank", "_n")).select(
-        qid, (F.col("rank") + 1).alias("rank"), F.col("_n.pid").alias(pid if pid != qid else f"{pid}_near"),
-        F.sqrt("_n.d2").alias("distance"), *[F.col(f"_n.{c}").alias(c) for c in keep],
-    )
-
-
 def neighbour_contrast(large: DataFrame, cells: DataFrame, idc: str, value: str, k: int = 4, edge: float = 2.0) -> DataFrame:
     """Each large cell beside the mean of its ``k`` nearest cells; ``inverted``
     marks those below their neighbours."""
@@ -180,7 +136,7 @@ def control_intensity(objs: DataFrame, field: DataFrame, inverse: DataFrame, vol
 
 def project_to_line(cells: DataFrame, line: DataFrame, idc: str, edge: float = 4.0) -> DataFrame:
     """Ordinal position of the nearest centreline point of each cell (ties to the
-    first point), by the growing buckets of :func:`knn`."""
+    first point)."""
     return _nearest(cells, line.groupBy(*AXES).agg(F.min("pos").alias("pos")), idc, edge)
 
 
