@@ -13,11 +13,12 @@ representative.  Work follows what is still open, never all pairs of a group:
 1. each representative is compared with one pivot, the first of the bucket it
    shares most often; this joins most of a group of near copies;
 2. buckets whose members all belong together by now are closed.  In the
-   others, members outside the bucket's largest component meet the members of
-   other components in tiles of bounded size; signatures further apart than
-   ``far`` are passed over (a pair at the limit is that far with a probability
-   under 1e-7), the rest is compared by tiles, again on full sets, and only a
-   spanning forest of the links is written.
+   others, the tiles (of bounded size) of members outside the bucket's largest
+   component meet the other tiles of the bucket, each pair of tiles once for all
+   buckets they share; signatures further apart than ``far`` are passed over (a
+   pair at the limit is that far with a probability under 1e-7), the rest is
+   compared by tiles, again on full sets, and only a spanning forest of the
+   links is written.
 
 Defined results: null or wordless texts have an empty set and link with
 nothing; rows that share an id are one document; rows with a null id are kept,
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from somagrid.llm.common import binary, bounds, mix, runs, sets_of, shingles, text_chunks, words
 from somagrid.operators.components import connected
-from somagrid.session import cut, release
+from somagrid.session import cut
 
 CHUNKS, CHUNK, ERRORS = 12, 5, 1
 POSITIONS = CHUNKS * CHUNK
@@ -162,35 +163,25 @@ def confirm(need: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return with_sets.repartition("t1", "t2").sortWithinPartitions("t1", "t2", "side").mapInArrow(run, "src long, dst long")
 
 
-def _open_tiles(rows: DataFrame, far: int) -> DataFrame:
-    """Tile pairs that still need a comparison: (t1, t2, side, id) from tiled bucket members."""
+def _open_pairs(met: DataFrame, far: int) -> DataFrame:
+    """(t1, t2, side, id): the members of each tile pair that have one of another component within ``far`` on the other side.
+
+    ``met``: (t1, t2, side, id, comp, sig); a tile pair is looked at once, whatever buckets its members share."""
 
     def run(batches):
-        for t in runs(batches, ["key", "i", "j"]):
-            edge = bounds(t, ["key", "i", "j"])
-            side, ids, comp, tile = (t.column(c).to_numpy() for c in ("side", "id", "comp", "tile"))
+        for t in runs(batches, ["t1", "t2"]):
+            edge = bounds(t, ["t1", "t2"])
+            t1, t2, side, ids, comp = (t.column(c).to_numpy() for c in ("t1", "t2", "side", "id", "comp"))
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, POSITIONS)
-            found = []
+            keep = np.zeros(t.num_rows, bool)
             for s, e in zip(edge[:-1], edge[1:]):
                 mid = s + int(np.searchsorted(side[s:e], 1))
-                if mid in (s, e):
-                    continue
                 x, y = np.nonzero(comp[s:mid, None] != comp[None, mid:e])
-                if not len(x):
-                    continue
                 ok = (sig[s + x] != sig[mid + y]).sum(axis=1) <= far
-                x, y = s + x[ok], mid + y[ok]
-                swap = tile[x] > tile[y]
-                x, y = np.where(swap, y, x), np.where(swap, x, y)
-                for own, k in ((x, 0), (y, 1)):
-                    found.append(np.unique(np.stack([tile[x], tile[y], np.full(len(x), k), ids[own]], axis=1), axis=0))
-            if found:
-                f = np.unique(np.concatenate(found), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(f[:, 0]), pa.array(f[:, 1]), pa.array(f[:, 2].astype(np.int32)), pa.array(f[:, 3])],
-                                                 ["t1", "t2", "side", "id"])
+                keep[s + x[ok]] = keep[mid + y[ok]] = True
+            yield pa.RecordBatch.from_arrays([pa.array(t1[keep]), pa.array(t2[keep]), pa.array(side[keep]), pa.array(ids[keep])], ["t1", "t2", "side", "id"])
 
-    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
-    return dealt.mapInArrow(run, "t1 long, t2 long, side int, id long").distinct()
+    return met.repartition("t1", "t2").sortWithinPartitions("t1", "t2", "side").mapInArrow(run, "t1 long, t2 long, side int, id long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", far: int = FAR) -> DataFrame:
@@ -225,15 +216,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
     owned = members.select("key", "id").join(placed, "id")
     state = owned.groupBy("key").agg(F.min("comp").alias("_a"), F.max("comp").alias("_z"), F.max(F.struct("size", "comp")).alias("_top"), F.count(F.lit(1)).alias("_n"))
-    opened = owned.join(state.filter("_a < _z").select("key", F.col("_top.comp").alias("top"), F.ceil(F.col("_n") / TILE).alias("nr")), "key")
-    outside = opened.filter("comp <> top").groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("nl"))
-    opened = cut(opened.join(outside, "key").join(reps.select("id", "sig"), "id"))
-    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-    body = ["id", "comp", "tile", "sig"]
-    spot = lambda c: F.pmod(F.xxhash64("id"), F.col(c))
-    sides = opened.filter("comp <> top").select("key", spot("nl").alias("i"), every("nr").alias("j"), F.lit(0).alias("side"), *body).union(
-        opened.select("key", every("nl").alias("i"), spot("nr").alias("j"), F.lit(1).alias("side"), *body))
-    second = cut(confirm(cut(_open_tiles(sides, far)), sets, percent))
+    opened = cut(owned.join(state.filter("_a < _z").select("key", F.col("_top.comp").alias("top")), "key"))
+    # tiles that share an open bucket, one of them with a member outside the bucket's largest component
+    tiles = cut(opened.groupBy("key", "tile").agg(F.bool_or(F.col("comp") != F.col("top")).alias("outside")))
+    one, two = tiles.filter("outside").select("key", F.col("tile").alias("a")), tiles.select("key", F.col("tile").alias("b"))
+    pairs = cut(one.join(two, "key").select(F.least("a", "b").alias("t1"), F.greatest("a", "b").alias("t2")).distinct())
+    members = opened.select("id", "comp", "tile").distinct().join(reps.select("id", "sig"), "id")
+    on = lambda t, side: pairs.join(members.withColumnRenamed("tile", t), t).select("t1", "t2", F.lit(side).alias("side"), "id", "comp", "sig")
+    second = cut(confirm(cut(_open_pairs(on("t1", 0).union(on("t2", 1)), far)), sets, percent))
 
     last = connected(first.union(second), nodes)
     of_set = reps.select("f1", "f2", "id").join(last, "id", "left").select("f1", "f2", F.coalesce("component", "id").alias("_c"))

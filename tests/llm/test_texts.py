@@ -227,3 +227,26 @@ def test_secrets(docs_of, odd):
     clean = {r["doc_id"]: r["text"] for r in secrets.redact(secrets.with_rows(df)).collect()}
     assert key not in clean[1] and "hunter22" not in clean[1] and clean[10] == rows[3][1] and clean[3] is None
     assert secrets.scan(secrets.with_rows(odd.drop("_row"))).count() == 12 and secrets.scan(secrets.with_rows(docs_of([]))).count() == 0
+
+
+def test_near_duplicates_under_the_limit(docs_of):
+    """300 texts whose pairs nearly all lie between 0.7 and 0.8, and some links among them."""
+    rng = np.random.default_rng(12)
+    base = [f"w{i}" for i in range(120)]
+    rows = {}
+    for i in range(300):
+        w = list(base)
+        for p in rng.choice(20, 2, replace=False) * 6 + rng.integers(0, 5, 2):
+            w[p] = f"e{rng.integers(0, 10**6)}"
+        rows[i] = " ".join(w)
+    for i in range(300, 312):  # half of the edits of another text
+        w = rows[i - 300].split()
+        edits = [p for p in range(120) if w[p].startswith("e")]
+        w[edits[0]] = base[edits[0]]
+        rows[i] = " ".join(w)
+    want = groups(rows, 5)
+    sets = {i: shingle_set(t, 5) for i, t in rows.items()}
+    near = [len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in range(0, 300, 5) for b in range(a)]
+    assert np.mean([0.65 < x < 0.8 for x in near]) > 0.8 and len({c for _, c in want.values()}) > 1
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dups.near_duplicates(docs_of(list(rows.items())), 5).collect()}
+    assert got == want
