@@ -40,7 +40,9 @@ from somagrid.session import cut
 CHUNKS, CHUNK, ERRORS = 12, 5, 1
 POSITIONS = CHUNKS * CHUNK
 FAR = 30
+#: Members of a tile and their shingles, about.
 TILE = 128
+SHINGLES = 1 << 17
 
 
 def signatures(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -163,32 +165,49 @@ def confirm(need: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return with_sets.repartition("t1", "t2").sortWithinPartitions("t1", "t2", "side").mapInArrow(run, "src long, dst long")
 
 
-def _open_pairs(met: DataFrame, far: int) -> DataFrame:
-    """(t1, t2, side, id): the members of each tile pair that have one of another component within ``far`` on the other side.
+def _settle(met: DataFrame, percent: int, far: int) -> DataFrame:
+    """(src, dst) links between two tiles; of the links of a tile pair only a spanning forest.
 
-    ``met``: (t1, t2, side, id, comp, sig); a tile pair is looked at once, whatever buckets its members share."""
+    ``met``: (t1, m1, t2, m2), a row per tile pair with the members (id, comp, sig, blob) of both; members of one component or
+    further apart than ``far`` are not compared."""
 
-    def run(batches):
-        for t in runs(batches, ["t1", "t2"]):
-            edge = bounds(t, ["t1", "t2"])
-            t1, t2, side, ids, comp = (t.column(c).to_numpy() for c in ("t1", "t2", "side", "id", "comp"))
-            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, POSITIONS)
-            keep = np.zeros(t.num_rows, bool)
-            for s, e in zip(edge[:-1], edge[1:]):
-                mid = s + int(np.searchsorted(side[s:e], 1))
-                x, y = np.nonzero(comp[s:mid, None] != comp[None, mid:e])
-                ok = (sig[s + x] != sig[mid + y]).sum(axis=1) <= far
-                keep[s + x[ok]] = keep[mid + y[ok]] = True
-            yield pa.RecordBatch.from_arrays([pa.array(t1[keep]), pa.array(t2[keep]), pa.array(side[keep]), pa.array(ids[keep])], ["t1", "t2", "side", "id"])
+    def run(t: pa.Table) -> pa.Table:
+        src, dst = [], []
+        for a, b in zip(t.column("m1").to_pylist(), t.column("m2").to_pylist()):
+            sig = [np.frombuffer(b"".join(v["sig"] for v in m), np.uint8).reshape(-1, POSITIONS) for m in (a, b)]
+            comp = [np.array([v["comp"] for v in m]) for m in (a, b)]
+            meet = comp[0][:, None] != comp[1][None, :]
+            for i in np.flatnonzero(meet.any(axis=1)):
+                meet[i] &= (sig[0][i] != sig[1]).sum(axis=1) <= far
+            x, y = np.flatnonzero(meet.any(axis=1)), np.flatnonzero(meet.any(axis=0))
+            if not len(x):
+                continue
+            sets = [[np.frombuffer(m[i]["blob"], np.uint64) for i in side] for m, side in ((a, x), (b, y))]
+            root = {}
+
+            def find(v):
+                while root.get(v, v) != v:
+                    v = root[v]
+                return v
+
+            for i, j in zip(*np.nonzero(_links(*sets, percent) & meet[np.ix_(x, y)])):
+                u, v = a[x[i]], b[y[j]]
+                p, q = find(u["comp"]), find(v["comp"])
+                if p != q:
+                    root[p] = q
+                    src.append(u["id"])
+                    dst.append(v["id"])
+        return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
 
-    return met.repartition("t1", "t2").sortWithinPartitions("t1", "t2", "side").mapInArrow(run, "t1 long, t2 long, side int, id long")
+    # dealt by the second tile already, one pair at a time
+    return met.groupBy("t2", "t1").applyInArrow(run, "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", far: int = FAR) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs``."""
     sigs = cut(signatures(docs, width, id_col, text_col))
     usable = sigs.filter("doc_id is not null and n_shingles > 0")
-    reps = cut(usable.groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.min_by("sig", "doc_id").alias("sig")))
+    reps = cut(usable.groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.min_by("sig", "doc_id").alias("sig"), F.first("n_shingles").alias("n")))
 
     keys = chunk_keys(reps)
     shared = keys.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("_z")).filter("pivot < _z").select("key", "pivot")
@@ -211,7 +230,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         .join(comp.select(F.col("id").alias("pivot"), F.col("component").alias("_of_pivot")), "pivot", "left")
         .select("id", F.col("component").alias("comp"), "size", F.when(F.col("size") > 1, F.col("component")).otherwise(F.coalesce("_of_pivot", "component")).alias("home"))
     )
-    homes = home.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("tiles"))
+    homes = home.join(reps.select("id", "n"), "id").groupBy("home").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TILE), F.ceil(F.sum("n") / SHINGLES)).alias("tiles"))
     placed = cut(home.join(homes, "home").withColumn("tile", F.xxhash64("home", F.pmod(F.xxhash64("id"), "tiles"))).select("id", "comp", "size", "tile"))
 
     owned = members.select("key", "id").join(placed, "id")
@@ -221,9 +240,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     tiles = cut(opened.groupBy("key", "tile").agg(F.bool_or(F.col("comp") != F.col("top")).alias("outside")))
     one, two = tiles.filter("outside").select("key", F.col("tile").alias("a")), tiles.select("key", F.col("tile").alias("b"))
     pairs = cut(one.join(two, "key").select(F.least("a", "b").alias("t1"), F.greatest("a", "b").alias("t2")).distinct())
-    members = opened.select("id", "comp", "tile").distinct().join(reps.select("id", "sig"), "id")
-    on = lambda t, side: pairs.join(members.withColumnRenamed("tile", t), t).select("t1", "t2", F.lit(side).alias("side"), "id", "comp", "sig")
-    second = cut(confirm(cut(_open_pairs(on("t1", 0).union(on("t2", 1)), far)), sets, percent))
+    inside = opened.select("id", "comp", "tile").distinct().join(reps.select("id", "sig"), "id").join(sets, "id")
+    sheets = cut(inside.groupBy("tile").agg(F.collect_list(F.struct("id", "comp", "sig", "blob")).alias("m")))
+    met = pairs.join(sheets.toDF("t1", "m1"), "t1").join(sheets.toDF("t2", "m2"), "t2")
+    second = cut(_settle(met, percent, far))
 
     last = connected(first.union(second), nodes)
     of_set = reps.select("f1", "f2", "id").join(last, "id", "left").select("f1", "f2", F.coalesce("component", "id").alias("_c"))
