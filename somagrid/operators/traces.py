@@ -10,34 +10,37 @@ from pyspark.sql import DataFrame, functions as F
 from somagrid.operators.ordered import value_ranks
 from somagrid.operators.spatial import knn
 from somagrid.operators.voxels import footprint, send
-from somagrid.session import cut, spread
+from somagrid.operators.tree import chains
+from somagrid.session import cut, release, spread
 
 AXES = ["z", "y", "x"]
 
 
 def parent_chains(nodes: DataFrame) -> DataFrame:
-    """(tree, cur_idx, ancestor, step): every node with its chain to the root.
-
-    Chains double in length each round, so the rounds grow with the log of the
-    depth, and each is an equi-join on (tree, node)."""
-    jump = cut(nodes.filter("parent >= 0").select("tree", "cur_idx", F.col("parent").alias("ancestor")))
-    chain, step = jump.withColumn("step", F.lit(1)), 1
-    while not jump.isEmpty():
-        on = lambda a, b: (F.col(f"{a}.tree") == F.col(f"{b}.tree")) & (F.col(f"{a}.ancestor") == F.col(f"{b}.cur_idx"))
-        more = jump.alias("j").join(chain.alias("c"), on("j", "c")).select("j.tree", "j.cur_idx", "c.ancestor", (F.col("c.step") + step).alias("step"))
-        chain = cut(chain.unionByName(more))
-        jump = cut(jump.alias("j").join(jump.alias("k"), on("j", "k")).select("j.tree", "j.cur_idx", "k.ancestor"))
-        step *= 2
-    return chain
+    """(tree, cur_idx, ancestor, step): every node with its chain to the root."""
+    up = nodes.filter("parent >= 0").select("tree", "cur_idx", F.col("parent").alias("ancestor"))
+    return chains(up, ["tree"], "cur_idx", "ancestor")
 
 
 def tree_paths(nodes: DataFrame, length: str = "len") -> DataFrame:
     """Depth and coordinate count of each node's parent chain, and its place in
-    shortest-first order within the tree."""
-    up = parent_chains(nodes).join(nodes.select("tree", F.col("cur_idx").alias("ancestor"), F.col(length).alias("_l")), ["tree", "ancestor"])
-    s = up.groupBy("tree", "cur_idx").agg(F.max("step").alias("depth"), F.sum("_l").alias("path_length"))
-    j = nodes.select("tree", "cur_idx").join(s, ["tree", "cur_idx"], "left").fillna(0, subset=["depth", "path_length"])
-    j = cut(j.withColumn("_k", F.struct("path_length", "cur_idx")))
+    shortest-first order within the tree.
+
+    Every node carries the sums up to one ancestor; each round it takes over that
+    ancestor's sums and goes on from there, so a round is one row per node and the
+    chains themselves are never written.  A parent without a row ends the chain."""
+    at = lambda df, idx, **names: df.select("tree", F.col("cur_idx").alias(idx), *[F.col(c).alias(n) for c, n in names.items()])
+    up = nodes.select("tree", "cur_idx", F.when(F.col("parent") >= 0, F.col("parent")).alias("_up"))
+    j = up.join(at(nodes, "_up", **{length: "_l"}).withColumn("_there", F.lit(True)), ["tree", "_up"], "left")
+    state = cut(j.select("tree", "cur_idx", F.when(F.col("_there"), F.col("_up")).alias("_up"), F.when(F.col("_there"), 1).otherwise(0).cast("long").alias("depth"),
+                         F.coalesce("_l", F.lit(0)).alias("path_length")))
+    while not state.filter("_up IS NOT NULL").isEmpty():
+        j = state.join(at(state, "_up", _up="_next", depth="_d", path_length="_p"), ["tree", "_up"], "left")
+        add = lambda c, d: (F.col(c) + F.coalesce(d, F.lit(0))).alias(c)
+        new = cut(j.select("tree", "cur_idx", F.col("_next").alias("_up"), add("depth", "_d"), add("path_length", "_p")))
+        release(state)
+        state = new
+    j = cut(state.drop("_up").withColumn("_k", F.struct("path_length", "cur_idx")))
     r = value_ranks(j, ["tree"], "_k").select("tree", "_k", (F.col("before") + 1).alias("place"))
     return j.join(r, ["tree", "_k"]).drop("_k")
 

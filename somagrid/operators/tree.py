@@ -9,8 +9,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from somagrid.session import cut
 
-MAX_DEPTH = 32
-
 
 def with_children(onto: DataFrame) -> DataFrame:
     """Add the child-id array to an (ids, .., parent, ..) table."""
@@ -20,23 +18,30 @@ def with_children(onto: DataFrame) -> DataFrame:
     )
 
 
+def chains(up: DataFrame, keys: list[str], node: str, ancestor: str, step: str = "step") -> DataFrame:
+    """Every node with all of its ancestors and their distance, from (node, next ancestor) rows that hold no circle.
+
+    Known chains double in length each round, so rounds grow with the log of the depth; each writes the rows it adds, once."""
+    parts, n = [cut(up.select(*keys, node, ancestor).withColumn(step, F.lit(1)))], 1
+    while True:
+        known = functools.reduce(DataFrame.unionByName, parts)
+        far = known.filter(F.col(step) == n)
+        if far.isEmpty():
+            return known
+        on = functools.reduce(operator.and_, [F.col(f"f.{k}") == F.col(f"k.{k}") for k in keys] + [F.col(f"f.{ancestor}") == F.col(f"k.{node}")])
+        more = far.alias("f").join(known.alias("k"), on)
+        parts.append(cut(more.select(*[f"f.{k}" for k in keys], f"f.{node}", f"k.{ancestor}", (F.col(f"k.{step}") + n).alias(step))))
+        n *= 2
+
+
 def closure(onto: DataFrame) -> DataFrame:
     """(ancestor, descendant, depth), each region being its own ancestor.
 
-    A region tree has a few thousand rows and about ten levels, so the
-    recursion runs over that table only.  Missing children drop out by the join.
-    """
-    spark = onto.sparkSession
-    nodes = cut(onto.select("ids", "parent").coalesce(1))
-    return spark.sql(
-        f"""
-        WITH RECURSIVE walk(ancestor, descendant, depth) MAX RECURSION LEVEL {MAX_DEPTH} AS (
-          SELECT ids, ids, 0 FROM {{nodes}}
-          UNION ALL
-          SELECT w.ancestor, n.ids, w.depth + 1 FROM walk w JOIN {{nodes}} n ON n.parent = w.descendant)
-        SELECT ancestor, descendant, depth FROM walk""",
-        nodes=nodes,
-    )
+    The tree may be of any depth; a parent that is no region of its own ends the way up."""
+    own = onto.select("ids", "parent")
+    up = own.join(own.select(F.col("ids").alias("parent")).distinct(), "parent", "left_semi").select(F.col("ids").alias("descendant"), F.col("parent").alias("ancestor"))
+    far = chains(up, [], "descendant", "ancestor", "depth").select("ancestor", "descendant", "depth")
+    return own.select(F.col("ids").alias("ancestor"), F.col("ids").alias("descendant"), F.lit(0).alias("depth")).unionByName(far)
 
 
 def subtree_ids(onto: DataFrame, names: list[str], by: str = "names") -> DataFrame:
@@ -91,10 +96,14 @@ def apply_exclusions(regions: DataFrame, onto: DataFrame, brains: DataFrame, ext
 
 
 def prune_children(onto: DataFrame, erased: DataFrame) -> DataFrame:
-    """Rows that stay, with the erased ids taken out of their child lists."""
-    gone = erased.select(F.col("ids").alias("_id"))
-    ids = gone.agg(F.coalesce(F.collect_set("_id"), F.array().cast("array<bigint>"))).scalar()
-    return onto.join(gone, F.col("ids") == F.col("_id"), "left_anti").withColumn("children", F.array_except("children", ids))
+    """Rows that stay, with the erased ids taken out of their child lists.
+
+    Lists shorten through a join on (parent, erased child), so the erased ids are never gathered."""
+    gone = erased.select(F.col("ids").alias("_id")).distinct()
+    left = onto.join(gone, F.col("ids") == F.col("_id"), "left_anti")
+    kids = left.select("ids", F.posexplode("children").alias("_pos", "_id"))
+    hit = kids.join(gone, "_id").groupBy("ids").agg(F.collect_set("_id").alias("_out"))
+    return left.join(hit, "ids", "left").withColumn("children", F.when(F.col("_out").isNotNull(), F.array_except("children", "_out")).otherwise(F.col("children"))).drop("_out").select(*onto.columns)
 
 
 def rollup_tree(regions: DataFrame, sums: list[str], keys=("dataset",), volume: str = "vol_w", levels: list[int] | None = None) -> DataFrame:
