@@ -34,15 +34,16 @@ def split_overlaps(boxes: DataFrame, box: str = "box") -> DataFrame:
     return n.filter("_n = 1").select(*AXES, box).unionByName(owner)
 
 
-def iou_pairs(a: DataFrame, b: DataFrame, la: str = "label", lb: str = "label") -> DataFrame:
+def iou_pairs(a: DataFrame, b: DataFrame, la: str = "label", lb: str = "label", by=()) -> DataFrame:
     """Overlapping object pairs with intersection and IoU: one equi-join on voxel,
-    linear in voxels, never all object pairs."""
-    x = a.select(*AXES, F.col(la).alias("a")).distinct()
-    y = b.select(*AXES, F.col(lb).alias("b")).distinct()
-    both = x.join(y, AXES).groupBy("a", "b").agg(F.count(F.lit(1)).alias("inter"))
-    na = x.groupBy("a").agg(F.count(F.lit(1)).alias("na"))
-    nb = y.groupBy("b").agg(F.count(F.lit(1)).alias("nb"))
-    j = both.join(na, "a").join(nb, "b")
+    linear in voxels, never all object pairs.  With ``by`` objects meet inside one
+    image (or brain) only."""
+    x = a.select(*by, *AXES, F.col(la).alias("a")).distinct()
+    y = b.select(*by, *AXES, F.col(lb).alias("b")).distinct()
+    both = x.join(y, [*by, *AXES]).groupBy(*by, "a", "b").agg(F.count(F.lit(1)).alias("inter"))
+    na = x.groupBy(*by, "a").agg(F.count(F.lit(1)).alias("na"))
+    nb = y.groupBy(*by, "b").agg(F.count(F.lit(1)).alias("nb"))
+    j = both.join(na, [*by, "a"]).join(nb, [*by, "b"])
     return j.withColumn("iou", F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter")))
 
 
@@ -67,6 +68,47 @@ def detection_scores(truth: DataFrame, pred: DataFrame, iou: float = 0.3, min_si
         d(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), d(F.col("both"), F.col("any")).alias("jaccard"))
 
 
+def image_scores(truth: DataFrame, pred: DataFrame, by=("image",), iou: float = 0.3, min_size: int | None = None) -> DataFrame:
+    """:func:`detection_scores` for every image that has a truth or predicted voxel,
+    with the number and mean IoU of the matched pairs; :func:`matched_ious` lists them.
+
+    A ratio with nothing below its line is NULL, as is the mean without a match."""
+    by = list(by)
+    objects = lambda df: df.groupBy(*by, "label").agg(F.count(F.lit(1)).alias("_n"))
+    t, p = truth.select(*by, *AXES, "label").distinct(), pred.select(*by, *AXES, "label").distinct()
+    nt, np_ = objects(t), objects(p)
+    if min_size is not None:
+        nt = nt.filter(F.col("_n") > min_size)
+        t = t.join(nt.select(*by, "label"), [*by, "label"], "left_semi")
+    hit = cut(iou_pairs(t, p, by=by).filter(F.col("iou") > iou).select(*by, "a", "b", "iou"))
+    # one row per object and per voxel, so an image with most of the objects is summed from partial counts
+    seen = hit.select(*by, F.col("b").alias("label")).distinct().withColumn("_hit", F.lit(1))
+    found = hit.select(*by, F.col("a").alias("label")).distinct().withColumn("_hit", F.lit(1))
+    per_pred = np_.join(seen, [*by, "label"], "left").groupBy(*by).agg(F.count("_hit").alias("tp"), F.count_if(F.col("_hit").isNull()).alias("fp"))
+    per_truth = nt.join(found, [*by, "label"], "left").groupBy(*by).agg(F.count_if(F.col("_hit").isNull()).alias("fn"))
+    sides = t.select(*by, *AXES).distinct().withColumn("_s", F.lit(1)).unionByName(p.select(*by, *AXES).distinct().withColumn("_s", F.lit(2)))
+    voxels = sides.groupBy(*by, *AXES).agg(F.sum("_s").alias("_s")).groupBy(*by).agg(F.count_if(F.col("_s") == 3).alias("_both"), F.count(F.lit(1)).alias("_any"))
+    pairs = hit.groupBy(*by).agg(F.count(F.lit(1)).alias("n_pairs"), F.avg("iou").alias("mean_iou"))
+    r = functools.reduce(lambda x, y: x.join(y, by, "full_outer"), [per_pred, per_truth, voxels, pairs]).fillna(0, subset=["tp", "fp", "fn", "n_pairs"])
+    d = lambda a, b: F.try_divide(a.cast("double"), b)
+    return r.select(*by, "tp", "fp", "fn", d(F.col("tp"), F.col("tp") + F.col("fn")).alias("sensitivity"), d(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
+                    d(F.col("_both"), F.col("_any")).alias("jaccard"), "n_pairs", "mean_iou")
+
+
+def matched_ious(truth: DataFrame, pred: DataFrame, by=("image",), iou: float = 0.3) -> DataFrame:
+    """Each matched pair of a truth object ``a`` and a prediction ``b`` with its IoU, per image."""
+    return iou_pairs(truth, pred, by=list(by)).filter(F.col("iou") > iou).select(*by, "a", "b", "iou")
+
+
+def pooled_scores(scores: DataFrame) -> DataFrame:
+    """One row from :func:`image_scores`: counts summed over images, sensitivity and
+    precision of the sums, and the means over the images where a score is above 0."""
+    total = scores.agg(F.count(F.lit(1)).alias("n_images"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn")],
+                       *[F.avg(F.when(F.col(c) > 0, F.col(c))).alias(f"mean_{c}") for c in ("sensitivity", "precision", "jaccard")])
+    d = lambda *c: F.try_divide(F.col("tp").cast("double"), F.col(c[0]) + F.col(c[1]))
+    return total.withColumn("sensitivity", d("tp", "fn")).withColumn("precision", d("tp", "fp"))
+
+
 def overlap_objects(objs: DataFrame, mask: DataFrame, label: str = "label") -> DataFrame:
     """Objects that touch the mask."""
     m = mask.select(*AXES).distinct()

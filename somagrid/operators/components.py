@@ -17,8 +17,10 @@ BITS = 21
 
 
 def voxel_id(prefix: str = "") -> Column:
-    """Position packed into one long, 21 bits per axis, ordered z, y, x."""
-    c = lambda a: F.col(f"{prefix}{a}").cast("bigint")
+    """Position packed into one long, 21 bits per axis, ordered z, y, x; a position that does not fit is an error."""
+    fits = lambda a: F.col(f"{prefix}{a}").between(0, (1 << BITS) - 1)
+    c = lambda a: F.when(F.col(f"{prefix}{a}").isNull() | fits(a), F.col(f"{prefix}{a}").cast("bigint")).otherwise(
+        F.raise_error(F.lit(f"{prefix}{a} does not fit into {BITS} bits")).cast("bigint"))
     return F.shiftleft(c("z"), 2 * BITS).bitwiseOR(F.shiftleft(c("y"), BITS)).bitwiseOR(c("x"))
 
 
@@ -105,17 +107,21 @@ def _local_roots(pos: np.ndarray, group: np.ndarray, steps) -> np.ndarray:
 
 
 def label_components(voxels: DataFrame, connectivity: int = 26, within: str | None = None, block: int = 32,
-                     out: str = "component") -> DataFrame:
+                     out: str = "component", by: list[str] = ()) -> DataFrame:
     """3-D components of a voxel set; the id is the smallest :func:`voxel_id`.
 
     Each block of ``block**3`` voxels is labelled on its own (one shuffle, at
     most that many rows per group); only block pieces that meet across a block
     face become graph nodes.  ``within`` keeps voxels of different values apart.
+    With ``by`` (a brain, say) each value has a volume of its own, and an id names
+    a component together with it.  Positions must fit into 21 bits an axis.
     """
+    by, at = list(by), [*by, *AXES]
+    kind = dict(voxels.dtypes)
     steps = offsets(connectivity, forward=True)
     grp = F.xxhash64(within) if within else F.lit(0).cast("bigint")
-    extra = [c for c in voxels.columns if c not in AXES]
-    v = voxels.select(*AXES, grp.alias("_g")).distinct()
+    extra = [c for c in voxels.columns if c not in at]
+    v = voxels.select(*at, grp.alias("_g")).distinct()
     keyed = v
     for a in AXES:
         keyed = keyed.withColumn(f"_b{a}", F.floor(F.col(a) / block))
@@ -123,18 +129,25 @@ def label_components(voxels: DataFrame, connectivity: int = 26, within: str | No
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(AXES, ignore_index=True)
         pos = pdf[AXES].to_numpy(np.int64)
+        if pos.min() < 0 or pos.max() >> BITS:
+            raise ValueError(f"positions must lie between 0 and {(1 << BITS) - 1}")
         root = _local_roots(pos, pdf["_g"].to_numpy(), steps)
         packed = (pos[:, 0] << 2 * BITS) | (pos[:, 1] << BITS) | pos[:, 2]
-        return pdf[AXES + ["_g"]].assign(_piece=packed[root])
+        return pdf[at + ["_g"]].assign(_piece=packed[root])
 
-    pieces = cut(keyed.groupBy("_bz", "_by", "_bx").applyInPandas(run, "z bigint, y bigint, x bigint, _g bigint, _piece bigint"))
+    pieces = cut(keyed.groupBy(*by, "_bz", "_by", "_bx").applyInPandas(run, "".join(f"{b} {kind[b]}, " for b in by) + "z bigint, y bigint, x bigint, _g bigint, _piece bigint"))
+    node = F.struct(*by, "_piece") if by else F.col("_piece")
     arr = F.from_json(F.lit(json.dumps([dict(zip(AXES, o)) for o in steps])), "array<struct<z:bigint,y:bigint,x:bigint>>")
     on_face = functools.reduce(operator.or_, [F.pmod(F.col(a), F.lit(block)).isin(0, block - 1) for a in AXES])
     rim = pieces.filter(on_face)
     sent = spread(rim.withColumn("_o", F.explode(arr)).select(
-        *[(F.col(a) + F.col(f"_o.{a}")).alias(a) for a in AXES], "_g", F.col("_piece").alias("src")
+        *by, *[(F.col(a) + F.col(f"_o.{a}")).alias(a) for a in AXES], "_g", node.alias("src")
     ))
-    meet = sent.join(rim.select(*AXES, "_g", F.col("_piece").alias("dst")), [*AXES, "_g"]).filter("src <> dst").select("src", "dst").distinct()
-    comp = connected(meet, pieces.select(F.col("_piece").alias("id")).distinct())
-    lab = pieces.join(comp.withColumnRenamed("id", "_piece"), "_piece").select(*AXES, F.col("component").alias(out))
-    return lab if not extra else voxels.join(lab, AXES)
+    meet = sent.join(rim.select(*at, "_g", node.alias("dst")), [*at, "_g"]).filter("src <> dst").select("src", "dst").distinct()
+    comp = connected(meet, pieces.select(node.alias("id")).distinct())
+    if by:
+        comp = comp.select(*[F.col(f"id.{c}").alias(c) for c in (*by, "_piece")], F.col("component._piece").alias("component"))
+    else:
+        comp = comp.withColumnRenamed("id", "_piece")
+    lab = pieces.join(comp, [*by, "_piece"]).select(*at, F.col("component").alias(out))
+    return lab if not extra else voxels.join(lab, at)

@@ -7,14 +7,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 VOXEL = ["z", "y", "x"]
 
 
-def label_cells(cells: DataFrame, atlas: DataFrame, cols=("label", "hemisphere")) -> DataFrame:
+def label_cells(cells: DataFrame, atlas: DataFrame, cols=("label", "hemisphere"), by=()) -> DataFrame:
     """Region label of each cell by voxel; cells outside get NULL.
 
-    Both sides are keyed by voxel; an atlas under the broadcast threshold is
+    With ``by`` (``["dataset"]``) the atlas holds one volume per brain, each in
+    its own space, and a cell meets only that of its brain.  Both sides are keyed by voxel; an atlas under the broadcast threshold is
     broadcast by Spark itself, a larger one is hash-partitioned (or bucketed
     by the caller).
     """
-    return cells.join(atlas.select(*VOXEL, *cols), VOXEL, "left")
+    return cells.join(atlas.select(*by, *VOXEL, *cols), [*by, *VOXEL], "left")
 
 
 def region_counts(labelled: DataFrame, onto: DataFrame, brains: DataFrame, min_size: int = 30, large: int = 500) -> DataFrame:
@@ -36,18 +37,19 @@ def region_counts(labelled: DataFrame, onto: DataFrame, brains: DataFrame, min_s
     return grid.join(n, ["dataset", "ids"], "left").fillna(0, subset=counts)
 
 
-def region_volume(atlas: DataFrame, res: float = 20.0, counted: bool = False) -> DataFrame:
-    """mm3 per label at ``res`` micrometres: the whole, and half of it for each side.
+def region_volume(atlas: DataFrame, res: float = 20.0, counted: bool = False, by=()) -> DataFrame:
+    """mm3 per label at ``res`` micrometres: the whole, and half of it for each side;
+    per brain with ``by``.
 
     With ``counted`` the sides are the voxels of each hemisphere instead, NULL
     where a side has none.
     """
     mm3 = F.lit(res**3)
-    n = atlas.filter("label > 0").groupBy(F.col("label").alias("ids")).agg(
+    n = atlas.filter("label > 0").groupBy(*by, F.col("label").alias("ids")).agg(
         F.count(F.lit(1)).alias("_w"), *[F.count_if(F.col("hemisphere") == i).alias(f"_{s}") for i, s in ((1, "l"), (2, "r"))])
     whole = F.col("_w") * mm3 * 1e-9
     side = lambda s: F.nullif(F.col(f"_{s}"), F.lit(0)) * mm3 * 1e-9 if counted else whole / 2
-    return n.select("ids", whole.alias("vol_w"), side("l").alias("vol_l"), side("r").alias("vol_r"))
+    return n.select(*by, "ids", whole.alias("vol_w"), side("l").alias("vol_l"), side("r").alias("vol_r"))
 
 
 def region_density(df: DataFrame, side: Column | None = None) -> DataFrame:

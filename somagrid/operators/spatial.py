@@ -38,24 +38,25 @@ def _buckets(df: DataFrame, edge: float, axes=AXES, ring: int = 0) -> DataFrame:
     return spread(df) if ring else df
 
 
-def bucket_join(a: DataFrame, b: DataFrame, radius: float, axes=AXES, scale: dict | None = None) -> DataFrame:
-    """Pairs of positions within ``radius``: left columns as ``a.*``, right as ``b.*``.
+def bucket_join(a: DataFrame, b: DataFrame, radius: float, axes=AXES, scale: dict | None = None, by=()) -> DataFrame:
+    """Pairs of positions within ``radius`` (and of equal ``by`` columns): left columns as ``a.*``, right as ``b.*``.
 
     ``a`` (the smaller side) is sent to the 27 buckets around it, ``b`` to one.
     """
-    keys = [f"_b{x}" for x in axes]
+    keys = [*by, *[f"_b{x}" for x in axes]]
     edge = radius * (1 + 1e-9)
     la, rb = _buckets(a, edge, axes, 1).alias("a"), _buckets(b, edge, axes).alias("b")
     on = functools.reduce(operator.and_, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys])
     return la.join(rb, on).withColumn("_d2", dist2("a", "b", axes, scale)).filter(F.col("_d2") <= float(radius) ** 2)
 
 
-def radius_count(a: DataFrame, b: DataFrame, radius: float, out: str = "n_near") -> DataFrame:
-    """Rows of ``a`` with the number of ``b`` points within ``radius`` (0 when none)."""
-    pos = a.select(*AXES).distinct()
-    pts = b.groupBy(*AXES).agg(F.count(F.lit(1)).alias("_n"))
-    near = bucket_join(pos, pts, radius).groupBy(*[F.col(f"a.{c}").alias(c) for c in AXES]).agg(F.sum("b._n").alias(out))
-    return a.join(near, AXES, "left").fillna(0, subset=[out])
+def radius_count(a: DataFrame, b: DataFrame, radius: float, out: str = "n_near", by=()) -> DataFrame:
+    """Rows of ``a`` with the number of ``b`` points (of the same brain, with ``by``) within ``radius`` (0 when none)."""
+    at = [*by, *AXES]
+    pos = a.select(*at).distinct()
+    pts = b.groupBy(*at).agg(F.count(F.lit(1)).alias("_n"))
+    near = bucket_join(pos, pts, radius, by=by).groupBy(*[F.col(f"a.{c}").alias(c) for c in at]).agg(F.sum("b._n").alias(out))
+    return a.join(near, at, "left").fillna(0, subset=[out])
 
 
 def neighbour_contrast(large: DataFrame, cells: DataFrame, idc: str, value: str, k: int = 4, edge: float = 2.0) -> DataFrame:

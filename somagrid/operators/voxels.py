@@ -58,11 +58,11 @@ def inside(df: DataFrame, shape: dict | None) -> DataFrame:
 
 
 # --------------------------------------------------------------- objects
-def object_props(voxels: DataFrame, label: str = "label") -> DataFrame:
-    """Volume, centroid and half-open bounding box per label.  The voxel list of
+def object_props(voxels: DataFrame, label: str = "label", by=()) -> DataFrame:
+    """Volume, centroid and half-open bounding box per label (of each brain, with ``by``).  The voxel list of
     an object stays the labelled voxel table itself, so a huge object is never
     gathered into one row."""
-    return voxels.groupBy(label).agg(
+    return voxels.groupBy(*by, label).agg(
         F.count(F.lit(1)).alias("volume"), *[F.avg(a).alias(f"c{a}") for a in AXES],
         *[F.min(a).alias(f"{a}0") for a in AXES], *[(F.max(a) + 1).alias(f"{a}1") for a in AXES],
     )
@@ -272,7 +272,7 @@ def merge_groups(touch: DataFrame, group: str, item: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ maps
-def density_map(cells: DataFrame, atlas: DataFrame, radius: int = 5, res_um: float = 20.0, shape: dict | None = None) -> DataFrame:
+def density_map(cells: DataFrame, atlas: DataFrame, radius: int = 5, res_um: float = 20.0, shape: dict | None = None, by=()) -> DataFrame:
     """Cells per mm3 around each atlas voxel: every cell adds 1 to all voxels within
     ``radius``, over the volume of the surrounding cube.
 
@@ -280,21 +280,22 @@ def density_map(cells: DataFrame, atlas: DataFrame, radius: int = 5, res_um: flo
     crowded voxels cost one row.  With a shape, positions past the far side fall
     on its last voxel (once per cell); positions below 0 are dropped.  For a cell
     inside the shape the last voxel is then reached only if it is in the plain
-    ball, so only cells beyond the far side go through single steps.
+    ball, so only cells beyond the far side go through single steps.  With ``by``
+    (``["dataset"]``) every brain has its own map, over its own atlas.
     """
-    n = cells.groupBy(*AXES).agg(F.count(F.lit(1)).alias("_n"))
+    n = cells.groupBy(*by, *AXES).agg(F.count(F.lit(1)).alias("_n"))
     ball = footprint("ball", radius)
     if shape:
         far = functools.reduce(operator.or_, [F.col(a) > s - 1 for a, s in shape.items()])
         capped = n.filter(far).withColumn("_o", F.explode(steps_array(ball))).select(
-            F.struct(*AXES).alias("_c"), *[F.least(F.col(a) + F.col(f"_o.{a}"), F.lit(shape[a] - 1)).alias(a) for a in AXES], "_n"
-        ).distinct().select(*AXES, "_n")
-        spread = ball_sums(n.filter(~far), radius, shape).unionByName(capped)
+            *by, F.struct(*AXES).alias("_c"), *[F.least(F.col(a) + F.col(f"_o.{a}"), F.lit(shape[a] - 1)).alias(a) for a in AXES], "_n"
+        ).distinct().select(*by, *AXES, "_n")
+        spread = ball_sums(n.filter(~far), radius, shape, by=by).unionByName(capped)
     else:
-        spread = ball_sums(n, radius)
+        spread = ball_sums(n, radius, by=by)
     scale = 1.0 / (radius * res_um * 0.001 * 2) ** 3
-    dens = spread.groupBy(*AXES).agg((F.sum("_n") * F.lit(scale)).alias("density"))
-    return dens.join(atlas.filter("label > 0").select(*AXES), AXES, "left_semi")
+    dens = spread.groupBy(*by, *AXES).agg((F.sum("_n") * F.lit(scale)).alias("density"))
+    return dens.join(atlas.filter("label > 0").select(*by, *AXES), [*by, *AXES], "left_semi")
 
 
 def mean_map(maps: DataFrame, mask: DataFrame, n_brains: int, value: str = "density", fill: float = 1.0) -> DataFrame:

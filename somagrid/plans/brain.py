@@ -11,9 +11,9 @@ VOLUMES = ["vol_l", "vol_r", "vol_w"]
 
 
 def brain_tables(cells: DataFrame, atlas: DataFrame, onto: DataFrame, brains: DataFrame, min_size: int = 30, large: int = 500,
-                 res: float = 20.0) -> DataFrame:
-    """(dataset, region) table: the size filter reaches the scan, one voxel join,
+                 res: float = 20.0, by=()) -> DataFrame:
+    """(dataset, region) table, with one atlas for all brains or, by ``["dataset"]``, one for each: the size filter reaches the scan, one voxel join,
     one aggregate, then only region-sized tables."""
     small = cells.select("dataset", "z", "y", "x", "vols").filter(f"vols > {min_size}")
-    counts = region_counts(label_cells(small, atlas), onto, brains, min_size, large)
-    return counts.join(region_volume(atlas, res), "ids", "left")
+    counts = region_counts(label_cells(small, atlas, by=by), onto, brains, min_size, large)
+    return counts.join(region_volume(atlas, res, by=by), [*by, "ids"], "left")

@@ -16,7 +16,7 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 
 MODULES = [
-    "brains", "groups", "scalars", "spatial", "volumes", "objects", "tracking", "traces", "tiles", "tabular",
+    "brains", "groups", "scalars", "spatial", "volumes", "objects", "tracking", "traces", "tiles", "tabular", "perbrain",
 ]
 
 

@@ -163,6 +163,34 @@ def brains(spark, d) -> DataFrame:
     )
 
 
+# an atlas of its own for each brain: labels turned and the midline moved by its number
+SQL["brain_atlas"] = ("atlas brains", """
+  SELECT dataset, z, y, x, CASE WHEN label = 0 THEN 0 ELSE 1000 + (label - 1000 + num) % (SELECT count(*) FROM supplier) END AS label,
+         CASE WHEN x < 14 + num % 4 THEN 1 ELSE 2 END AS hemisphere FROM atlas, brains""")
+SQL["image_truth"] = ("cells", """
+  SELECT DISTINCT dataset AS image, z, y, x, (z // 4) * 1000000 + (y // 4) * 1000 + x // 4 + 1 AS label FROM cells WHERE vols > 200""")
+SQL["image_pred"] = ("cells", """
+  SELECT DISTINCT dataset AS image, z, y, x + 1 AS x, (z // 4) * 1000000 + (y // 4) * 1000 + x // 4 + 1 AS label FROM cells WHERE vols > 300""")
+
+
+def brain_atlas(spark, d) -> DataFrame:
+    n = table(spark, d, "supplier").agg(F.count(F.lit(1))).scalar()
+    num = F.col("num")
+    each = F.collect_list(F.struct("dataset", "num"))  # one entry per brain of the sample list
+    many = atlas(spark, d).withColumn("_b", F.explode(brains(spark, d).agg(each).scalar()))
+    return spread(many).select("*", F.col("_b.dataset").alias("dataset"), F.col("_b.num").alias("num")).select(
+        "dataset", "z", "y", "x", F.when(F.col("label") == 0, 0).otherwise(1000 + (F.col("label") - 1000 + num) % n).cast("bigint").alias("label"),
+        F.when(F.col("x") < 14 + num % 4, 1).otherwise(2).alias("hemisphere"))
+
+
+def image_truth(spark, d) -> DataFrame:
+    return _bricks(cells(spark, d).filter("vols > 200"), "dataset").withColumnRenamed("dataset", "image")
+
+
+def image_pred(spark, d) -> DataFrame:
+    return _bricks(cells(spark, d).filter("vols > 300"), "dataset").withColumnRenamed("dataset", "image").withColumn("x", F.col("x") + 1)
+
+
 # ------------------------------------------- per-brain region table (leaves up)
 SQL["closure"] = ("ontology", """
   SELECT o.ids AS ancestor, o.ids AS descendant, 0 AS depth FROM ontology o
@@ -269,8 +297,8 @@ SQL["pred_voxels"] = ("cells", """
   SELECT DISTINCT z, y, x + 1 AS x, (z // 4) * 1000000 + (y // 4) * 1000 + x // 4 + 1 AS label FROM cells WHERE vols > 300""")
 
 
-def _bricks(df: DataFrame) -> DataFrame:
-    return df.select("z", "y", "x", F.expr("(z div 4) * 1000000 + (y div 4) * 1000 + x div 4 + 1").alias("label")).distinct()
+def _bricks(df: DataFrame, *by: str) -> DataFrame:
+    return df.select(*by, "z", "y", "x", F.expr("(z div 4) * 1000000 + (y div 4) * 1000 + x div 4 + 1").alias("label")).distinct()
 
 
 def truth_voxels(spark, d) -> DataFrame:
