@@ -102,6 +102,17 @@ def overlay_atlas(base: DataFrame, alt: DataFrame, ids: DataFrame) -> DataFrame:
     return keep.join(new, VOXEL, "full_outer").select(*VOXEL, F.coalesce("_a", "_b").alias("label"))
 
 
+def overlay_field(field: DataFrame, alt_field: DataFrame, alt: DataFrame, ids: DataFrame, cols=("d0", "d1", "d2")) -> DataFrame:
+    """Deformation field of a composite atlas: where :func:`overlay_atlas` takes its
+    labels from ``alt``, the values come from that atlas' field, elsewhere they stay.
+
+    A value the second field does not have leaves the first one's."""
+    listed = ids.select(F.col("ids").alias("label")).distinct()
+    spots = alt.join(listed, "label", "left_semi").select(*VOXEL).distinct()
+    new = alt_field.join(spots, VOXEL, "left_semi").select(*VOXEL, *[F.col(c).alias(f"_{c}") for c in cols])
+    return field.select(*VOXEL, *cols).join(new, VOXEL, "full_outer").select(*VOXEL, *[F.coalesce(f"_{c}", c).alias(c) for c in cols])
+
+
 def label_stats(voxels: DataFrame, atlas: DataFrame, value: str = "value", floor: float | None = None) -> DataFrame:
     """Null-aware mean and sum of intensity per label, label 0 left out."""
     v = F.col(value) if floor is None else F.when(F.col(value) >= floor, F.col(value))

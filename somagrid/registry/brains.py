@@ -244,17 +244,28 @@ def region_cell_location(spark, d):
 
 
 @query("composite_atlas", """
-  WITH alt AS (SELECT z, y, x - 1 AS x, label FROM atlas WHERE x >= 1),
-       ids AS (SELECT descendant AS ids FROM closure JOIN ontology ON ontology.ids = ancestor WHERE acronym IN ('N1', 'N2', 'N5'))
-  SELECT z, y, x, coalesce(a.label, b.label) AS label
-  FROM (SELECT * FROM atlas WHERE label NOT IN (SELECT ids FROM ids)) b
-  FULL JOIN (SELECT * FROM alt WHERE label IN (SELECT ids FROM ids)) a USING (z, y, x)""", "atlas closure ontology")
+  WITH ids AS MATERIALIZED (SELECT DISTINCT descendant AS label FROM closure JOIN ontology ON ontology.ids = ancestor WHERE acronym IN ('N1', 'N2', 'N5')),
+       new AS MATERIALIZED (SELECT z, y, x - 1 AS x, label FROM atlas JOIN ids USING (label) WHERE x >= 1)
+  SELECT z, y, x, label FROM new
+  UNION ALL SELECT z, y, x, label FROM (SELECT * FROM atlas ANTI JOIN ids USING (label)) ANTI JOIN new USING (z, y, x)""", "atlas closure ontology")
 def composite_atlas(spark, d):
     a = D.atlas(spark, d)
     alt = a.filter("x >= 1").withColumn("x", F.col("x") - 1)
     return R.overlay_atlas(a, alt, G.subtree_ids(D.ontology(spark, d), ["N1", "N2", "N5"], "acronym"))
 
 
+@query("composite_field", """
+  WITH ids AS MATERIALIZED (SELECT DISTINCT descendant AS label FROM closure JOIN ontology ON ontology.ids = ancestor WHERE acronym IN ('N1', 'N2', 'N5')),
+       spots AS MATERIALIZED (SELECT z, y, x - 1 AS x FROM atlas JOIN ids USING (label) WHERE x >= 1),
+       new AS MATERIALIZED (SELECT z, y, x, d0, d1, d2::DOUBLE + 0.05 AS d2 FROM field SEMI JOIN spots USING (z, y, x))
+  SELECT z, y, x, round(d0::DOUBLE, 6) AS d0, round(d1::DOUBLE, 6) AS d1, round(d2, 6) AS d2 FROM new
+  UNION ALL SELECT z, y, x, round(d0::DOUBLE, 6), round(d1::DOUBLE, 6), round(d2::DOUBLE, 6) FROM field ANTI JOIN new USING (z, y, x)""", "atlas field closure ontology")
+def composite_field(spark, d):
+    alt = D.atlas(spark, d).filter("x >= 1").withColumn("x", F.col("x") - 1)
+    f = D.field(spark, d)
+    return R.overlay_field(f, f.withColumn("d2", F.col("d2") + 0.05), alt, G.subtree_ids(D.ontology(spark, d), ["N1", "N2", "N5"], "acronym"))
+
+
 @query("label_intensity", """
   SELECT label, round(avg(value), 6) AS mean, round(sum(value), 6) AS total, count(value) AS n
   FROM voxels JOIN atlas USING (z, y, x) WHERE label > 0 GROUP BY label""", "voxels atlas")
