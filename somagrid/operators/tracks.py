@@ -9,10 +9,12 @@ from __future__ import annotations
 import functools
 import operator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from somagrid.operators.components import connected
 from somagrid.operators.ordered import join_ranks, neighbour_row, value_ranks
-from somagrid.session import cut, spread
+from somagrid.session import cut, release, spread
 
 AXES = ["z", "y", "x"]
 
@@ -173,23 +175,57 @@ def associate(cells: DataFrame, cand: DataFrame, d: float = 20.0) -> DataFrame:
     return candidate_links(cells, cand, d).groupBy("frame", "cell").agg(best).select("frame", "cell", "b.cand", "b.distance")
 
 
-def resolve_claims(links: DataFrame) -> DataFrame:
-    """One candidate per cell and one cell per candidate, closest pairs first.
-
-    A pair that is best for both its cell and its candidate is settled; both
-    leave and the rest look again, until no claim is open.  All pairs of a
-    round settle together; ties go to the smaller ids.
+def _settle_claims(claims: DataFrame) -> DataFrame:
+    """Claims of whole groups, closest first, in one pass over each group's sorted rows; a group's settled ends are all that is held."""
+
+    def run(batches):
+        group, cells, cands = None, set(), set()
+        for b in batches:
+            keep = []
+            for g, cell, cand in zip(*(b.column(c).to_pylist() for c in ("_g", "cell", "cand"))):
+                if g != group:
+                    group, cells, cands = g, set(), set()
+                free = cell not in cells and cand not in cands
+                keep.append(free)
+                if free:
+                    cells.add(cell)
+                    cands.add(cand)
+            yield b.select(["frame", "cell", "cand", "distance"]).filter(pa.array(keep, pa.bool_()))
+
+    kind = dict(claims.dtypes)
+    dealt = claims.repartition("_g").sortWithinPartitions("_g", "distance", "cell", "cand")
+    return dealt.mapInArrow(run, ", ".join(f"{c} {kind[c]}" for c in ("frame", "cell", "cand", "distance")))
+
+
+def resolve_claims(links: DataFrame, limit: int = 1 << 18) -> DataFrame:
+    """One candidate per cell and one cell per candidate, closest pairs first, ties to
+    the smaller ids.
+
+    Claims that hang together form a group.  Groups of up to ``limit`` claims are
+    settled at once, however long their chains are.  Of a larger group the pairs
+    that are best for both their cell and their candidate settle, and what is left
+    of it, which falls apart, is grouped again.
     """
-    todo, kept = cut(links.select("frame", "cell", "cand", "distance")), []
+    todo, kept = cut(links.select("frame", "cell", "cand", "distance").filter("frame IS NOT NULL AND cell IS NOT NULL AND cand IS NOT NULL AND distance IS NOT NULL")), []
     while not todo.isEmpty():
+        end = lambda side, c: F.struct(F.col("frame"), F.lit(side).alias("side"), F.col(c).cast("string").alias("id"))
+        edges = todo.select(end(0, "cell").alias("src"), end(1, "cand").alias("dst"))
+        comp = connected(edges, edges.select(F.col("src").alias("id")).distinct()).withColumnRenamed("component", "_g")
+        grouped = cut(todo.withColumn("id", end(0, "cell")).join(comp, "id").drop("id"))
+        size = grouped.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+        big = cut(size.filter(F.col("_n") > limit).select("_g"))
+        kept.append(cut(_settle_claims(grouped.join(big, "_g", "left_anti"))))
+        rest = grouped.join(big, "_g").drop("_g")
         key = F.struct("distance", "cell", "cand")
-        by_cell = todo.groupBy("frame", "cell").agg(F.min(key).alias("_bc"))
-        by_cand = todo.groupBy("frame", "cand").agg(F.min(key).alias("_bd"))
-        j = todo.join(by_cell, ["frame", "cell"]).join(by_cand, ["frame", "cand"])
+        by_cell = rest.groupBy("frame", "cell").agg(F.min(key).alias("_bc"))
+        by_cand = rest.groupBy("frame", "cand").agg(F.min(key).alias("_bd"))
+        j = rest.join(by_cell, ["frame", "cell"]).join(by_cand, ["frame", "cand"])
         win = cut(j.filter((F.col("_bc") == key) & (F.col("_bd") == key)).select("frame", "cell", "cand", "distance"))
         kept.append(win)
-        todo = cut(todo.join(win.select("frame", "cell"), ["frame", "cell"], "left_anti").join(
-            win.select("frame", "cand"), ["frame", "cand"], "left_anti"))
+        left = cut(rest.join(win.select("frame", "cell"), ["frame", "cell"], "left_anti").join(win.select("frame", "cand"), ["frame", "cand"], "left_anti"))
+        for old in (todo, grouped, big):
+            release(old)
+        todo = left
     return functools.reduce(DataFrame.unionByName, kept) if kept else todo
 
 

@@ -299,10 +299,10 @@ def layer_zscore(spark, d):
 
 @query("laminar_match", f"""
   SELECT macro, gene_id, n, round(r, 6) AS r FROM (SELECT macro, gene_id, count(*) AS n, corr(value, density_w) AS r FROM ({PROFILE})
-    WHERE value IS NOT NULL AND density_w IS NOT NULL GROUP BY macro, gene_id HAVING count(*) >= 2 AND var_pop(value) > 0 AND var_pop(density_w) > 0)
+    WHERE value IS NOT NULL AND density_w IS NOT NULL GROUP BY macro, gene_id HAVING count(*) >= 4 AND var_pop(value) > 0 AND var_pop(density_w) > 0)
   ORDER BY r DESC, gene_id LIMIT 20""", "pooled ontology expression")
 def laminar_match(spark, d):
-    return Q.laminar_match(_profile(spark, d), "gene_id", "value", "density_w", 20, 2, ["macro"])
+    return Q.laminar_match(_profile(spark, d), "gene_id", "value", "density_w", 20, keys=["macro"])
 
 
 @query("interpolate_layers", """

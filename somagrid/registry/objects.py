@@ -82,9 +82,9 @@ def object_table(spark, d):
 
 @query("object_core_volume", """
   SELECT label, count(c.z) AS core_vols, count(*) AS volume FROM object_voxels o
-  LEFT JOIN (SELECT DISTINCT z, y, x FROM cells WHERE vols > 700) c USING (z, y, x) GROUP BY label""", "object_voxels cells")
+  LEFT JOIN (SELECT DISTINCT z, y, x FROM cells WHERE vols > 500) c USING (z, y, x) GROUP BY label""", "object_voxels cells")
 def object_core_volume(spark, d):
-    return V.inner_volume(D.object_voxels(spark, d), D.cells(spark, d).filter("vols > 700"))
+    return V.inner_volume(D.object_voxels(spark, d), D.cells(spark, d).filter("vols > 500"))
 
 
 @query("object_intensity", "SELECT label, round(avg(v.red), 6) AS mean_intensity FROM object_voxels o JOIN voxels v USING (z, y, x) GROUP BY label", "object_voxels voxels")
@@ -94,10 +94,10 @@ def object_intensity(spark, d):
 
 @query("object_size_class", """
   SELECT label, CASE WHEN core <= 0 THEN 'none' WHEN core <= 3 THEN 'small' ELSE 'large' END AS size_class FROM (
-    SELECT label, count(c.z) AS core FROM object_voxels o LEFT JOIN (SELECT DISTINCT z, y, x FROM cells WHERE vols > 700) c USING (z, y, x) GROUP BY label)""",
+    SELECT label, count(c.z) AS core FROM object_voxels o LEFT JOIN (SELECT DISTINCT z, y, x FROM cells WHERE vols > 500) c USING (z, y, x) GROUP BY label)""",
        "object_voxels cells")
 def object_size_class(spark, d):
-    o = V.inner_volume(D.object_voxels(spark, d), D.cells(spark, d).filter("vols > 700"))
+    o = V.inner_volume(D.object_voxels(spark, d), D.cells(spark, d).filter("vols > 500"))
     return o.select("label", S.bucket("core_vols", (0, 3)).alias("size_class"))
 
 
@@ -158,9 +158,9 @@ def watershed_split(spark, d):
 
 @query("core_halo_match", """
   SELECT z, y, x, h.label, CASE WHEN h.label IS NOT NULL AND c.z IS NOT NULL THEN 'core' WHEN h.label IS NULL THEN 'unmatched core' ELSE 'halo' END AS status
-  FROM (SELECT z, y, x, label FROM object_voxels WHERE value > 30) h FULL JOIN (SELECT DISTINCT z, y, x FROM cells WHERE vols > 800) c USING (z, y, x)""", "object_voxels cells")
+  FROM (SELECT z, y, x, label FROM object_voxels WHERE value > 30) h FULL JOIN (SELECT DISTINCT z, y, x FROM cells WHERE vols > 500) c USING (z, y, x)""", "object_voxels cells")
 def core_halo_match(spark, d):
-    return V.match_cores(D.object_voxels(spark, d).filter("value > 30"), D.cells(spark, d).filter("vols > 800"))
+    return V.match_cores(D.object_voxels(spark, d).filter("value > 30"), D.cells(spark, d).filter("vols > 500"))
 
 
 @query("skeleton_degree", f"""

@@ -150,12 +150,12 @@ PARTS = """
   SELECT z // 16 AS block, label AS region, count(*) AS reg_voxels, count(b.z) AS cell_body_voxels,
          coalesce(sum(value) FILTER (value <> 0), 0) AS sum_int, count(value) FILTER (value <> 0) AS num_vals
   FROM (SELECT a.z, a.y, a.x, a.label, v.value FROM atlas a LEFT JOIN voxels v USING (z, y, x) WHERE label > 0) q
-  LEFT JOIN (SELECT DISTINCT z, y, x FROM cells WHERE vols > 900) b USING (z, y, x) GROUP BY ALL"""
+  LEFT JOIN (SELECT DISTINCT z, y, x FROM cells WHERE vols > 500) b USING (z, y, x) GROUP BY ALL"""
 
 
 @query("block_sums", f"SELECT block, region, reg_voxels, cell_body_voxels, round(sum_int, 6) AS sum_int, num_vals FROM ({PARTS})", "atlas voxels cells")
 def block_sums(spark, d):
-    return V.block_parts(D.atlas(spark, d), D.voxels(spark, d), D.cells(spark, d).filter("vols > 900"))
+    return V.block_parts(D.atlas(spark, d), D.voxels(spark, d), D.cells(spark, d).filter("vols > 500"))
 
 
 @query("merge_blocks", f"""
@@ -163,7 +163,7 @@ def block_sums(spark, d):
          round(sum(sum_int) / nullif(sum(reg_voxels) - sum(cell_body_voxels), 0), 6) AS scaled_intden,
          round(sum(num_vals) / sum(reg_voxels), 6) AS mean_volume FROM ({PARTS}) GROUP BY region""", "atlas voxels cells")
 def merge_blocks(spark, d):
-    return V.merge_blocks(V.block_parts(D.atlas(spark, d), D.voxels(spark, d), D.cells(spark, d).filter("vols > 900")))
+    return V.merge_blocks(V.block_parts(D.atlas(spark, d), D.voxels(spark, d), D.cells(spark, d).filter("vols > 500")))
 
 
 @query("dataset_moments", "SELECT round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, count(value) AS n FROM voxels", "voxels")
