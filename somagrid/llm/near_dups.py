@@ -203,8 +203,43 @@ def _settle(met: DataFrame, percent: int, far: int) -> DataFrame:
     return met.groupBy("t2", "t1").applyInArrow(run, "src long, dst long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", far: int = FAR) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of ``docs``."""
+def _open_tiles(rows: DataFrame, far: int) -> DataFrame:
+    """Tile pairs that still need a comparison: (t1, t2, side, id) from tiled bucket members."""
+
+    def run(batches):
+        for t in runs(batches, ["key", "i", "j"]):
+            edge = bounds(t, ["key", "i", "j"])
+            side, ids, comp, tile = (t.column(c).to_numpy() for c in ("side", "id", "comp", "tile"))
+            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, POSITIONS)
+            found = []
+            for s, e in zip(edge[:-1], edge[1:]):
+                mid = s + int(np.searchsorted(side[s:e], 1))
+                if mid in (s, e):
+                    continue
+                x, y = np.nonzero(comp[s:mid, None] != comp[None, mid:e])
+                if not len(x):
+                    continue
+                ok = (sig[s + x] != sig[mid + y]).sum(axis=1) <= far
+                x, y = s + x[ok], mid + y[ok]
+                swap = tile[x] > tile[y]
+                x, y = np.where(swap, y, x), np.where(swap, x, y)
+                for own, k in ((x, 0), (y, 1)):
+                    found.append(np.unique(np.stack([tile[x], tile[y], np.full(len(x), k), ids[own]], axis=1), axis=0))
+            if found:
+                f = np.unique(np.concatenate(found), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(f[:, 0]), pa.array(f[:, 1]), pa.array(f[:, 2].astype(np.int32)), pa.array(f[:, 3])],
+                                                 ["t1", "t2", "side", "id"])
+
+    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+    return dealt.mapInArrow(run, "t1 long, t2 long, side int, id long").distinct()
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", far: int = FAR,
+                    whole_tiles: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row of ``docs``.
+
+    ``whole_tiles`` sends whole tiles once per pair (few rows, more disk) instead of the members that a bucket leaves open;
+    the result is the same."""
     sigs = cut(signatures(docs, width, id_col, text_col))
     usable = sigs.filter("doc_id is not null and n_shingles > 0")
     reps = cut(usable.groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.min_by("sig", "doc_id").alias("sig"), F.first("n_shingles").alias("n")))
@@ -235,15 +270,26 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
     owned = members.select("key", "id").join(placed, "id")
     state = owned.groupBy("key").agg(F.min("comp").alias("_a"), F.max("comp").alias("_z"), F.max(F.struct("size", "comp")).alias("_top"), F.count(F.lit(1)).alias("_n"))
-    opened = cut(owned.join(state.filter("_a < _z").select("key", F.col("_top.comp").alias("top")), "key"))
-    # tiles that share an open bucket, one of them with a member outside the bucket's largest component
-    tiles = cut(opened.groupBy("key", "tile").agg(F.bool_or(F.col("comp") != F.col("top")).alias("outside")))
-    one, two = tiles.filter("outside").select("key", F.col("tile").alias("a")), tiles.select("key", F.col("tile").alias("b"))
-    pairs = cut(one.join(two, "key").select(F.least("a", "b").alias("t1"), F.greatest("a", "b").alias("t2")).distinct())
-    inside = opened.select("id", "comp", "tile").distinct().join(reps.select("id", "sig"), "id").join(sets, "id")
-    sheets = cut(inside.groupBy("tile").agg(F.collect_list(F.struct("id", "comp", "sig", "blob")).alias("m")))
-    met = pairs.join(sheets.toDF("t1", "m1"), "t1").join(sheets.toDF("t2", "m2"), "t2")
-    second = cut(_settle(met, percent, far))
+    if whole_tiles:
+        opened = cut(owned.join(state.filter("_a < _z").select("key", F.col("_top.comp").alias("top")), "key"))
+        # tiles that share an open bucket, one of them with a member outside the bucket's largest component
+        tiles = cut(opened.groupBy("key", "tile").agg(F.bool_or(F.col("comp") != F.col("top")).alias("outside")))
+        one, two = tiles.filter("outside").select("key", F.col("tile").alias("a")), tiles.select("key", F.col("tile").alias("b"))
+        pairs = cut(one.join(two, "key").select(F.least("a", "b").alias("t1"), F.greatest("a", "b").alias("t2")).distinct())
+        inside = opened.select("id", "comp", "tile").distinct().join(reps.select("id", "sig"), "id").join(sets, "id")
+        sheets = cut(inside.groupBy("tile").agg(F.collect_list(F.struct("id", "comp", "sig", "blob")).alias("m")))
+        met = pairs.join(sheets.toDF("t1", "m1"), "t1").join(sheets.toDF("t2", "m2"), "t2")
+        second = cut(_settle(met, percent, far))
+    else:
+        opened = owned.join(state.filter("_a < _z").select("key", F.col("_top.comp").alias("top"), F.ceil(F.col("_n") / TILE).alias("nr")), "key")
+        outside = opened.filter("comp <> top").groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("nl"))
+        opened = cut(opened.join(outside, "key").join(reps.select("id", "sig"), "id"))
+        every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+        body = ["id", "comp", "tile", "sig"]
+        spot = lambda c: F.pmod(F.xxhash64("id"), F.col(c))
+        sides = opened.filter("comp <> top").select("key", spot("nl").alias("i"), every("nr").alias("j"), F.lit(0).alias("side"), *body).union(
+            opened.select("key", every("nl").alias("i"), spot("nr").alias("j"), F.lit(1).alias("side"), *body))
+        second = cut(confirm(cut(_open_tiles(sides, far)), sets, percent))
 
     last = connected(first.union(second), nodes)
     of_set = reps.select("f1", "f2", "id").join(last, "id", "left").select("f1", "f2", F.coalesce("component", "id").alias("_c"))

@@ -248,5 +248,5 @@ def test_near_duplicates_under_the_limit(docs_of):
     sets = {i: shingle_set(t, 5) for i, t in rows.items()}
     near = [len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in range(0, 300, 5) for b in range(a)]
     assert np.mean([0.65 < x < 0.8 for x in near]) > 0.8 and len({c for _, c in want.values()}) > 1
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dups.near_duplicates(docs_of(list(rows.items())), 5).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dups.near_duplicates(docs_of(list(rows.items())), 5, whole_tiles=True).collect()}
     assert got == want
