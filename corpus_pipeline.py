@@ -40,7 +40,7 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8)."""
-    groups = near_duplicates(docs, width=5, percent=80)
+    groups = near_duplicates(docs, width=5, percent=80, whole_tiles=True)
     return _keep(docs, groups.filter("kept"))
 
 
