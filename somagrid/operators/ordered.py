@@ -126,3 +126,33 @@ def neighbour_row(
     j = d.alias("d").join(bins.alias("b"), _same("d", "b", [*keys, "_bin"]))
     near = F.coalesce(F.col("d._near"), F.col("b._far"))
     return j.select(*[f"d.{c}" for c in df.columns], *[near[c].alias(prefix + c) for c in cols])
+
+
+def known_around(df: DataFrame, keys: list[str], order: str, value: str, limit: int = RANGE_ROWS) -> DataFrame:
+    """Add the row number ``_i`` in the group and the nearest rows with a known ``value`` at or before (``_b``) and at or
+    after (``_a``) each row, as structs of row number ``i`` and value ``v``; NULL where there is none.
+
+    Rows are cut into sorted ranges of ``(keys, order, value)``, at most about ``limit`` rows each, numbered and carried inside
+    the range; the count and the first and last known row of every range then carry over to the others.  Rows with the same
+    order follow their value, missing ones first.  NULL keys are a group.
+    """
+    ranges = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // limit))
+    binned = cut(df.repartitionByRange(ranges, *keys, order, value).withColumn("_bin", F.spark_partition_id()))
+    w = W.partitionBy(*keys, "_bin").orderBy(order, value)
+    known = F.when(F.col(value).isNotNull(), F.struct(F.col("_i").alias("i"), F.col(value).alias("v")))
+    inside = binned.withColumn("_i", F.row_number().over(w).cast("long")).withColumn("_k", known)
+    bins = inside.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_n"), F.min("_k").alias("_first"), F.max("_k").alias("_last"))
+    wb = W.partitionBy(*keys, *([] if keys else [F.lit(0)])).orderBy("_bin")
+    past, coming = wb.rowsBetween(W.unboundedPreceding, -1), wb.rowsBetween(1, W.unboundedFollowing)
+    bins = bins.withColumn("_start", F.coalesce(F.sum("_n").over(past), F.lit(0).cast("long")))
+    moved = lambda c, by: F.when(c.isNotNull(), F.struct((c["i"] + by).alias("i"), c["v"].alias("v")))
+    for c in ("_first", "_last"):
+        bins = bins.withColumn(c, moved(F.col(c), F.col("_start")))
+    bins = bins.select(*keys, "_bin", "_start", F.last("_last", ignorenulls=True).over(past).alias("_past"),
+                       F.first("_first", ignorenulls=True).over(coming).alias("_coming"))
+    inside = inside.withColumn("_b", F.last("_k", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn(
+        "_a", F.first("_k", ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing)))
+    j = inside.alias("d").join(bins.alias("b"), _same("d", "b", [*keys, "_bin"]))
+    here = lambda c: moved(F.col(f"d.{c}"), F.col("b._start"))
+    return j.select(*[f"d.{c}" for c in df.columns], (F.col("d._i") + F.col("b._start")).alias("_i"),
+                    F.coalesce(here("_b"), F.col("b._past")).alias("_b"), F.coalesce(here("_a"), F.col("b._coming")).alias("_a"))

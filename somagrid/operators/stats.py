@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from somagrid.functions.probability import normal_two_sided, t_log_pvalue, t_pvalue
-from somagrid.operators.ordered import RANGE_ROWS, average_ranks, suffix_min, value_ranks
+from somagrid.operators.ordered import RANGE_ROWS, average_ranks, known_around, suffix_min, value_ranks
 
 
 def sem(c: str) -> Column:
@@ -130,8 +130,10 @@ def mannwhitney(df: DataFrame, keys: list[str], group: str, value: str, g1, g2,
     """Mann-Whitney U of the first group, two sided: normal approximation with
     tie term and continuity correction.
 
-    With ``exact``, p is exact where there are no ties and one group has at most
-    8 values (the other at most ``EXACT_LIMIT``).  ``method`` tells which.
+    With ``exact``, p comes from the exact distribution of U at every size of the
+    groups; that distribution needs samples without ties, so tied ones keep the
+    normal p.  ``method`` tells which.  Its work is ``min(n1, n2) * n1 * n2 / 2``
+    additions, done once for all keys with equal sizes in a task.
     """
     one = F.when(F.col(group) == g1, 1).otherwise(0)
     d = df.filter(F.col(group).isin(g1, g2))
@@ -151,29 +153,38 @@ def mannwhitney(df: DataFrame, keys: list[str], group: str, value: str, g1, g2,
     a = a.withColumn("z", F.try_divide(top, sd)).withColumn("p_val", normal).withColumn("method", F.lit("normal"))
     if exact:
         small, large = F.least("n1", "n2"), F.greatest("n1", "n2")
-        fits = (F.col("_ties") == 0) & (small >= 1) & (small <= 8) & (large <= EXACT_LIMIT)
-        a = a.withColumn("_far", F.when(fits, F.greatest(F.col("u"), n1 * n2 - F.col("u"))))
-        a = a.withColumn("p_val", F.coalesce(_exact_u(small, large, F.col("_far")), F.col("p_val"))).withColumn(
-            "method", F.when(F.col("_far").isNotNull(), "exact").otherwise("normal")).drop("_far")
+        a = a.withColumn("_near", F.when((F.col("_ties") == 0) & (small >= 1), F.least(F.col("u"), n1 * n2 - F.col("u")).cast("long")))
+        a = a.withColumn("p_val", F.coalesce(_exact_u(small, large, F.col("_near")), F.col("p_val"))).withColumn(
+            "method", F.when(F.col("_near").isNotNull(), "exact").otherwise("normal")).drop("_near")
     return a.drop("_r1", "_ties")
 
 
-EXACT_LIMIT = 200
+def u_below(m: int, n: int, most: int) -> np.ndarray:
+    """P(U <= u) for u from 0 to ``most``, at most half of m * n, of tie-free samples of m and n values.
 
+    The chances of U are the coefficients of the product of ``(1 - q**(n + i)) / (1 - q**i)`` over i up to m: a shifted
+    difference and running sums of stride i, scaled to a sum of 1 after every factor.  A coefficient hangs on smaller
+    ones only, and they rise up to the middle, so the small tail keeps its digits."""
+    p = np.zeros(most + 1)
+    p[0] = 1.0
+    for i in range(1, m + 1):
+        p[n + i:] -= p[:-(n + i)].copy() if n + i <= most else 0.0
+        rows = -(-len(p) // i)
+        p = np.pad(p, (0, rows * i - len(p))).reshape(rows, i).cumsum(axis=0).ravel()[:most + 1]
+        p[i * n + 1:] = 0.0
+        p = np.maximum(p, 0.0) * (i / (n + i))
+    return np.cumsum(p)
 
-@F.pandas_udf(T.DoubleType())
-def _exact_u(small: pd.Series, large: pd.Series, far: pd.Series) -> pd.Series:
-    """2 P(U >= far) for tie-free samples; NULL where ``far`` is.  One row per tested
-    group reaches this, after the aggregates."""
-    def tail(m: int, n: int, u: float) -> float:
-        # ways to reach each U with m values among n others, n growing by one
-        ways = [np.eye(1, m * n + 1)[0] for _ in range(m + 1)]
-        for k in range(1, n + 1):
-            for i in range(1, m + 1):
-                ways[i] = ways[i] + np.concatenate([np.zeros(k), ways[i - 1][:-k]])
-        return float(min(1.0, 2.0 * ways[m][int(u):].sum() / ways[m].sum()))
 
-    return pd.Series([None if pd.isna(u) else tail(int(m), int(n), u) for m, n, u in zip(small, large, far)], dtype="float64")
+@F.pandas_udf(T.DoubleType())
+def _exact_u(small: pd.Series, large: pd.Series, near: pd.Series) -> pd.Series:
+    """2 P(U <= near) for tie-free samples; NULL where ``near`` is.  One row per tested
+    key reaches this, after the aggregates; keys with equal sizes share a distribution."""
+    out = pd.Series(np.nan, index=near.index)
+    rows = pd.DataFrame({"m": small, "n": large, "u": near}).dropna().astype("int64")
+    for (m, n), own in rows.groupby(["m", "n"]):
+        out[own.index] = np.minimum(1.0, 2.0 * u_below(m, n, int(own["u"].max()))[own["u"].to_numpy()])
+    return out.astype("object").where(out.notna(), None)
 
 
 def bh_adjust(df: DataFrame, p: str, out: str = "p_adj", limit: int = RANGE_ROWS) -> DataFrame:
@@ -282,15 +293,11 @@ def zscore(df: DataFrame, by: list[str], value: str, out: str = "z") -> DataFram
     return join_on(df, m, by).withColumn(out, z).drop("_m", "_s", "_n")
 
 
-def interpolate(df: DataFrame, keys: list[str], order: str, value: str, out: str = "filled") -> DataFrame:
+def interpolate(df: DataFrame, keys: list[str], order: str, value: str, out: str = "filled", limit: int = RANGE_ROWS) -> DataFrame:
     """Missing values on a line between the neighbours in row order, ends from
-    the nearest value.  Groups are ordered by a small ordinal (layers)."""
-    w = W.partitionBy(*keys).orderBy(order)
-    d = df.withColumn("_i", F.row_number().over(w))
-    here = F.when(F.col(value).isNotNull(), F.struct(F.col("_i").alias("i"), F.col(value).alias("v")))
-    before = F.last(here, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
-    after = F.first(here, ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))
-    d = d.withColumn("_b", before).withColumn("_a", after)
+    the nearest value; a group without any value stays missing.  A group of any
+    length is cut into sorted ranges of about ``limit`` rows."""
+    d = known_around(df, keys, order, value, limit)
     a, b = F.col("_a"), F.col("_b")
     line = b["v"] + (a["v"] - b["v"]) * (F.col("_i") - b["i"]) / F.greatest(a["i"] - b["i"], F.lit(1))
     return d.withColumn(out, F.coalesce(F.col(value), line, a["v"], b["v"])).drop("_i", "_a", "_b")

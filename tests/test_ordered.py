@@ -1,5 +1,7 @@
 """Hot groups: the cut paths give what a plain window gives."""
 
+from fractions import Fraction
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -131,3 +133,81 @@ def test_mannwhitney_exact(spark):
     far = max(u, 24 - u)
     assert r["u"] == u and r["method"] == "exact"
     assert abs(r["p_val"] - min(1.0, 2 * sum(e >= far for e in every) / len(every))) < 1e-12
+
+
+@pytest.mark.parametrize("m,n", [(1, 1), (1, 9), (3, 3), (7, 12), (30, 30), (60, 200)])
+def test_rank_distribution(m, n):
+    ways = _box(m, n)
+    total, half = sum(ways), m * n // 2
+    got, below = Q.u_below(m, n, half), 0
+    for u in range(half + 1):
+        below += ways[u]
+        assert abs(got[u] / float(Fraction(below, total)) - 1) < 1e-9
+
+
+def _box(m, n):
+    p = [1] + [0] * (m * n)
+    for i in range(1, m + 1):
+        for u in range(m * n, n + i - 1, -1):
+            p[u] -= p[u - n - i]
+        for u in range(i, m * n + 1):
+            p[u] += p[u - i]
+    return p
+
+
+def test_mannwhitney_exact_by_choice(spark):
+    rng = np.random.default_rng(8)
+    parts = []
+    for k, (m, n) in {"even": (40, 40), "also": (40, 40), "long": (5, 400)}.items():
+        v = rng.permutation(m + n) + 0.5
+        parts.append(pd.DataFrame({"k": k, "grp": ["p"] * m + ["q"] * n, "value": v}))
+    parts.append(pd.DataFrame({"k": "tied", "grp": list("ppqq"), "value": [1.0, 2.0, 2.0, 3.0]}))
+    parts.append(pd.DataFrame({"k": "one", "grp": list("pp"), "value": [1.0, 2.0]}))
+    df = spark.createDataFrame(pd.concat(parts))
+    exact = {r["k"]: r for r in Q.mannwhitney(df, ["k"], "grp", "value", "p", "q", exact=True).collect()}
+    plain = {r["k"]: r for r in Q.mannwhitney(df, ["k"], "grp", "value", "p", "q").collect()}
+    for k in ("even", "also", "long"):
+        m, n = exact[k]["n1"], exact[k]["n2"]
+        box, near = _box(m, n), int(min(exact[k]["u"], m * n - exact[k]["u"]))
+        assert exact[k]["method"] == "exact" and abs(exact[k]["p_val"] - min(1.0, 2 * sum(box[:near + 1]) / sum(box))) < 1e-12
+        assert abs(exact[k]["p_val"] - plain[k]["p_val"]) < 0.01
+    assert exact["tied"]["method"] == "normal" and exact["tied"]["p_val"] == plain["tied"]["p_val"]
+    assert exact["one"]["method"] == "normal"
+
+
+@pytest.mark.parametrize("limit", [7, 100_000])
+def test_interpolate(spark, limit):
+    rng = np.random.default_rng(5)
+    parts = []
+    for k, n in {"hot": 900, "b": 40, "none": 12, None: 30}.items():
+        v = np.where((rng.random(n) < 0.15) & (k != "none"), rng.normal(size=n), np.nan)
+        v[n // 3:n // 2] = np.nan
+        parts.append(pd.DataFrame({"k": k, "pos": rng.permutation(3 * n)[:n], "v": v}))
+    pdf = pd.concat(parts).sample(frac=1, random_state=1)
+    df = spark.createDataFrame([(r.k, int(r.pos), None if np.isnan(r.v) else float(r.v)) for r in pdf.itertuples()], "k string, pos long, v double")
+    got = {(r["k"], r["pos"]): r["filled"] for r in Q.interpolate(df, ["k"], "pos", "v", limit=limit).collect()}
+    assert len(got) == len(pdf)
+    for k, g in pdf.groupby("k", dropna=False):
+        g = g.sort_values("pos")
+        at, v = np.arange(len(g)), g["v"].to_numpy()
+        ok = ~np.isnan(v)
+        key = None if not isinstance(k, str) else k
+        if not ok.any():
+            assert all(got[key, p] is None for p in g["pos"])
+            continue
+        assert np.allclose([got[key, p] for p in g["pos"]], np.interp(at, at[ok], v[ok]))
+
+
+def test_interpolate_spreads_a_group(spark):
+    df = spark.range(500).select(F.lit(1).alias("k"), F.col("id").alias("pos"), F.when(F.col("id") % 100 == 0, F.col("id") * 1.0).alias("v"))
+    d = O.known_around(df, ["k"], "pos", "v", limit=10)
+    assert d.filter("_i <> pos + 1").count() == 0
+    assert d.filter("_b.v <> floor(pos / 100) * 100 OR _a.v <> ceil(pos / 100) * 100").count() == 0
+    plain = Q.interpolate(df.drop("k"), [], "pos", "v", limit=10)
+    assert plain.filter("abs(filled - least(pos, 400)) > 1e-9").count() == 0
+
+
+def test_interpolate_ties_and_empty(spark):
+    df = spark.createDataFrame([(1, 0, 2.0), (1, 0, None), (1, 0, None), (1, 1, 4.0)], "k int, pos int, v double")
+    assert sorted(r["filled"] for r in Q.interpolate(df, ["k"], "pos", "v").collect()) == [2.0, 2.0, 2.0, 4.0]
+    assert Q.interpolate(df.limit(0), ["k"], "pos", "v").count() == 0
