@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 VOXEL = ["z", "y", "x"]
+#: Frames of a track whose ends are kept together in a stream's state.
+FRAME_WIDTH = 4096
+#: Second at which frame 0 stands for timers: a stream's clock starts at 0 and takes earlier frames for late ones.
+CLOCK = 1 << 31
 
 
 def _finish(query) -> None:
@@ -49,22 +55,64 @@ def latest_counts(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.parquet(out).groupBy("label").agg(F.max_by(F.struct("num", "num_large"), "batch").alias("b")).select("label", "b.*")
 
 
-def stream_tracks(spark: SparkSession, folder: str, schema, out: str, checkpoint: str, files_per_trigger: int | None = None,
-                  late_frames: int | None = None) -> None:
-    """Frame-by-frame links by a stream-stream join on ``(series, frame)``.
+def _joined(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links between runs that follow each other without a gap, and the longer runs that they make.
+
+    A run is a row (first frame, last frame, first position, last position); a link is (frame, displacement)."""
+    runs = runs[np.lexsort(runs.T[::-1])]
+    new = np.ones(len(runs), bool)
+    new[1:] = runs[1:, 0] > np.maximum.accumulate(runs[:, 1])[:-1]  # a frame that is known already counts once
+    runs = runs[new]
+    meet = runs[1:, 0] == runs[:-1, 1] + 1
+    links = np.column_stack([runs[:-1, 1], runs[1:, 2:5] - runs[:-1, 5:8]])[meet]
+    first, last = np.r_[True, ~meet][:len(runs)], np.r_[~meet, True][:len(runs)]
+    return links, np.column_stack([runs[first, 0], runs[last, 1], runs[first, 2:5], runs[last, 5:8]])
 
-    Each spot meets the one of the next frame whichever arrives first, so late
-    frames lose no link, and the rows of one track are spread over all tasks.
-    The state keeps every spot; with ``late_frames`` it forgets spots that are
-    more frames behind the newest, and so would links to frames later than that.
+
+def stream_tracks(spark: SparkSession, folder: str, schema, out: str, checkpoint: str, files_per_trigger: int | None = None,
+                  late_frames: int | None = None, width: int = FRAME_WIDTH) -> None:
+    """Frame-by-frame links: each spot with its track's spot in the next frame, whichever arrives first.
+
+    The state is kept per track and block of ``width`` frames and holds only the runs of frames without a gap: their ends, where a
+    link may still come, and nothing of the spots between.  So it grows with tracks and gaps and not with spots, a frame may be
+    as late as it likes, and a long track is spread over the blocks (the last frame of a block goes to the next one, too).
+    With ``late_frames`` a timer forgets a block once the newest frame of all tracks is that far ahead of its last one; later
+    frames of it are then left out.  A repeated frame of a track counts once: within a batch of rows the smallest position,
+    else the one that came first.  Rows without series or frame are left out.
     """
-    def side(shift: int, prefix: str) -> DataFrame:
-        s = block_stream(spark, folder, schema, files_per_trigger).filter("series IS NOT NULL AND frame IS NOT NULL")
-        s = s.select("series", (F.col("frame") - shift).alias("frame"), *[F.col(c).cast("double").alias(prefix + c) for c in VOXEL])
-        s = s.withColumn("_at", F.timestamp_seconds("frame"))
-        return s if late_frames is None else s.withWatermark("_at", f"{late_frames} seconds")
-
-    links = side(0, "a").join(side(1, "b"), ["series", "frame", "_at"]).select(
-        "series", "frame", *[(F.col(f"b{c}") - F.col(f"a{c}")).alias(f"d{c}") for c in VOXEL])
+    s = block_stream(spark, folder, schema, files_per_trigger).filter("series IS NOT NULL AND frame IS NOT NULL")
+    kind = dict(s.dtypes)
+    s = s.select("series", F.col("frame").cast("long").alias("frame"), *[F.col(c).cast("double").alias(c) for c in VOXEL])
+    home = F.floor(F.col("frame") / width)
+    s = s.withColumn("_block", F.explode(F.when(F.pmod("frame", F.lit(width)) == width - 1, F.array(home, home + 1)).otherwise(F.array(home))))
+    timer = "NoTimeout"
+    if late_frames is not None:
+        timer = "EventTimeTimeout"
+        s = s.withColumn("_at", F.timestamp_seconds(F.col("frame") + CLOCK)).withWatermark("_at", f"{late_frames} seconds")
+
+    def link(key, rows, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        # frames count from the start of the block, so they are exact as doubles
+        start = int(key[1]) * width
+        runs = np.array(state.get[0] if state.exists else [], float).reshape(-1, 8)
+        for pdf in rows:
+            at, place = (pdf["frame"].to_numpy() - start).astype(float), pdf[VOXEL].to_numpy(float)
+            fresh = np.column_stack([at, at, place, place])
+            known = np.searchsorted(runs[:, 0], at, side="right") - 1
+            old = (known >= 0) & (at <= runs[np.maximum(known, 0), 1]) if len(runs) else np.zeros(len(at), bool)
+            links, runs = _joined(np.concatenate([runs, fresh[~old]]))
+            if len(links):
+                yield pd.DataFrame({"series": [key[0]] * len(links), "frame": links[:, 0].astype("int64") + start,
+                                    **{f"d{c}": links[:, i + 1] for i, c in enumerate(VOXEL)}})
+        state.update((runs.ravel().tolist(),))
+        if late_frames is not None:
+            last = int(runs[:, 1].max()) + start + CLOCK
+            state.setTimeoutTimestamp(max((last + 1) * 1000, state.getCurrentWatermarkMs() + 1))
+
+    links = s.groupBy("series", "_block").applyInPandasWithState(
+        link, f"series {kind['series']}, frame long, dz double, dy double, dx double", "runs array<double>", "append", timer)
+    links = links.withColumn("frame", F.col("frame").cast(kind["frame"]))
     _finish(links.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append")
             .trigger(availableNow=True).start(out))
