@@ -107,15 +107,20 @@ def predict_next(tracks: DataFrame, crop: dict, scales: list[float], need: int =
     """Expected place of each cell in the next frame: its position plus the median
     displacement of tracked neighbours, in the first window that holds ``need``.
 
-    All cells try the smallest window; only those that find too few neighbours
-    go on to the wide ones.
+    Cells of a frame at one position share a window, and links of one place and
+    displacement are one row with a count, before anything meets; the medians are
+    taken from counts.  So a crowded position costs its distinct displacements.
+    All positions try the smallest window; only those that find too few
+    neighbours go on to the wide ones.
     """
-    links = cut(link_frames(tracks))
-    cells = tracks.select("series", "frame", *AXES)
+    shift = [f"d{c}" for c in AXES]
+    links = cut(link_frames(tracks).groupBy("frame", *AXES, *shift).agg(F.count(F.lit(1)).alias("n")))
+    cells = tracks.select("series", "frame", *AXES).distinct()
+    places = cells.select("frame", *AXES).distinct()
 
     def attempt(some: DataFrame, levels: list[float], base: int) -> DataFrame:
         top = {a: s * (1 + levels[-1]) / 2.0 + 1 for a, s in crop.items()}
-        a, b = some, links.select("frame", *AXES, *[f"d{c}" for c in AXES])
+        a, b = some, links
         for axis, h in top.items():
             k = F.floor(F.col(axis) / h)
             a = a.withColumn(f"_b{axis}", F.explode(F.sequence(k - 1, k + 1)))
@@ -123,28 +128,28 @@ def predict_next(tracks: DataFrame, crop: dict, scales: list[float], need: int =
         a = spread(a)
         on = functools.reduce(operator.and_, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ["frame", *[f"_b{x}" for x in crop]]])
         j = a.alias("a").join(b.alias("b"), on).withColumn("_l", _box_level(crop, levels, "a", "b")).filter("_l IS NOT NULL")
-        j = j.select("a.series", "a.frame", *[F.col(f"a.{c}").alias(c) for c in AXES], "_l", *[F.col(f"b.d{c}").alias(f"d{c}") for c in AXES])
+        j = j.select("a.frame", *[F.col(f"a.{c}").alias(c) for c in AXES], "_l", "b.n", *[F.col(f"b.{c}").alias(c) for c in shift])
         if len(levels) > 1:
-            per = j.groupBy("series", "frame").agg(*[F.count_if(F.col("_l") <= i).alias(f"_c{i}") for i in range(len(levels))])
+            per = j.groupBy("frame", *AXES).agg(*[F.sum(F.when(F.col("_l") <= i, F.col("n"))).alias(f"_c{i}") for i in range(len(levels))])
             first = F.lit(None).cast("int")
             for i in reversed(range(len(levels))):
                 first = F.when(F.col(f"_c{i}") >= need, i).otherwise(first)
-            per = per.select("series", "frame", first.alias("_first"))
-            j = j.join(per, ["series", "frame"]).filter(F.col("_l") <= F.col("_first"))
+            per = per.select("frame", *AXES, first.alias("_first"))
+            j = j.join(per, ["frame", *AXES]).filter(F.col("_l") <= F.col("_first"))
             level = F.first("_first")
         else:
             level = F.lit(0)
-        g = j.groupBy("series", "frame", *AXES).agg(
-            F.count(F.lit(1)).alias("n_tracked"), level.alias("_level"), *[F.median(f"d{c}").alias(f"_m{c}") for c in AXES])
+        g = j.groupBy("frame", *AXES).agg(
+            F.sum("n").alias("n_tracked"), level.alias("_level"), *[F.percentile(f"d{c}", F.lit(0.5), F.col("n")).alias(f"_m{c}") for c in AXES])
         return g.filter(F.col("n_tracked") >= need).select(
-            "series", "frame", *[(F.col(c) + F.col(f"_m{c}")).cast("bigint").alias(f"pred_{c}") for c in AXES], "n_tracked",
+            "frame", *AXES, *[(F.col(c) + F.col(f"_m{c}")).cast("bigint").alias(f"pred_{c}") for c in AXES], "n_tracked",
             (F.col("_level") + base).alias("scale_index"))
 
-    near = cut(attempt(cells, scales[:1], 0))
-    if len(scales) == 1:
-        return near
-    rest = cells.join(near, ["series", "frame"], "left_anti")
-    return near.unionByName(attempt(rest, scales[1:], 1))
+    found = cut(attempt(places, scales[:1], 0))
+    if len(scales) > 1:
+        rest = places.join(found, ["frame", *AXES], "left_anti")
+        found = found.unionByName(attempt(rest, scales[1:], 1))
+    return cells.join(found, ["frame", *AXES]).select("series", "frame", *[f"pred_{c}" for c in AXES], "n_tracked", "scale_index")
 
 
 def link_errors(tracks: DataFrame, crop: dict, scales: list[float], limit: float = 10.0) -> DataFrame:
