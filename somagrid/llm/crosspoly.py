@@ -6,6 +6,8 @@ signed axis.  ``TABLES`` independent turns give as many tables.  A query probes
 the ``PROBES`` axes it is nearest to in each table, the candidates of all
 buckets are scored exactly on the original vectors, and the best are kept.
 Buckets are cut into parts of bounded size, so no task holds a whole hot one.
+A query that its probes leave with fewer than ``k`` rows probes every bucket of
+one table, which holds each vector once: it gets all candidates there are.
 
 Recall was measured against brute force (README).  Vectors that are null,
 empty, zero or hold null or non-finite components take no part, nor do rows
@@ -128,6 +130,16 @@ def search(table: DataFrame, k: int = 20, step: int = QUERY_STEP, probes: int =
         "dim", "bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "id", F.lit(0).alias("side"))
     sides = body.join(distinct.select("id", "v"), "id").unionByName(probe.join(keyed, "id"))
     found = cut(_score(sides, k + 1))
+    # a query finds its own vector, so k others make k + 1 ids with their copies
+    held = found.distinct().join(distinct.select(F.col("id").alias("vec_id"), "ids"), "vec_id").groupBy(F.col("query_id").alias("id")).agg(F.sum(F.size("ids")).alias("_n"))
+    short = cut(keyed.join(held.filter(F.col("_n") > k), "id", "left_anti"))
+    if not short.isEmpty():
+        first = F.shiftright("bucket", 32) == 0
+        every = short.withColumn("dim", F.size("v")).join(sizes.filter(first), "dim").select(
+            "dim", "bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "id", F.lit(0).alias("side"), "v")
+        own_dims = body.filter(first).join(short.select(F.size("v").alias("dim")).distinct(), "dim", "left_semi")
+        whole = own_dims.join(distinct.select("id", "v"), "id")
+        found = found.unionByName(cut(_score(whole.unionByName(every), k + 1)))
     # distinct vectors so far; their copies follow, at most k + 1 ids each
     top = best(found.distinct(), k + 1).join(distinct.select(F.col("id").alias("vec_id"), "ids"), "vec_id").select("query_id", F.explode("ids").alias("vec_id"), "score")
     top = best(top, k + 1).groupBy("query_id").agg(F.collect_list(F.struct("vec_id", "score")).alias("near"))

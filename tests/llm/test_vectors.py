@@ -55,3 +55,21 @@ def test_odd(spark):
         w = sorted((-float(good[q] @ x), i) for i, x in good.items() if i != q)[:20]
         assert [i for _, i, _ in sorted(near[q])] == [i for _, i in w]
     assert topk.search(df.limit(0)).count() == 0 and crosspoly.search(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 12, 40, 130])
+def test_few_rows_are_all_found(spark, n):
+    """The registered parameters on tables so small that probes miss most buckets."""
+    rng = np.random.default_rng(n)
+    v = rng.normal(size=(n, 64))
+    v[n // 2:n // 2 + 3] = v[0]  # copies of a query
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in crosspoly.search(df).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for q in range(0, n, 20):
+        own = sorted(got.get(q, []))
+        assert [r for r, _, _ in own] == list(range(1, min(20, n - 1) + 1))
+        assert np.allclose([s for _, _, s in own], [v[q] @ v[i] for _, i, _ in own]) and len({i for _, i, _ in own} - {q}) == len(own)
+        if n <= 21:
+            assert [i for _, i, _ in own] == sorted(set(range(n)) - {q}, key=lambda i: (-own[[x for _, x, _ in own].index(i)][2], i))
