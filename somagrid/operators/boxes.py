@@ -5,14 +5,20 @@ from __future__ import annotations
 import functools
 import operator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from somagrid.operators.components import connected
+from somagrid.operators.meet import close, meet, positions
 from somagrid.operators.spatial import nearest_point
 from somagrid.session import cut, spread
 
 AXES = ["z", "y", "x"]
 CORNERS = [f"{a}{i}" for i in (0, 1) for a in AXES]
+#: Cells of one tile that a task cuts out at a time.
+CROPS = 1 << 14
 
 
 def box_voxels(boxes: DataFrame, cols: list[str]) -> DataFrame:
@@ -165,16 +171,40 @@ def extract_crops(cells: DataFrame, voxels: DataFrame, half: dict, idc: str = "c
     """Voxel list of each cell's crop window (``position +- half``), relative to the
     window; a list is at most one window long.
 
-    Cells are sent to the tiles their window touches, voxels to one tile.
+    Cells go to one tile, voxels to the tiles whose windows they may lie in; the
+    lists are made there.  Rows that share an id share a list.
     """
-    c = cells.select(idc, *AXES)
-    for a, h in half.items():
-        c = c.withColumn(f"_t{a}", F.explode(F.sequence(F.floor((F.col(a) - h) / (2 * h)), F.floor((F.col(a) + h - 1) / (2 * h)))))
-    c = spread(c)
-    v = voxels.select(*AXES, value, *[F.floor(F.col(a) / (2 * h)).alias(f"_t{a}") for a, h in half.items()])
-    on = functools.reduce(operator.and_, [F.col(f"c._t{a}") == F.col(f"v._t{a}") for a in AXES])
-    rel = {a: F.col(f"v.{a}") - F.col(f"c.{a}") + h for a, h in half.items()}
-    inside = functools.reduce(operator.and_, [rel[a].between(0, 2 * h - 1) for a, h in half.items()])
-    j = c.alias("c").join(v.alias("v"), on).filter(inside)
-    px = F.struct(*[rel[a].alias(a) for a in AXES], F.col(f"v.{value}").alias("value"))
-    return j.groupBy(F.col(f"c.{idc}").alias(idc)).agg(F.sort_array(F.collect_list(px)).alias("voxels"))
+    c, v = cells.select(idc, *AXES), voxels.select(*AXES, value)
+    probe = c.crossJoin(v.select(*[F.col(a).alias(f"_{a}") for a in AXES])).select(*[(F.col(f"_{a}") - F.col(a) + half[a]).alias(a) for a in AXES])
+    kind = {**dict(probe.dtypes), "value": dict(v.dtypes)[value]}
+    px = f"array<struct<{', '.join(f'{n}:{k}' for n, k in kind.items())}>>"
+
+    def crop(q: pa.Table, p: pa.Table) -> pa.Table:
+        x, y = positions(q), positions(p)
+        h = np.array([float(half[a]) for a in AXES])
+        own, other = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, j in close(x, y, h):
+            rel = y[j] - x[i] + h
+            ok = ((rel >= 0) & (rel <= 2 * h - 1)).all(axis=1)
+            own.append(i[ok])
+            other.append(j[ok])
+        own, other = np.concatenate(own), np.concatenate(other)
+        first = np.searchsorted(own, np.arange(len(x) + 1)).astype(np.int32)
+        near, mid = p.take(pa.array(other)), q.take(pa.array(own))
+        rel = [pc.add(pc.subtract(near.column(a), mid.column(a)), pa.scalar(half[a], near.schema.field(a).type)) for a in AXES]
+        parts = [r.combine_chunks() if isinstance(r, pa.ChunkedArray) else r for r in (*rel, near.column(value))]
+        parts = [pa.concat_arrays(r.chunks) if isinstance(r, pa.ChunkedArray) else r for r in parts]
+        lists = pa.ListArray.from_arrays(pa.array(first), pa.StructArray.from_arrays(parts, [*AXES, "value"]))
+        out = pa.table({idc: q.column(idc), "voxels": lists})
+        return out.filter(pa.array(first[1:] > first[:-1]))
+
+    def lists(some: DataFrame) -> DataFrame:
+        d = meet(some, v, half, crop, f"{idc} {dict(c.dtypes)[idc]}, voxels {px}", limit=CROPS)
+        return d.withColumn("voxels", F.sort_array("voxels"))
+
+    again = cut(c.groupBy(F.col(idc).alias("_again")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_again"))
+    if again.isEmpty():
+        return lists(c)
+    shared = F.col(idc).eqNullSafe(F.col("_again"))
+    merged = lists(c.join(again, shared, "left_semi")).groupBy(idc).agg(F.sort_array(F.flatten(F.collect_list("voxels"))).alias("voxels"))
+    return lists(c.join(again, shared, "left_anti")).unionByName(merged)
