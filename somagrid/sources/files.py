@@ -93,9 +93,12 @@ def read_trees(spark: SparkSession, path: str) -> DataFrame:
     vals = F.filter(F.transform(F.slice(f, 6, F.greatest(F.size(f) - 5, F.lit(0))), lambda v: v.try_cast("bigint")), lambda v: v.isNotNull())
     d = numbered_lines(spark, path).select(
         "file", F.expr("line div 2").alias("tree"), (F.col("line") % 2).alias("kind"), F.split(f[0], "\\.tif")[0].alias("name"),
-        F.slice(f, 3, 3).cast("array<bigint>").alias("size"), F.posexplode(vals).alias("node", "v"))
-    p = d.filter("kind = 0").select("file", "tree", "name", "size", "node", F.col("v").alias("parent"))
-    return p.join(d.filter("kind = 1").select("file", "tree", "node", F.col("v").alias("orig_idx")), ["file", "tree", "node"], "left")
+        F.slice(f, 3, 3).cast("array<bigint>").alias("size"), vals.alias("vals"))
+    # the two lines of a pair meet whole, in a shuffled join: their nodes are many times what Spark sees of the text
+    p = d.filter("kind = 0").select("file", "tree", "name", "size", F.col("vals").alias("_up"))
+    j = p.join(d.filter("kind = 1").select("file", "tree", F.col("vals").alias("_orig")).hint("merge"), ["file", "tree"], "left")
+    return j.select("file", "tree", "name", "size", F.posexplode("_up").alias("node", "parent"), "_orig").select(
+        "file", "tree", "name", "size", "node", "parent", F.get("_orig", F.col("node")).alias("orig_idx"))
 
 
 def read_swc(spark: SparkSession, paths, scale_xy: float = 0.20756792660398113) -> DataFrame:
