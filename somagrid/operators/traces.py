@@ -5,11 +5,14 @@ from __future__ import annotations
 import functools
 import operator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from somagrid.operators.meet import close, meet, positions
 from somagrid.operators.ordered import value_ranks
 from somagrid.operators.spatial import knn
-from somagrid.operators.voxels import footprint, send
 from somagrid.operators.tree import chains
 from somagrid.session import cut, release, spread
 
@@ -79,29 +82,41 @@ def bridge_ends(ends: DataFrame, voxels: DataFrame, r: int = 2) -> DataFrame:
     joined, the shortest bridge per end and other segment; an end near the body
     of a segment it has no such bridge to is joined to that body's nearest voxel.
     """
-    edge = 2 * r
-    a, b = ends.select("seg", *AXES).distinct(), ends.select("seg", *AXES).distinct()
-    for x in AXES:
-        k = F.floor(F.col(x) / edge)
-        a = a.withColumn(f"_b{x}", F.explode(F.sequence(k - 1, k + 1)))
-        b = b.withColumn(f"_b{x}", k)
-    a = spread(a)
-    on = functools.reduce(operator.and_, [F.col(f"a._b{x}") == F.col(f"b._b{x}") for x in AXES])
-    reach = F.greatest(*[F.abs(F.col(f"a.{x}") - F.col(f"b.{x}")) for x in AXES])
-    j = a.alias("a").join(b.alias("b"), on & (F.col("a.seg") != F.col("b.seg"))).filter(reach <= edge)
-    to = F.struct(*[F.col(f"b.{x}").alias(x) for x in AXES])
-    pos = [F.col(f"a.{x}").alias(x) for x in AXES]
-    tip = j.groupBy(F.col("a.seg").alias("seg"), *pos, F.col("b.seg").alias("other")).agg(
-        F.min(F.struct(reach.alias("length"), to.alias("to"))).alias("m"))
-    tip = cut(tip.select("seg", *AXES, "other", F.col("m.length").cast("double").alias("length"), "m.to", F.lit("end").alias("kind")))
-    from_pos = F.struct(*AXES).alias("_from")
-    near = send(ends.select("seg", *AXES).distinct(), footprint("cube", r), ["seg", from_pos]).alias("s").join(
-        voxels.select(*AXES, F.col("seg").alias("other")).distinct().alias("v"), AXES).filter(F.col("seg") != F.col("other"))
-    d2 = functools.reduce(operator.add, [(F.col(x) - F.col(f"_from.{x}")) * (F.col(x) - F.col(f"_from.{x}")) for x in AXES])
-    body = near.groupBy("seg", "_from", "other").agg(F.min(F.struct(d2.alias("d2"), F.struct(*AXES).alias("to"))).alias("m"))
-    body = body.select("seg", *[F.col(f"_from.{x}").alias(x) for x in AXES], "other", F.sqrt(F.col("m.d2").cast("double")).alias("length"),
-                       "m.to", F.lit("body").alias("kind"))
-    return tip.unionByName(body.join(tip, ["seg", *AXES, "other"], "left_anti"))
+    tips = ends.select("seg", *AXES).distinct()
+    points = tips.withColumn("_end", F.lit(True)).unionByName(voxels.select("seg", *AXES).distinct().withColumn("_end", F.lit(False)))
+    points = points.filter("seg IS NOT NULL")
+    kind = dict(tips.dtypes)
+    to = ", ".join(f"{x}:{kind[x]}" for x in AXES)
+
+    def bridge(q: pa.Table, p: pa.Table) -> pa.Table:
+        x, y = positions(q), positions(p)
+        # segments of both sides as numbers
+        names = pc.unique(pa.concat_arrays([c for t in (q, p) for c in t.column("seg").chunks] or [pa.array([], q.schema.field("seg").type)]))
+        here, there = (pc.index_in(t.column("seg"), names).to_numpy() for t in (q, p))
+        end = p.column("_end").to_numpy(zero_copy_only=False).astype(bool) if p.num_rows else np.zeros(0, bool)
+        found = [[np.zeros(0, k) for k in (np.int64, np.int64, float, bool)]]
+        for i, k in close(x, y, 2 * r):
+            ok = here[i] != there[k]
+            i, k = i[ok], k[ok]
+            off = np.abs(x[i] - y[k])
+            reach, d2 = off.max(axis=1), (off * off).sum(axis=1)
+            is_tip = end[k] & (reach <= 2 * r)
+            ok = is_tip | (~end[k] & (reach <= r))
+            i, k, is_tip, length = i[ok], k[ok], is_tip[ok], np.where(is_tip, reach, np.sqrt(d2))[ok]
+            # the shortest bridge per end and other segment, those to ends before those to bodies
+            o = np.lexsort((y[k, 2], y[k, 1], y[k, 0], length, ~is_tip, there[k], i))
+            i, k, is_tip, length = i[o], k[o], is_tip[o], length[o]
+            first = np.r_[True, (i[1:] != i[:-1]) | (there[k[1:]] != there[k[:-1]])] if len(i) else np.zeros(0, bool)
+            found.append([v[first] for v in (i, k, length, is_tip)])
+        i, k, length, is_tip = (np.concatenate(v) for v in zip(*found))
+        own, other = q.take(pa.array(i)).combine_chunks(), p.take(pa.array(k)).combine_chunks()
+        flat = lambda c: c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+        at = pa.StructArray.from_arrays([pa.concat_arrays([flat(other.column(a))]) for a in AXES], AXES)
+        return pa.table({**{c: own.column(c) for c in ("seg", *AXES)}, "other": other.column("seg"), "length": pa.array(length), "to": at,
+                         "kind": pa.array(np.where(is_tip, "end", "body").astype(object), pa.string())})
+
+    schema = ", ".join(f"{c} {kind[c]}" for c in ("seg", *AXES)) + f", other {kind['seg']}, length double, to struct<{to}>, kind string"
+    return meet(tips.filter("seg IS NOT NULL"), points, dict.fromkeys(AXES, 2 * r), bridge, schema)
 
 
 def fill_gaps(coords: DataFrame, edge: float = 3.0) -> DataFrame:
