@@ -9,14 +9,18 @@ from __future__ import annotations
 import functools
 import operator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from somagrid.operators.components import connected
+from somagrid.operators.meet import meet, positions
 from somagrid.operators.ordered import join_ranks, neighbour_row, value_ranks
 from somagrid.session import cut, release, spread
 
 AXES = ["z", "y", "x"]
+#: How many places of one tile look for links in a task.
+PLACES = 1 << 14
 
 
 def row_index(df: DataFrame, keys: list[str], order: str, out: str = "idx") -> DataFrame:
@@ -90,17 +94,50 @@ def link_frames(tracks: DataFrame, cols: list[str] = AXES) -> DataFrame:
     return j.select("*", *[(F.col(f"next_{c}") - F.col(c)).alias(f"d{c}") for c in cols])
 
 
-def _box_level(crop: dict, scales: list[float], a: str, b: str) -> Column:
-    """Index of the first scale whose window around ``a`` holds ``b``."""
-    out = F.lit(None).cast("int")
-    for i in reversed(range(len(scales))):
-        inside = []
-        for axis, size in crop.items():
-            h = size * (1 + scales[i]) / 2.0
-            p = F.col(f"{a}.{axis}").cast("double")
-            inside.append((F.col(f"{b}.{axis}") >= (p - h).cast("bigint")) & (F.col(f"{b}.{axis}") < (p + h).cast("bigint")))
-        out = F.when(functools.reduce(operator.and_, inside), i).otherwise(out)
-    return out
+def _window_medians(q: pa.Table, p: pa.Table, half: list[list[float]], need: int) -> pa.Table:
+    """For each position of ``q`` the median displacement of the links ``p`` in the first window that holds ``need`` of them.
+
+    ``half`` has the half widths of each window.  Links are sorted along the first axis, so those of a window are a run
+    among the links whose other axes fit, which positions in one line along that axis share; medians come from counts
+    per displacement."""
+    x, y = positions(q), positions(p)
+    order = np.argsort(y[:, 0], kind="stable")
+    y, n = y[order], p.column("n").to_numpy()[order]
+    shifts = []
+    for c in AXES:
+        v = p.column(f"d{c}").combine_chunks()
+        known = np.asarray(v.is_valid())
+        values, at = np.unique(v.drop_null().to_numpy(), return_inverse=True)
+        rank = np.full(len(known), len(values))  # one past the last: no value
+        rank[known] = at
+        shifts.append((values.astype(float), rank[order]))
+    level, total = np.full(len(x), -1), np.zeros(len(x), np.int64)
+    median = np.full((len(x), 3), np.nan)
+    line = np.lexsort((x[:, 2], x[:, 1]))
+    ends = np.flatnonzero((x[line][1:, 1:] != x[line][:-1, 1:]).any(axis=1)) + 1
+    for todo in np.split(line, ends) if len(x) and len(y) else ():
+        for i, h in enumerate(half):
+            low, high = np.trunc(x[todo] - h), np.trunc(x[todo] + h)
+            near = np.flatnonzero(((y[:, 1:] >= low[0, 1:]) & (y[:, 1:] < high[0, 1:])).all(axis=1))
+            start, end = (np.searchsorted(y[near, 0], v[:, 0]) for v in (low, high))
+            upto = np.r_[0, np.cumsum(n[near])]
+            many = upto[end] - upto[start]
+            done = many >= need
+            ranks = [r[near] for _, r in shifts]
+            weight = n[near]
+            for k, s, e, m in zip(todo[done], start[done], end[done], many[done]):
+                level[k], total[k] = i, m
+                for c, (values, _) in enumerate(shifts):
+                    upto = np.bincount(ranks[c][s:e], weight[s:e], len(values) + 1)[:-1].cumsum()
+                    if len(upto) and (t := int(upto[-1])):
+                        lower, upper = np.searchsorted(upto, [(t - 1) // 2, t // 2], side="right")
+                        median[k, c] = values[lower] if lower == upper else 0.5 * values[lower] + 0.5 * values[upper]
+            todo = todo[~done]
+            if not len(todo):
+                break
+    ok = level >= 0
+    out = {**{a: q.column(a) for a in AXES}, "n_tracked": total, "_level": pa.array(level, pa.int32())}
+    return pa.table({**out, **{f"_m{a}": pa.array(m, mask=np.isnan(m)) for a, m in zip(AXES, median.T)}}).filter(pa.array(ok))
 
 
 def predict_next(tracks: DataFrame, crop: dict, scales: list[float], need: int = 4) -> DataFrame:
@@ -108,42 +145,22 @@ def predict_next(tracks: DataFrame, crop: dict, scales: list[float], need: int =
     displacement of tracked neighbours, in the first window that holds ``need``.
 
     Cells of a frame at one position share a window, and links of one place and
-    displacement are one row with a count, before anything meets; the medians are
-    taken from counts.  So a crowded position costs its distinct displacements.
-    All positions try the smallest window; only those that find too few
+    displacement are one row with a count.  Places and links of a frame meet in
+    tiles, where the medians are taken from counts, so only one row per place is
+    written.  All positions try the smallest window; only those that find too few
     neighbours go on to the wide ones.
     """
-    shift = [f"d{c}" for c in AXES]
-    links = cut(link_frames(tracks).groupBy("frame", *AXES, *shift).agg(F.count(F.lit(1)).alias("n")))
+    links = cut(link_frames(tracks).groupBy("frame", *AXES, *[f"d{c}" for c in AXES]).agg(F.count(F.lit(1)).alias("n")))
     cells = tracks.select("series", "frame", *AXES).distinct()
     places = cells.select("frame", *AXES).distinct()
+    kind = dict(places.dtypes)
+    schema = "".join(f"{a} {kind[a]}, " for a in AXES) + "n_tracked long, _level int, " + ", ".join(f"_m{a} double" for a in AXES)
 
     def attempt(some: DataFrame, levels: list[float], base: int) -> DataFrame:
-        top = {a: s * (1 + levels[-1]) / 2.0 + 1 for a, s in crop.items()}
-        a, b = some, links
-        for axis, h in top.items():
-            k = F.floor(F.col(axis) / h)
-            a = a.withColumn(f"_b{axis}", F.explode(F.sequence(k - 1, k + 1)))
-            b = b.withColumn(f"_b{axis}", k)
-        a = spread(a)
-        on = functools.reduce(operator.and_, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ["frame", *[f"_b{x}" for x in crop]]])
-        j = a.alias("a").join(b.alias("b"), on).withColumn("_l", _box_level(crop, levels, "a", "b")).filter("_l IS NOT NULL")
-        j = j.select("a.frame", *[F.col(f"a.{c}").alias(c) for c in AXES], "_l", "b.n", *[F.col(f"b.{c}").alias(c) for c in shift])
-        if len(levels) > 1:
-            per = j.groupBy("frame", *AXES).agg(*[F.sum(F.when(F.col("_l") <= i, F.col("n"))).alias(f"_c{i}") for i in range(len(levels))])
-            first = F.lit(None).cast("int")
-            for i in reversed(range(len(levels))):
-                first = F.when(F.col(f"_c{i}") >= need, i).otherwise(first)
-            per = per.select("frame", *AXES, first.alias("_first"))
-            j = j.join(per, ["frame", *AXES]).filter(F.col("_l") <= F.col("_first"))
-            level = F.first("_first")
-        else:
-            level = F.lit(0)
-        g = j.groupBy("frame", *AXES).agg(
-            F.sum("n").alias("n_tracked"), level.alias("_level"), *[F.percentile(f"d{c}", F.lit(0.5), F.col("n")).alias(f"_m{c}") for c in AXES])
-        return g.filter(F.col("n_tracked") >= need).select(
-            "frame", *AXES, *[(F.col(c) + F.col(f"_m{c}")).cast("bigint").alias(f"pred_{c}") for c in AXES], "n_tracked",
-            (F.col("_level") + base).alias("scale_index"))
+        half = [[crop[a] * (1 + s) / 2.0 for a in AXES] for s in levels]
+        g = meet(some, links, {a: h + 1 for a, h in zip(AXES, half[-1])}, lambda q, p: _window_medians(q, p, half, need), schema, ["frame"], limit=PLACES)
+        return g.select("frame", *AXES, *[(F.col(c) + F.col(f"_m{c}")).cast("bigint").alias(f"pred_{c}") for c in AXES], "n_tracked",
+                        (F.col("_level") + base).alias("scale_index"))
 
     found = cut(attempt(places, scales[:1], 0))
     if len(scales) > 1:
