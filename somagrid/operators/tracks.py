@@ -11,10 +11,12 @@ import operator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from somagrid.operators.components import connected
 from somagrid.operators.meet import meet, positions
+from somagrid.operators.nearest import _closest
 from somagrid.operators.ordered import join_ranks, neighbour_row, value_ranks
 from somagrid.session import cut, release, spread
 
@@ -178,9 +180,34 @@ def link_errors(tracks: DataFrame, crop: dict, scales: list[float], limit: float
     return j.select("series", "frame", "error", (F.col("error") > limit).alias("flagged"))
 
 
-def candidate_links(cells: DataFrame, cand: DataFrame, d: float = 20.0) -> DataFrame:
-    """(frame, cell, cand, distance) for candidates of the next frame within ``d``."""
+def _nearest(spots: DataFrame, points: DataFrame, d: float, name: str) -> DataFrame:
+    """``frame, z, y, x`` of ``spots`` with the nearest point of the frame within ``d`` (its ``name``, smaller ones on
+    ties) and the squared distance; both sides have one row per place."""
+    kind = {**dict(points.dtypes), **dict(spots.dtypes)}
+
+    def near(q: pa.Table, p: pa.Table) -> pa.Table:
+        i, j, d2 = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        if q.num_rows and p.num_rows:
+            rank = np.empty(p.num_rows, np.int64)
+            rank[pc.sort_indices(p.column(name), null_placement="at_start").to_numpy()] = np.arange(p.num_rows)
+            i, j, d2 = _closest(positions(q), positions(p), rank, 1, d / 2 * (1 + 1e-9), False)
+            i, j, d2 = (v[d2 <= d * d] for v in (i, j, d2))
+        return q.take(pa.array(i)).select(AXES).append_column(name, p.column(name).take(pa.array(j))).append_column("_d2", pa.array(d2))
+
+    return meet(spots, points, dict.fromkeys(AXES, d), near, "".join(f"{c} {kind[c]}, " for c in (*AXES, name)) + "_d2 double", ["frame"], limit=PLACES)
+
+
+def candidate_links(cells: DataFrame, cand: DataFrame, d: float = 20.0, only: str | None = None) -> DataFrame:
+    """(frame, cell, cand, distance) for candidates of the next frame within ``d``.
+
+    With ``only`` (``cell`` or ``cand``) just the (frame, id) that have a link at all, each once: places meet in tiles and
+    no pairs are written."""
     a, b = cells.select("frame", "cell", *AXES), cand.select((F.col("frame") - 1).alias("frame"), "cand", *AXES)
+    if only:
+        own, other = (a, b) if only == "cell" else (b, a)
+        place = lambda df: df.select("frame", *AXES).distinct()
+        linked = _nearest(place(own), place(other).withColumn("_any", F.lit(0)), float(d), "_any").select("frame", *AXES)
+        return own.join(linked, ["frame", *AXES], "left_semi").select("frame", only).distinct()
     for x in AXES:
         k = F.floor(F.col(x) / F.lit(float(d)))
         a = a.withColumn(f"_b{x}", F.explode(F.sequence(k - 1, k + 1)))
@@ -192,9 +219,14 @@ def candidate_links(cells: DataFrame, cand: DataFrame, d: float = 20.0) -> DataF
 
 
 def associate(cells: DataFrame, cand: DataFrame, d: float = 20.0) -> DataFrame:
-    """Nearest candidate of the next frame within ``d`` (smaller id on ties)."""
-    best = F.min(F.struct("distance", "cand")).alias("b")
-    return candidate_links(cells, cand, d).groupBy("frame", "cell").agg(best).select("frame", "cell", "b.cand", "b.distance")
+    """Nearest candidate of the next frame within ``d`` (smaller id on ties).
+
+    Cells at one place share their search, and of the candidates at one place the smallest id is kept; places meet in
+    tiles, and only the nearest candidate of each is written."""
+    points = cand.groupBy((F.col("frame") - 1).alias("frame"), *AXES).agg(F.min(F.struct("cand")).alias("_c")).select("frame", *AXES, "_c.cand")
+    near = _nearest(cells.select("frame", *AXES).distinct(), points, float(d), "cand")
+    best = F.min(F.struct(F.sqrt("_d2").alias("distance"), "cand")).alias("b")
+    return cells.select("frame", "cell", *AXES).join(near, ["frame", *AXES]).groupBy("frame", "cell").agg(best).select("frame", "cell", "b.cand", "b.distance")
 
 
 def _settle_claims(claims: DataFrame) -> DataFrame:

@@ -133,8 +133,8 @@ def resolved_claims(spark, d):
    r AS (SELECT cand, count(*) AS n FROM f GROUP BY cand)
   SELECT f.frame, f.cand, CAST((SELECT max(series) FROM tracks) + 1 + coalesce((SELECT sum(n) FROM r r2 WHERE r2.cand < f.cand), 0) AS BIGINT) AS series FROM f""", "tracks")
 def new_tracks(spark, d):
-    links = T.candidate_links(_cells(spark, d), _cand(spark, d), 60.0)
-    return T.new_tracks(_cand(spark, d), links.select("frame", "cand").distinct(), D.tracks(spark, d), 100)
+    links = T.candidate_links(_cells(spark, d), _cand(spark, d), 60.0, only="cand")
+    return T.new_tracks(_cand(spark, d), links, D.tracks(spark, d), 100)
 
 
 @query("size_guard", """

@@ -27,3 +27,30 @@ def test_windows_with_missing_displacements(spark):
     rows = [(s, 0, s, 0, 0) for s in range(5)] + [(s, 1, None if s < 4 else 9, s, 0) for s in range(5)]
     out = T.predict_next(spark.createDataFrame(rows, "series long, frame long, z long, y long, x long"), {"z": 20, "y": 20, "x": 20}, [1.0])
     assert sorted(tuple(r) for r in out.collect()) == [(s, 0, s + 5, 2, 0, 5, 0) for s in range(5)]
+
+
+def _two_frames(spark):
+    rng = np.random.default_rng(2)
+    cells = pd.DataFrame({"frame": rng.integers(0, 3, 400), "cell": range(400), **{c: rng.integers(-20, 20, 400) for c in "zyx"}})
+    cand = pd.DataFrame({"frame": rng.integers(0, 4, 500), "cand": [f"c{i}" for i in range(500)], **{c: rng.integers(-25, 25, 500) for c in "zyx"}})
+    j = cells.assign(frame=cells.frame + 1).merge(cand, on="frame")
+    j["d2"] = sum((j[f"{c}_x"] - j[f"{c}_y"]) ** 2 for c in "zyx")
+    return spark.createDataFrame(cells), spark.createDataFrame(cand), j[j.d2 <= 49]
+
+
+def test_associate(spark):
+    cells, cand, near = _two_frames(spark)
+    out = T.associate(cells, cand, 7.0)
+    assert "_by" not in plan(out) and plan(out).count("Join") == 1
+    best = near.sort_values(["d2", "cand"]).drop_duplicates(["frame", "cell"])
+    want = {(r.frame - 1, r.cell): (r.cand, round(r.d2 ** 0.5, 9)) for r in best.itertuples()}
+    assert {(r["frame"], r["cell"]): (r["cand"], round(r["distance"], 9)) for r in out.collect()} == want and want
+
+
+def test_linked_ends(spark):
+    cells, cand, near = _two_frames(spark)
+    for end in ("cell", "cand"):
+        out = T.candidate_links(cells, cand, 7.0, only=end)
+        got = [tuple(r) for r in out.collect()]
+        assert sorted(got) == sorted({(f - 1, i) for f, i in zip(near.frame, near[end])})
+        assert sorted(got) == sorted(tuple(r) for r in T.candidate_links(cells, cand, 7.0).select("frame", end).distinct().collect())
