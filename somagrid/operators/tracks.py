@@ -251,16 +251,22 @@ def _settle_claims(claims: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, ", ".join(f"{c} {kind[c]}" for c in ("frame", "cell", "cand", "distance")))
 
 
-def resolve_claims(links: DataFrame, limit: int = 1 << 18) -> DataFrame:
+def resolve_claims(links: DataFrame, limit: int = 1 << 22) -> DataFrame:
     """One candidate per cell and one cell per candidate, closest pairs first, ties to
     the smaller ids.
 
-    Claims that hang together form a group.  Groups of up to ``limit`` claims are
-    settled at once, however long their chains are.  Of a larger group the pairs
-    that are best for both their cell and their candidate settle, and what is left
-    of it, which falls apart, is grouped again.
+    Frames of up to ``limit`` claims are settled at once, in one pass over their
+    sorted claims.  In larger frames, claims that hang together form a group.
+    Groups of up to ``limit`` claims are settled at once too, however long their
+    chains are.  Of a larger group the pairs that are best for both their cell
+    and their candidate settle, and what is left of it, which falls apart, is
+    grouped again.
     """
-    todo, kept = cut(links.select("frame", "cell", "cand", "distance").filter("frame IS NOT NULL AND cell IS NOT NULL AND cand IS NOT NULL AND distance IS NOT NULL")), []
+    every = cut(links.select("frame", "cell", "cand", "distance").filter("frame IS NOT NULL AND cell IS NOT NULL AND cand IS NOT NULL AND distance IS NOT NULL"))
+    crowded = cut(every.groupBy("frame").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).select("frame"))
+    kept = [cut(_settle_claims(every.join(crowded, "frame", "left_anti").withColumn("_g", F.col("frame"))))]
+    todo = cut(every.join(crowded, "frame", "left_semi"))
+    release(every)
     while not todo.isEmpty():
         end = lambda side, c: F.struct(F.col("frame"), F.lit(side).alias("side"), F.col(c).cast("string").alias("id"))
         edges = todo.select(end(0, "cell").alias("src"), end(1, "cand").alias("dst"))
@@ -280,7 +286,7 @@ def resolve_claims(links: DataFrame, limit: int = 1 << 18) -> DataFrame:
         for old in (todo, grouped, big):
             release(old)
         todo = left
-    return functools.reduce(DataFrame.unionByName, kept) if kept else todo
+    return functools.reduce(DataFrame.unionByName, kept)
 
 
 def new_tracks(cand: DataFrame, links: DataFrame, tracks: DataFrame, min_size: int = 0) -> DataFrame:

@@ -54,3 +54,17 @@ def test_linked_ends(spark):
         got = [tuple(r) for r in out.collect()]
         assert sorted(got) == sorted({(f - 1, i) for f, i in zip(near.frame, near[end])})
         assert sorted(got) == sorted(tuple(r) for r in T.candidate_links(cells, cand, 7.0).select("frame", end).distinct().collect())
+
+
+def test_frames_within_the_limit_are_settled_without_groups(spark, monkeypatch):
+    from test_claims import greedy
+
+    def never(*_):
+        raise AssertionError("groups of claims are only for crowded frames")
+
+    rng = np.random.default_rng(3)
+    claims = {(int(f), int(a), int(b)): float(rng.integers(0, 9)) for f, a, b in rng.integers(0, 12, (300, 3))}
+    claims = [(*k, d) for k, d in claims.items()]
+    df = spark.createDataFrame(claims, "frame int, cell int, cand int, distance double")
+    monkeypatch.setattr(T, "connected", never)
+    assert {tuple(r)[:3] for r in T.resolve_claims(df).collect()} == greedy(claims)
