@@ -52,14 +52,15 @@ def _rows_near(q: np.ndarray, p: np.ndarray, edge: float) -> tuple[np.ndarray, n
     return order, np.stack([np.searchsorted(code, r - 1) for r in rows], axis=1), np.stack([np.searchsorted(code, r + 1, side="right") for r in rows], axis=1)
 
 
-def _closest(q: np.ndarray, p: np.ndarray, rank: np.ndarray, need: int, edge: float, sure: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _closest(q: np.ndarray, p: np.ndarray, rank: np.ndarray, need: int, edge: float, sure: bool, digits: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, point, squared distance), the ``need`` nearest of each query in order of (distance, rank).
 
-    Every query has its last neighbour within ``2 * edge``, unless ``sure`` says that all points are at hand anyway."""
+    Every query has its last neighbour within ``2 * edge``, unless ``sure`` says that all points are at hand anyway.
+    With ``digits`` squared distances are rounded, so that those which differ by less are ties."""
     todo, found = np.arange(len(q)), []
     for e in (edge / 2, 0.75 * edge, edge, 2 * edge):
         last = e == 2 * edge
-        order, start, end = _rows_near(q[todo], p, e)
+        order, start, end = _rows_near(q[todo], p, e * (1 + 1e-9))
         many = (end - start).sum(axis=1)
         bounds = np.r_[0, np.cumsum(many)]
         left, i = [], 0
@@ -70,9 +71,12 @@ def _closest(q: np.ndarray, p: np.ndarray, rank: np.ndarray, need: int, edge: fl
             a, b = np.repeat(todo[i:j], many[i:j]), order[at]
             d = q[a] - p[b]
             d2 = d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2]
+            near = d2 <= e * e
+            if digits is not None:
+                d2 = np.round(d2, digits)
+                near = near if last else d2 <= e * e  # ties are within reach together
             if not (last and sure):
-                ok = d2 <= e * e
-                a, b, d2 = a[ok], b[ok], d2[ok]
+                a, b, d2 = a[near], b[near], d2[near]
             o = np.lexsort((rank[b], d2, a))
             a, b, d2 = a[o], b[o], d2[o]
             first = np.searchsorted(a, todo[i:j])

@@ -190,8 +190,7 @@ def _nearest(spots: DataFrame, points: DataFrame, d: float, name: str) -> DataFr
         if q.num_rows and p.num_rows:
             rank = np.empty(p.num_rows, np.int64)
             rank[pc.sort_indices(p.column(name), null_placement="at_start").to_numpy()] = np.arange(p.num_rows)
-            i, j, d2 = _closest(positions(q), positions(p), rank, 1, d / 2 * (1 + 1e-9), False)
-            i, j, d2 = (v[d2 <= d * d] for v in (i, j, d2))
+            i, j, d2 = _closest(positions(q), positions(p), rank, 1, d / 2, False)
         return q.take(pa.array(i)).select(AXES).append_column(name, p.column(name).take(pa.array(j))).append_column("_d2", pa.array(d2))
 
     return meet(spots, points, dict.fromkeys(AXES, d), near, "".join(f"{c} {kind[c]}, " for c in (*AXES, name)) + "_d2 double", ["frame"], limit=PLACES)

@@ -118,3 +118,21 @@ def test_own_atlas_in_runs(spark):
     assert [g[:2] for g in got] == sorted((i, int(v)) for i, v in zip(want.i, want.label.fillna(-1)))
     line = spark.range(200).select(F.lit("a").alias("dataset"), F.lit(0).alias("z"), F.lit(0).alias("y"), F.col("id").alias("x"), F.lit(5).alias("label"))
     assert R.packed(line.coalesce(1), ["label"], ["dataset"]).count() == 7  # one run per span of 32
+
+
+def test_field_is_inverted_in_tiles(spark):
+    rng = np.random.default_rng(8)
+    atlas = places(rng, 600, 7).drop_duplicates()
+    field = places(rng, 60, 7).drop_duplicates()
+    for i, a in enumerate(AXES):
+        field[f"d{i}"] = np.round(0.02 * (field[a] + rng.integers(-1, 2, len(field))) + 0.004 * (i == 1), 6)
+    df = spark.createDataFrame(pd.concat([atlas, atlas[:9]])).unionByName(spark.createDataFrame([(None, 1, 1)], "z long, y long, x long"))
+    out = P.invert_field(spark.createDataFrame(field), df, tol_mm=0.06)
+    assert "Join" not in plan(out) and out.count() == len(atlas) + 1
+    got = {(r["z"], r["y"], r["x"]): (r["src_z"], r["src_y"], r["src_x"]) for r in out.collect()}
+    want = {(None, 1, 1): (None,) * 3}
+    for v in atlas.itertuples(index=False):
+        d2 = sum((getattr(v, a) * 0.02 - field[f"d{i}"]) ** 2 for i, a in enumerate(AXES))
+        near = field.assign(d2=d2.round(12))[d2 <= 0.06**2].sort_values(["d2", *AXES])
+        want[tuple(v)] = tuple(near[AXES].iloc[0]) if len(near) else (None,) * 3
+    assert got == want and sum(w[0] is None for w in want.values()) > 1
