@@ -1,9 +1,11 @@
 """Nearest neighbours against all pairs: crowds, far places, groups, and the way down the pyramid."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from somagrid.operators import nearest as N
+from test_meet import plan
 
 
 def brute(rows, pts, k):
@@ -66,3 +68,19 @@ def test_missing_positions(spark):
     df = spark.createDataFrame([("a", 1, 1, 1), ("b", None, 1, 1), ("c", 2, 1, 1)], "id string, z long, y long, x long")
     got = result(N.knn(df, df.withColumnRenamed("id", "near"), 2, "id", "near"))
     assert got == {"a": [(1.0, "c")], "c": [(1.0, "a")]}
+
+
+@pytest.mark.parametrize("by", [[], ["b"]])
+def test_counts_level_by_level(spark, by):
+    """Counting and looking up one level at a time finds the same neighbours; wanted copies of points meet a short list of blocks before they are shuffled."""
+    rng = np.random.default_rng(9)
+    p = np.vstack([rng.integers(0, 12, (300, 3)), rng.integers(0, 900, (60, 3))])
+    df = spark.createDataFrame(pd.DataFrame(p, columns=["z", "y", "x"]).assign(b=np.arange(360) % 2, _pid=np.arange(360))).select(*by, "z", "y", "x", "_pid")
+    spots = df.select(*by, "z", "y", "x").distinct()
+    found = [N.candidates(spots, df, 4, 2.0, by, [], many=many) for many in (1 << 17, 40, 0)]
+    assert any("LeftSemi" in line and "Broadcast" in line for line in plan(found[0]).splitlines())
+    a, b, c = ({tuple(r[:-1]): [(v["d2"], v["pid"]) for v in r[-1]] for r in f.collect()} for f in found)
+    assert a == b == c and len(a) == spots.count()
+    for r, near in a.items():
+        d = sorted((float(((q - r[-3:]) ** 2).sum()), i) for i, q in enumerate(p) if not by or i % 2 == r[0])
+        assert near == d[:4]
