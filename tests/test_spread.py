@@ -1,8 +1,12 @@
 """Work is dealt to tasks by its size."""
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
+from somagrid.operators import spatial as P
 from somagrid.registry import derived as D
 
 
@@ -11,3 +15,29 @@ def test_atlas_is_made_by_many_tasks(spark, tmp_path):
     spark.createDataFrame(pd.DataFrame({"s_suppkey": range(20)})).write.parquet(f"{tmp_path}/supplier.parquet")
     per = [r["n"] for r in D.atlas(spark, tmp_path).groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
     assert sum(per) == 512 * 1024 and len(per) > 4 and max(per) < 512 * 1024 / 4
+
+
+@pytest.mark.parametrize("pairs", [1 << 20, 16])
+def test_node_links_join_like_all_pairs(monkeypatch, pairs):
+    """A tile's links are few, and join the cells that any two positions within reach join."""
+    monkeypatch.setattr(P, "PAIRS", pairs)
+    rng = np.random.default_rng(5)
+    for n, eps in ((400, 0.9), (60, 1.7), (900, 0.4)):
+        x = rng.random((n, 3)) * 8
+        cell = np.floor(x / (eps / 3 ** 0.5 * (1 - 1e-9))).astype(int)
+        name = np.array([",".join(map(str, c)) for c in cell])
+        t = pa.table({**{a: x[:, i] for i, a in enumerate("zyx")}, **{f"_c{a}": cell[:, i] for i, a in enumerate("zyx")}, "_node": name.astype(object)})
+        links = P._node_links(t, t, eps).to_pylist()
+        assert len(links) < len(set(name))
+        near = ((x[:, None] - x[None]) ** 2).sum(-1) <= eps * eps
+
+        def groups(edges):
+            root = {k: k for k in name}
+            for _ in range(len(root)):
+                old = dict(root)
+                for a, b in edges:
+                    root[a] = root[b] = min(root[a], root[b])
+                if old == root:
+                    return root
+
+        assert groups([(r["src"], r["dst"]) for r in links]) == groups({(name[i], name[j]) for i, j in zip(*np.nonzero(near))})
