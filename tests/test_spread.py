@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from somagrid.operators import spatial as P
+from somagrid.operators import spatial as P, voxels as V
 from somagrid.registry import derived as D
 
 
@@ -41,3 +41,17 @@ def test_node_links_join_like_all_pairs(monkeypatch, pairs):
                     return root
 
         assert groups([(r["src"], r["dst"]) for r in links]) == groups({(name[i], name[j]) for i, j in zip(*np.nonzero(near))})
+
+
+def test_density_beside_atlas_columns(spark):
+    """Each atlas row has its label beside the density, and no shuffle holds a row per voxel."""
+    cells = spark.createDataFrame([("a", 1, 1, 1), ("a", 1, 1, 1), ("b", 33, 0, 2), ("b", 40, 1, 1)], ["dataset", *"zyx"])
+    grid = [(b, z, y, x, x % 2 + (b == "b") * 5, 1) for b in "ab" for z in range(36) for y in range(3) for x in range(3)]
+    atlas = spark.createDataFrame([*grid, ("a", 1, 1, 1, 9, 1), ("a", 0, 0, 0, 0, 1), (None, 1, 1, 1, 4, 1)], ["dataset", *"zyx", "label", "hemisphere"])
+    shape = {"z": 36, "y": 3, "x": 3}
+    got = V.density_map(cells, atlas, 2, 500.0, shape, by=["dataset"], cols=["label"])
+    plain = V.density_map(cells, atlas, 2, 500.0, shape, by=["dataset"])
+    joined = plain.join(atlas.filter("label > 0").drop("hemisphere"), ["dataset", *"zyx"]).select(got.columns)
+    assert got.count() > 30 and sorted(map(tuple, got.collect())) == sorted(map(tuple, joined.collect()))
+    assert (1, 1, 1, 9, 2 / 8) in {tuple(r)[1:] for r in got.collect()}
+    assert "SortMergeJoin" not in got._jdf.queryExecution().toString()
