@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
-from somagrid.session import cut, release, spread
+from somagrid.session import cut, release, shared_out, spread
 
 AXES = ["z", "y", "x"]
 BITS = 21
@@ -149,5 +149,5 @@ def label_components(voxels: DataFrame, connectivity: int = 26, within: str | No
         comp = comp.select(*[F.col(f"id.{c}").alias(c) for c in (*by, "_piece")], F.col("component._piece").alias("component"))
     else:
         comp = comp.withColumnRenamed("id", "_piece")
-    lab = pieces.join(comp, [*by, "_piece"]).select(*at, F.col("component").alias(out))
+    lab = shared_out(pieces, pieces.count(), *by, "_piece").join(comp, [*by, "_piece"]).select(*at, F.col("component").alias(out))
     return lab if not extra else voxels.join(lab, at)

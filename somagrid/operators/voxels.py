@@ -22,7 +22,7 @@ from somagrid.operators.distance import distance_map  # noqa: F401
 from somagrid.operators.flood import flood
 from somagrid.operators.ordered import join_ranks, value_ranks
 from somagrid.operators.regions import SPAN, packed
-from somagrid.session import cut, spread
+from somagrid.session import cut, shared_out, spread
 
 AXES = ["z", "y", "x"]
 
@@ -113,7 +113,7 @@ def largest_component(parts: DataFrame, label: str = "label", limit: int = 30, c
     best = size.groupBy(label).agg(
         F.max(F.struct(F.col("n"), (-F.col("component")).alias("c"))).alias("b"), F.count(F.lit(1)).alias("_pieces")
     )
-    j = lab.join(best, label)
+    j = shared_out(lab, lab.count(), label).join(best, label)
     main = (F.col("component") == -F.col("b.c")) & ((F.col("b.n") > limit) | (F.col("_pieces") == 1))
     return j.select(*AXES, label, "component", main.alias("keep"))
 

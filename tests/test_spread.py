@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from somagrid import session
 from somagrid.operators import spatial as P, voxels as V
 from somagrid.registry import derived as D
 
@@ -55,3 +56,16 @@ def test_density_beside_atlas_columns(spark):
     assert got.count() > 30 and sorted(map(tuple, got.collect())) == sorted(map(tuple, joined.collect()))
     assert (1, 1, 1, 9, 2 / 8) in {tuple(r)[1:] for r in got.collect()}
     assert "SortMergeJoin" not in got._jdf.queryExecution().toString()
+
+
+def test_large_voxel_tables_are_shared_out(spark, tmp_path, monkeypatch):
+    """A task takes a bounded number of rows, and components and voxels stay what they are."""
+    n = 4000
+    spark.createDataFrame(pd.DataFrame({"l_orderkey": range(n), "l_partkey": [i * 7 % 800 for i in range(n)], "l_suppkey": [i % 50 for i in range(n)],
+                                        "l_linenumber": [i % 7 for i in range(n)], "l_quantity": [float(i % 50) for i in range(n)]})).write.parquet(f"{tmp_path}/lineitem.parquet")
+    small = [set(map(tuple, t.collect())) for t in (D.voxels(spark, tmp_path), V.largest_component(D.object_voxels(spark, tmp_path), limit=2))]
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    v = D.voxels(spark, tmp_path)
+    sizes = [r["n"] for r in v.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) > 30 and max(sizes) < 250
+    assert [set(map(tuple, t.collect())) for t in (v, V.largest_component(D.object_voxels(spark, tmp_path), limit=2))] == small
