@@ -10,13 +10,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from somagrid.operators.meet import close, meet, positions
+from somagrid.operators.blocks import BLOCK, Grid, ball
+from somagrid.operators.meet import close, given, meet, positions
 from somagrid.operators.ordered import value_ranks
 from somagrid.operators.spatial import knn
 from somagrid.operators.tree import chains
-from somagrid.session import cut, release, spread
+from somagrid.session import cut, release, shared_out, spread
 
 AXES = ["z", "y", "x"]
+#: How far :func:`fill_gaps` looks for neighbours within a block, and how many places a task looks up at a time.
+SEEN = 4
+LOOKUPS = 1 << 21
 
 
 def parent_chains(nodes: DataFrame) -> DataFrame:
@@ -120,12 +124,83 @@ def bridge_ends(ends: DataFrame, voxels: DataFrame, r: int = 2) -> DataFrame:
 
 
 def fill_gaps(coords: DataFrame, edge: float = 3.0) -> DataFrame:
-    """Positions plus the lines to a first or second neighbour that is 2 or more away."""
-    p = cut(coords.select(*AXES).distinct().withColumn("id", F.concat_ws(",", *AXES)).withColumn("at", F.struct(*AXES)))
-    near = knn(p.select("id", *AXES), p.select(F.col("id").alias("nid"), "at", *AXES), 2, "id", "nid", edge, ["at"])
-    far = near.filter("distance >= 2").join(p.select("id", F.col("at").alias("a")), "id")
+    """Positions plus the lines to a first or second neighbour that is 2 or more away.
+
+    Whole positions look for both neighbours in their block and its halo first; only those that do not find them within ``SEEN``
+    go through the search over all positions."""
+    p = cut(coords.select(*AXES).distinct())
+    if all(k in ("tinyint", "smallint", "int", "bigint") for _, k in p.dtypes):
+        near = cut(_near_lines(p))
+        lone = near.filter("_lone").select(*AXES)
+        near = near.filter("NOT _lone").select(*AXES).distinct()
+        if lone.isEmpty():
+            return p.unionByName(near)
+    else:
+        lone, near = p, None
+    named = lambda df: df.withColumn("id", F.concat_ws(",", *AXES)).withColumn("at", F.struct(*AXES))
+    q = named(lone)
+    near2 = knn(q.select("id", *AXES), named(p).select(F.col("id").alias("nid"), "at", *AXES), 2, "id", "nid", edge, ["at"])
+    far = near2.filter("distance >= 2").join(q.select("id", F.col("at").alias("a")), "id")
     n = F.greatest(*[F.abs(F.col(f"at.{x}") - F.col(f"a.{x}")) for x in AXES])
     far = far.withColumn("_n", n).filter("_n > 1").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int") - 1)))
     line = far.select(*[
         F.bround(F.col(f"a.{x}") + (F.col(f"at.{x}") - F.col(f"a.{x}")) * F.col("_i") / F.col("_n").cast("double")).cast("bigint").alias(x) for x in AXES])
-    return p.select(*AXES).unionByName(line).distinct()
+    return (p if near is None else p.unionByName(near)).unionByName(line).distinct()
+
+
+def _near_lines(p: DataFrame) -> DataFrame:
+    """Of distinct positions, what lies on the lines of :func:`fill_gaps` and is no position, and (``_lone``) the positions
+    without two neighbours within ``SEEN``."""
+    ends = p.agg(*[f(a).alias(f"{n}{a}") for a in AXES for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    low = np.array([ends[f"lo{a}"] or 0 for a in AXES])
+    bounds = {a: (ends[f"hi{a}"] or 0) - int(v) + 1 for a, v in zip(AXES, low)}
+    steps, d2 = ball(SEEN)
+    steps, d2 = steps[1:], d2[1:]  # without the position itself
+    w = BLOCK + 2 * SEEN
+    flat = (steps[:, 0] * w + steps[:, 1]) * w + steps[:, 2]
+
+    def lines(key, t):
+        first = np.array([k.as_py() * BLOCK for k in key])
+        grid = Grid(t, list(first), BLOCK, (SEEN,) * 3, [])
+        first = first + low - SEEN
+        here = grid.present.ravel()
+        count = grid.present.astype(np.int8)
+        for a in range(3):  # rows in the 27 voxels around
+            c = np.moveaxis(count, a, 0)
+            c[1:-1] = c[:-2] + c[1:-1] + c[2:]
+        inner = np.zeros_like(grid.present)
+        inner[(slice(SEEN, SEEN + BLOCK),) * 3] = True
+        todo = np.nonzero((grid.present & inner & (count < 3)).ravel())[0]
+        lone, drawn = [], []
+        for i in range(0, len(todo), LOOKUPS // len(flat)):
+            own = todo[i:i + LOOKUPS // len(flat)]
+            q, k = np.nonzero(here[own[:, None] + flat])  # by distance
+            start, end = np.searchsorted(q, np.arange(len(own))), np.searchsorted(q, np.arange(len(own)), side="right")
+            two = end - start >= 2
+            lone.append(own[~two])
+            last = np.full(len(own), -1)
+            last[two] = d2[k[start[two] + 1]]
+            ok = d2[k] <= last[q]
+            q, k = q[ok], k[ok]
+            a = np.stack(np.unravel_index(own[q], (w,) * 3), axis=1) + first
+            b = a + steps[k]
+            name = np.unique(np.array([f"{z},{y},{x}" for z, y, x in b.tolist()], str), return_inverse=True)[1]
+            o = np.lexsort((name, d2[k], q))
+            o = o[np.arange(len(q)) - np.searchsorted(q, q) < 2]  # two of each
+            a, b = a[o], b[o]
+            n = np.abs(b - a).max(axis=1) if len(a) else np.zeros(0, int)
+            for j in range(1, SEEN):
+                far = n > j
+                drawn.append(np.rint(a[far] + (b[far] - a[far]) * j / n[far, None].astype(float)).astype(np.int64))
+        lone = np.stack(np.unravel_index(np.concatenate([*lone, todo[:0]]), (w,) * 3), axis=1) + first
+        drawn = np.unique(np.concatenate([*drawn, np.zeros((0, 3), np.int64)]), axis=0)
+        drawn = drawn[~grid.present[tuple((drawn - first).T)]]
+        both = np.concatenate([drawn, lone])
+        return pa.table({**{a: both[:, i] for i, a in enumerate(AXES)}, "_lone": np.arange(len(both)) >= len(drawn)})
+
+    at = given(p, AXES).select(*[(F.col(a).cast("long") - F.lit(int(v))).alias(a) for a, v in zip(AXES, low)])
+    keys = [f"_b{a}" for a in AXES]
+    wide = at
+    for a, b in zip(AXES, keys):
+        wide = wide.withColumn(b, F.explode(F.sequence(*[F.floor(c / BLOCK) for c in (F.greatest(F.col(a) - SEEN, F.lit(0)), F.least(F.col(a) + SEEN, F.lit(bounds[a] - 1)))])))
+    return shared_out(spread(wide), 2 * p.count(), *keys).groupBy(*keys).applyInArrow(lines, "z long, y long, x long, _lone boolean")
