@@ -10,15 +10,19 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
+from somagrid.operators.blocks import ball
 from somagrid.operators.components import connected
 from somagrid.operators.meet import close, meet, positions
 from somagrid.operators.spatial import nearest_point
-from somagrid.session import cut, spread
+from somagrid.session import cut, shared_out, spread
 
 AXES = ["z", "y", "x"]
 CORNERS = [f"{a}{i}" for i in (0, 1) for a in AXES]
 #: Cells of one tile that a task cuts out at a time.
 CROPS = 1 << 14
+#: Edge of a tile of :func:`split_overlaps`, and how far it looks for centres within one.
+TILE = 48
+NEAR = 4
 
 
 def box_voxels(boxes: DataFrame, cols: list[str]) -> DataFrame:
@@ -31,13 +35,72 @@ def box_voxels(boxes: DataFrame, cols: list[str]) -> DataFrame:
 
 def split_overlaps(boxes: DataFrame, box: str = "box") -> DataFrame:
     """Voxels of all boxes with one owner each: the only box there, or, where boxes
-    overlap, the box whose centre is nearest (smaller id on ties)."""
-    n = cut(box_voxels(boxes, [box]).groupBy(*AXES).agg(F.count(F.lit(1)).alias("_n"), F.max(box).alias(box)))
-    centre = boxes.select(F.col(box).alias("pos"), *[
-        F.bround((F.col(f"{a}1") - F.col(f"{a}0")) / 2.0 + F.col(f"{a}0")).cast("bigint").alias(a) for a in AXES])
-    shared = n.filter("_n > 1").select(*AXES)
-    owner = nearest_point(shared, centre, 2.0).select(*AXES, F.col("pos").alias(box))
-    return n.filter("_n = 1").select(*AXES, box).unionByName(owner)
+    overlap, the box whose centre is nearest (smaller id on ties).
+
+    Boxes, not their voxels, go to the tiles they touch; equal boxes go as one.  Only voxels without a centre within
+    ``NEAR`` go through the search over all centres."""
+    kind, place, own = dict(boxes.dtypes), [f"_{n}{a}" for a in AXES for n in ("lo", "hi", "c")], []
+    for a in AXES:
+        first, last = F.col(f"{a}0"), F.col(f"{a}1") - 1
+        centre = F.bround((F.col(f"{a}1") - F.col(f"{a}0")) / 2.0 + F.col(f"{a}0"))
+        own += [c.cast("bigint").alias(f"_{n}{a}") for n, c in (("lo", F.least(first, last)), ("hi", F.greatest(first, last)), ("c", centre))]
+    one = boxes.select(F.col(box).alias("_box"), *own).filter(functools.reduce(operator.and_, [F.col(c).isNotNull() for a in AXES for c in (f"{a}0", f"{a}1")]))
+    # a missing id comes before the others
+    one = cut(one.groupBy(*place).agg(F.count(F.lit(1)).alias("_n"), F.when(F.count("_box") == F.count(F.lit(1)), F.min("_box")).alias("_box")))
+    size = functools.reduce(operator.mul, [(F.col(f"_hi{a}") - F.col(f"_lo{a}") + 1).cast("double") for a in AXES])
+    voxels = int(one.agg(F.sum(size)).first()[0] or 0)
+    tiles = one
+    for a in AXES:
+        low, high = F.least(f"_lo{a}", F.col(f"_c{a}") - NEAR), F.greatest(f"_hi{a}", F.col(f"_c{a}") + NEAR)
+        tiles = tiles.withColumn(f"_t{a}", F.explode(F.sequence(F.floor(low / TILE), F.floor(high / TILE))))
+    keys = [f"_t{a}" for a in AXES]
+    steps, d2 = ball(NEAR)
+    wide = TILE + 2 * NEAR
+    shells = np.split((steps[:, 0] * wide + steps[:, 1]) * wide + steps[:, 2], np.nonzero(np.diff(d2))[0] + 1)
+
+    none = pa.table({**{a: pa.array([], pa.int64()) for a in AXES}, box: one.select("_box").limit(0).toArrow().column(0), "_open": pa.array([], pa.bool_())})
+
+    def owners(key, t):
+        t = t.combine_chunks()
+        start = [k.as_py() * TILE for k in key]
+        at = lambda n, shift, top: [np.clip(t.column(f"_{n}{a}").to_numpy() + shift - s, 0, top) for a, s in zip(AXES, start)]
+        corners = list(zip(at("lo", 0, TILE), at("hi", 1, TILE)))
+        if not functools.reduce(operator.and_, [b > a for a, b in corners]).any():  # only centres of boxes elsewhere
+            return none
+        # how many boxes hold a voxel, and the sum of their row numbers: which one it is where there is one
+        n, which = np.zeros((TILE + 1,) * 3, np.int64), np.zeros((TILE + 1,) * 3, np.int64)
+        for side in np.ndindex(2, 2, 2):
+            where, sign = tuple(c[k] for c, k in zip(corners, side)), -1 if sum(side) % 2 else 1
+            np.add.at(n, where, sign * t.column("_n").to_numpy())
+            np.add.at(which, where, sign * np.arange(t.num_rows))
+        for k in range(3):
+            n, which = n.cumsum(axis=k), which.cumsum(axis=k)
+        n, which = (v[:TILE, :TILE, :TILE] for v in (n, which))
+        single, shared = np.nonzero(n == 1), np.nonzero(n > 1)
+        # the first id at each centre, then the centres around by distance
+        order = pc.sort_indices(t.column("_box"), null_placement="at_start").to_numpy().astype(np.int64)
+        rank = np.empty(t.num_rows, np.int64)
+        rank[order] = np.arange(t.num_rows)
+        mid = [t.column(f"_c{a}").to_numpy() - s + NEAR for a, s in zip(AXES, start)]
+        held = functools.reduce(operator.and_, [(m >= 0) & (m < wide) for m in mid])
+        first = np.full((wide,) * 3, t.num_rows)
+        np.minimum.at(first, tuple(m[held] for m in mid), rank[held])
+        first, found = first.ravel(), np.full(len(shared[0]), t.num_rows)
+        place, todo = np.ravel_multi_index(tuple(v + NEAR for v in shared), (wide,) * 3), np.arange(len(found))
+        for shell in shells:
+            found[todo] = first[place[todo] + shell[:, None]].min(axis=0)
+            todo = todo[found[todo] == t.num_rows]
+        row = np.r_[which[single], np.r_[order, 0][found]]
+        left = np.r_[np.zeros(len(single[0]), bool), found == t.num_rows]
+        return pa.table({**{a: np.r_[p, q] + s for a, p, q, s in zip(AXES, single, shared, start)},
+                         box: t.column("_box").take(pa.array(row, mask=left)).combine_chunks(), "_open": left})
+
+    seen = cut(shared_out(spread(tiles), voxels, *keys).groupBy(*keys).applyInArrow(owners, f"z long, y long, x long, {box} {kind[box]}, _open boolean"))
+    done, left = seen.filter("NOT _open").select(*AXES, box), seen.filter("_open").select(*AXES)
+    if left.isEmpty():
+        return done
+    centres = one.select(F.col("_box").alias("pos"), *[F.col(f"_c{a}").alias(a) for a in AXES])
+    return done.unionByName(nearest_point(left, centres, 2.0).select(*AXES, F.col("pos").alias(box)))
 
 
 def iou_pairs(a: DataFrame, b: DataFrame, la: str = "label", lb: str = "label", by=()) -> DataFrame:
