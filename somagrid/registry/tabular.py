@@ -135,7 +135,7 @@ def read_swc(spark, d):
     t = D.trees(spark, d)
     row = t.select("tree", "cur_idx", F.format_string("%d 3 %d %d %d 9.0 %d", "cur_idx", "x", "y", "z", "parent").alias("value"))
     note = t.select("tree").distinct().select("tree", F.lit(-1).cast("bigint").alias("cur_idx"), F.lit("# a comment").alias("value"))
-    row.unionByName(note).repartition(8, "tree").sortWithinPartitions("tree", "cur_idx").select("tree", "value").write.partitionBy("tree").text(p)
+    S.write_folders(row.unionByName(note).repartition(8, "tree").sortWithinPartitions("tree", "cur_idx").select("tree", "value"), p, "tree")
     r = S.read_swc(spark, f"{p}/tree=*")
     return r.withColumn("tree", F.regexp_extract("file", r"tree=(\d+)", 1).cast("bigint")).drop("file")
 

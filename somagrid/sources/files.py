@@ -4,7 +4,12 @@ tracks and trace trees."""
 from __future__ import annotations
 
 import functools
+import os
+import re
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from somagrid.operators.tree import with_children
@@ -126,7 +131,56 @@ def write_swc(nodes: DataFrame, path: str, **scale) -> None:
     """One folder per tree, lines in node order.  A very long tree may span several
     part files, which follow each other in name order."""
     d = swc_lines(nodes, **scale).repartitionByRange("tree", "cur_idx").sortWithinPartitions("tree", "cur_idx")
-    d.select("tree", "value").write.mode("overwrite").partitionBy("tree").text(path)
+    write_folders(d.select("tree", "value"), path, "tree")
+
+
+def write_folders(lines: DataFrame, path: str, key: str) -> None:
+    """Lines (``value``) as text files, in one folder per ``key`` as ``partitionBy`` names them; equal keys follow each other
+    within a partition.  What was at ``path`` is replaced.
+
+    On a file system without permissions of its own Hadoop starts a process for each file it makes, which for many small
+    folders is most of the time; there the tasks write the files themselves, each put in place once it is whole."""
+    spark = lines.sparkSession
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.getScheme() != "file":
+        lines.write.mode("overwrite").partitionBy(key).text(path)
+        return
+    fs.delete(root, True)
+    fs.mkdirs(root)
+    folder = root.toUri().getPath()
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        own = f".part-{task.taskAttemptId()}"
+        at, out, n = "", None, 0
+
+        def done() -> None:
+            if out is not None:
+                out.close()
+                os.replace(f"{at}/{own}", f"{at}/part-{task.partitionId():05d}-{n:07d}.txt")
+
+        for b in batches:
+            for name, value in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                to = f"{folder}/{key}={_escaped(name)}"
+                if to != at:
+                    done()
+                    at, n = to, n + 1
+                    os.makedirs(at, exist_ok=True)
+                    out = open(f"{at}/{own}", "w", encoding="utf-8", newline="")
+                out.write(f"{value or ''}\n")
+        done()
+        yield pa.record_batch({"n": pa.array([n], pa.int64())})
+
+    lines.select(F.col(key).cast("string"), "value").mapInArrow(write, "n long").write.format("noop").mode("overwrite").save()
+    fs.create(spark._jvm.org.apache.hadoop.fs.Path(root, "_SUCCESS")).close()
+
+
+def _escaped(name: str | None) -> str:
+    """Name of a partition folder for a value, as Spark escapes it."""
+    if not name:
+        return "__HIVE_DEFAULT_PARTITION__"
+    return re.sub(r"[\x01-\x1f\x7f\"#%'*/:=?\\{\[\]^]", lambda m: f"%{ord(m[0]):02X}", name)
 
 
 def write_obj(nodes: DataFrame, path: str) -> None:
