@@ -7,7 +7,7 @@ import operator
 
 from pyspark.sql import DataFrame, functions as F
 
-from somagrid.session import cut
+from somagrid.session import TASK_ROWS, cut, shared_out, spread
 
 
 def with_children(onto: DataFrame) -> DataFrame:
@@ -21,13 +21,18 @@ def with_children(onto: DataFrame) -> DataFrame:
 def chains(up: DataFrame, keys: list[str], node: str, ancestor: str, step: str = "step") -> DataFrame:
     """Every node with all of its ancestors and their distance, from (node, next ancestor) rows that hold no circle.
 
-    Known chains double in length each round, so rounds grow with the log of the depth; each writes the rows it adds, once."""
+    Known chains double in length each round, so rounds grow with the log of the depth; each writes the rows it adds, once.
+    Chains are many small numbers, which Spark's choice of join and tasks by compressed size does not see: many are dealt by rows."""
     parts, n = [cut(up.select(*keys, node, ancestor).withColumn(step, F.lit(1)))], 1
     while True:
         known = functools.reduce(DataFrame.unionByName, parts)
         far = known.filter(F.col(step) == n)
         if far.isEmpty():
             return known
+        rows = known.count()
+        far, known = shared_out(far, rows, *keys, ancestor), shared_out(known, rows, *keys, node)
+        if rows > TASK_ROWS:
+            far, known = spread(far), spread(known)
         on = functools.reduce(operator.and_, [F.col(f"f.{k}") == F.col(f"k.{k}") for k in keys] + [F.col(f"f.{ancestor}") == F.col(f"k.{node}")])
         more = far.alias("f").join(known.alias("k"), on)
         parts.append(cut(more.select(*[f"f.{k}" for k in keys], f"f.{node}", f"k.{ancestor}", (F.col(f"k.{step}") + n).alias(step))))
