@@ -8,8 +8,9 @@ score in a block.  Blocks are taken in the order of their bounds and scored
 through the forward index until the next bound falls below the k-th score so
 far; a block whose bound equals it is still scored, so ties are exact.
 
-Query batches meet every document range, in blocks; each range answers with
-its best few.  Equal vectors are searched and stored once with their smallest
+Query batches meet every document range: ranges go to tasks in groups, with a
+part of the batches each, so a batch is copied once per group and a range once
+per part; each range answers with its best few.  Equal vectors are searched and stored once with their smallest
 ids.  Vectors that are null, empty or hold null or non-finite components take no
 part, nor do rows without an id; vectors of different lengths never meet; rows
 that share an id and a vector are one.
@@ -29,6 +30,9 @@ from somagrid.session import cut
 BLOCK = 128
 RANGE = 8192
 BATCH = 512
+#: How many ranges, and about how many query batches, meet in a task.
+GROUP = 8
+SHARE = 64
 
 
 def quantized(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = 64.0) -> DataFrame:
@@ -122,32 +126,58 @@ def _search(q: np.ndarray, low: np.ndarray, docs: np.ndarray, k: int):
 _NONE = -(2**62)
 
 
-def _pairs(rows: DataFrame, k: int, only_limit: bool) -> DataFrame:
-    """Search of each (query batch, range) row; the matches, or only the k-th scores."""
+def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, weights and lower bounds of a query batch."""
+    keys = np.frombuffer(row["keys"], np.int64)
+    low = np.frombuffer(row["low"], np.int64) if row["low"] is not None else np.full(len(keys), _NONE, np.int64)
+    return keys, np.frombuffer(row["weights"], np.int64).reshape(len(keys), row["dim"]), low
+
+
+def _limits(rows: DataFrame, k: int) -> DataFrame:
+    """(batch, low): the k-th scores in one range of each (query batch, range) row."""
 
     def run(batches):
         for b in batches:
             for row in b.to_pylist():
-                keys = np.frombuffer(row["keys"], np.int64)
-                q = np.frombuffer(row["weights"], np.int64).reshape(len(keys), row["dim"])
-                docs = np.frombuffer(row["forward"], np.int64).reshape(-1, row["dim"])
-                low = np.frombuffer(row["low"], np.int64) if row["low"] is not None else np.full(len(keys), _NONE, np.int64)
-                who, what, score, kth = _search(q, low, docs, k)
-                if only_limit:
-                    yield pa.RecordBatch.from_arrays([pa.array([row["batch"]], pa.int64()), binary([np.maximum(kth, _NONE).astype(np.int64).tobytes()])], ["batch", "low"])
-                    continue
-                ids, edge = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["edge"], np.int64)
-                n = edge[what + 1] - edge[what]
-                stop = np.cumsum(n)
-                at = np.arange(stop[-1] if len(stop) else 0) + np.repeat(edge[what] - (stop - n), n)
-                who, score, vec = np.repeat(who, n), np.repeat(score, n), ids[at]
-                o = np.lexsort((vec, -score, who))
-                who, score, vec = who[o], score[o], vec[o]
-                nth = np.arange(len(who)) - np.searchsorted(who, who)
-                keep = nth < k
-                yield pa.RecordBatch.from_arrays([pa.array(keys[who[keep]]), pa.array(vec[keep]), pa.array(score[keep])], ["query_id", "vec_id", "score"])
-
-    return rows.mapInArrow(run, "batch long, low binary" if only_limit else "query_id long, vec_id long, score long")
+                _, q, low = _unpacked(row)
+                kth = _search(q, low, np.frombuffer(row["forward"], np.int64).reshape(-1, row["dim"]), k)[3]
+                yield pa.RecordBatch.from_arrays([pa.array([row["batch"]], pa.int64()), binary([np.maximum(kth, _NONE).astype(np.int64).tobytes()])], ["batch", "low"])
+
+    return rows.mapInArrow(run, "batch long, low binary")
+
+
+def _matches(batches: DataFrame, index: DataFrame, ranges: int, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the best ``k`` of each range that are not below the k-th score of those looked at before.
+
+    Groups of ranges and parts of the batches meet in tasks; no row holds a batch and a range together."""
+    groups = -(-ranges // GROUP)
+    many = batches.count()
+    parts = max(1, min(many, max(-(-many // SHARE), -(-2 * batches.sparkSession.sparkContext.defaultParallelism // groups))))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    asked = batches.withColumn("_group", each(groups)).withColumn("_part", F.pmod(F.xxhash64("batch"), F.lit(parts)))
+    held = index.withColumn("_group", F.expr(f"s div {GROUP}")).withColumn("_part", each(parts))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = []
+        if left.num_rows and right.num_rows:
+            docs = [[np.frombuffer(r[c], np.int64) for c in ("ids", "edge", "forward")] for r in right.to_pylist()]
+            for row in left.to_pylist():
+                keys, q, low = _unpacked(row)
+                for ids, edge, forward in docs:
+                    who, what, score, low = _search(q, low, forward.reshape(-1, row["dim"]), k)
+                    low = np.maximum(low, _NONE).astype(np.int64)
+                    n = edge[what + 1] - edge[what]
+                    stop = np.cumsum(n)
+                    at = np.arange(stop[-1] if len(stop) else 0) + np.repeat(edge[what] - (stop - n), n)
+                    who, score, vec = np.repeat(who, n), np.repeat(score, n), ids[at]
+                    o = np.lexsort((vec, -score, who))
+                    who, score, vec = who[o], score[o], vec[o]
+                    keep = np.arange(len(who)) - np.searchsorted(who, who) < k
+                    found.append((keys[who[keep]], vec[keep], score[keep]))
+        return pa.table([pa.array(np.concatenate(v) if v else [], pa.int64()) for v in (list(zip(*found)) or [()] * 3)], ["query_id", "vec_id", "score"])
+
+    keys = ["dim", "_group", "_part"]
+    return asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score long")
 
 
 def search(table: DataFrame, k: int = 20, step: int = QUERY_STEP, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -161,9 +191,8 @@ def search(table: DataFrame, k: int = 20, step: int = QUERY_STEP, id_col: str =
     count = (index.agg(F.max("s").alias("s")).first()["s"] or 0) + 1
     # a first range of each batch gives a lower bound of the k-th score; one more than k, as the query itself is among them
     seed = batches.withColumn("s", F.pmod(F.xxhash64("batch"), F.lit(count))).withColumn("low", F.lit(None).cast("binary")).join(index, ["s", "dim"])
-    low = cut(_pairs(seed, k + 1, True)).groupBy("batch").agg(F.first("low").alias("low"))
-    every = batches.join(low, "batch", "left").withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))))
-    found = cut(_pairs(every.join(index, ["s", "dim"]), k + 1, False))
+    low = cut(_limits(seed, k + 1)).groupBy("batch").agg(F.first("low").alias("low"))
+    found = cut(_matches(batches.join(low, "batch", "left"), index, count, k + 1))
     top = best(found, k + 1).groupBy("query_id").agg(F.collect_list(F.struct("vec_id", "score")).alias("near"))  # k + 1 rows each
     own = asked.select("v", F.col("vec_id").alias("_q")).join(keyed, "v").select("_q", F.col("qkey").alias("query_id"))
     near = own.join(top, "query_id").select(F.col("_q").alias("query_id"), F.explode("near").alias("x")).select("query_id", "x.vec_id", "x.score")

@@ -73,3 +73,23 @@ def test_few_rows_are_all_found(spark, n):
         assert np.allclose([s for _, _, s in own], [v[q] @ v[i] for _, i, _ in own]) and len({i for _, i, _ in own} - {q}) == len(own)
         if n <= 21:
             assert [i for _, i, _ in own] == sorted(set(range(n)) - {q}, key=lambda i: (-own[[x for _, x, _ in own].index(i)][2], i))
+
+
+def test_batches_meet_ranges_without_a_broadcast(spark, monkeypatch):
+    """Many batches and ranges give the exact best, and pairs of them are neither rows nor sent to all tasks."""
+    for name, value in (("RANGE", 64), ("BATCH", 4), ("GROUP", 2), ("SHARE", 3), ("BLOCK", 16)):
+        monkeypatch.setattr(topk, name, value)
+    seen, real = [], topk.cut
+    monkeypatch.setattr(topk, "cut", lambda df: seen.append(df) or real(df))
+    v = np.floor(np.random.default_rng(3).normal(size=(1000, 5)) * 64)
+    v[500:540] = v[0]
+    df = spark.createDataFrame([(i, (x / 64).tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in topk.search(df, k=7).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert set(got) == set(range(0, 1000, 20))
+    for q, own in got.items():
+        s = (v @ v[q]).astype(int)
+        assert [(i, x) for _, i, x in sorted(own)] == sorted(((i, int(s[i])) for i in range(1000) if i != q), key=lambda p: (-p[1], p[0]))[:7]
+    plan = next(p for p in (df._jdf.queryExecution().executedPlan().toString() for df in reversed(seen)) if "forward" in p)
+    assert plan.count("Join") == 1 and plan.count("BroadcastExchange") <= 1  # the lower bounds, a row per batch
