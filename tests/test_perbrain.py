@@ -82,3 +82,15 @@ def test_field_overlay(spark):
     alt = spark.createDataFrame([(0, 0, 1, 4), (0, 0, 2, 5), (0, 0, 3, 1), (0, 0, 5, 4)], [*AXES, "label"])
     ids = spark.createDataFrame([(4,), (5,), (5,)], "ids long")
     assert rows(R.overlay_field(base, alt_field, alt, ids), "x", "d0", "d2") == {(0, 1.0, 0.0), (1, 9.0, 9.0), (2, 8.0, 2.0), (3, 1.0, 3.0), (5, 6.0, 6.0)}
+
+
+def test_field_overlay_broadcasts_no_voxels(spark):
+    """The spots of an exploded atlas are more than Spark's estimate of them, so they stay shuffled."""
+    names = [*AXES, "d0", "d1", "d2"]
+    base = spark.createDataFrame([(0, 0, x, 1.0, 2.0, float(x)) for x in range(4)], names)
+    line = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(3).cast("bigint")))
+    alt = spark.range(1).select(F.lit(0).cast("bigint").alias("z"), F.lit(0).cast("bigint").alias("y"), line.alias("x")).withColumn("label", F.col("x"))
+    got = R.overlay_field(base, base.withColumn("d2", F.col("d2") + 0.5), alt, spark.createDataFrame([(2,)], "ids long"))
+    assert rows(got, "x", "d2") == {(0, 0.0), (1, 1.0), (2, 2.5), (3, 3.0)}
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin [z" not in plan and "BroadcastHashJoin" not in plan.split("LeftSemi")[0]
