@@ -7,6 +7,7 @@ both columns, so a long track spreads over all tasks.
 from __future__ import annotations
 
 import functools
+import math
 import operator
 
 import numpy as np
@@ -23,6 +24,8 @@ from somagrid.session import cut, release, spread
 AXES = ["z", "y", "x"]
 #: How many places of one tile look for links in a task.
 PLACES = 1 << 14
+#: Up to this many pairs of ends, claims are settled at one distance.
+LINKS = 1 << 24
 
 
 def row_index(df: DataFrame, keys: list[str], order: str, out: str = "idx") -> DataFrame:
@@ -200,21 +203,24 @@ def candidate_links(cells: DataFrame, cand: DataFrame, d: float = 20.0, only: st
     """(frame, cell, cand, distance) for candidates of the next frame within ``d``.
 
     With ``only`` (``cell`` or ``cand``) just the (frame, id) that have a link at all, each once: places meet in tiles and
-    no pairs are written."""
+    no pairs are written.  The links know their two ends, so :func:`resolve_claims` can ask for the near ones first."""
     a, b = cells.select("frame", "cell", *AXES), cand.select((F.col("frame") - 1).alias("frame"), "cand", *AXES)
     if only:
         own, other = (a, b) if only == "cell" else (b, a)
         place = lambda df: df.select("frame", *AXES).distinct()
         linked = _nearest(place(own), place(other).withColumn("_any", F.lit(0)), float(d), "_any").select("frame", *AXES)
         return own.join(linked, ["frame", *AXES], "left_semi").select("frame", only).distinct()
+    edge = F.lit(4.0 * float(d))  # a cell goes to the few buckets that it reaches into
+    near = float(d) * (1 + 1e-9)
     for x in AXES:
-        k = F.floor(F.col(x) / F.lit(float(d)))
-        a = a.withColumn(f"_b{x}", F.explode(F.sequence(k - 1, k + 1)))
-        b = b.withColumn(f"_b{x}", k)
+        a = a.withColumn(f"_b{x}", F.explode(F.sequence(F.floor((F.col(x) - near) / edge), F.floor((F.col(x) + near) / edge))))
+        b = b.withColumn(f"_b{x}", F.floor(F.col(x) / edge))
     a = spread(a)
     on = functools.reduce(operator.and_, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ["frame", *[f"_b{x}" for x in AXES]]])
     d2 = functools.reduce(operator.add, [(F.col(f"a.{c}") - F.col(f"b.{c}")) * (F.col(f"a.{c}") - F.col(f"b.{c}")) for c in AXES]).cast("double")
-    return a.alias("a").join(b.alias("b"), on).filter(d2 <= d * d).select("a.frame", "a.cell", "b.cand", F.sqrt(d2).alias("distance"))
+    links = a.alias("a").join(b.alias("b"), on).filter(d2 <= d * d).select("a.frame", "a.cell", "b.cand", F.sqrt(d2).alias("distance"))
+    links._ends = (cells.select("frame", "cell", *AXES), cand.select("frame", "cand", *AXES), float(d))
+    return links
 
 
 def associate(cells: DataFrame, cand: DataFrame, d: float = 20.0) -> DataFrame:
@@ -250,17 +256,8 @@ def _settle_claims(claims: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, ", ".join(f"{c} {kind[c]}" for c in ("frame", "cell", "cand", "distance")))
 
 
-def resolve_claims(links: DataFrame, limit: int = 1 << 22) -> DataFrame:
-    """One candidate per cell and one cell per candidate, closest pairs first, ties to
-    the smaller ids.
-
-    Frames of up to ``limit`` claims are settled at once, in one pass over their
-    sorted claims.  In larger frames, claims that hang together form a group.
-    Groups of up to ``limit`` claims are settled at once too, however long their
-    chains are.  Of a larger group the pairs that are best for both their cell
-    and their candidate settle, and what is left of it, which falls apart, is
-    grouped again.
-    """
+def _settle(links: DataFrame, limit: int) -> list[DataFrame]:
+    """Settled claims of all links, in written parts."""
     every = cut(links.select("frame", "cell", "cand", "distance").filter("frame IS NOT NULL AND cell IS NOT NULL AND cand IS NOT NULL AND distance IS NOT NULL"))
     crowded = cut(every.groupBy("frame").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).select("frame"))
     kept = [cut(_settle_claims(every.join(crowded, "frame", "left_anti").withColumn("_g", F.col("frame"))))]
@@ -285,6 +282,56 @@ def resolve_claims(links: DataFrame, limit: int = 1 << 22) -> DataFrame:
         for old in (todo, grouped, big):
             release(old)
         todo = left
+    return kept
+
+
+def _reaches(cells: DataFrame, cand: DataFrame, d: float) -> list[float]:
+    """Distances below ``d`` up to which claims are settled first: none for few ends, more of them the more claims an end may have."""
+    many = cells.groupBy("frame").agg(F.count(F.lit(1)).alias("_a")).join(
+        cand.groupBy((F.col("frame") - 1).alias("frame")).agg(F.count(F.lit(1)).alias("_b")), "frame")
+    pairs, ends = many.agg(F.coalesce(F.sum(F.col("_a").cast("double") * F.col("_b")), F.lit(0.0)), F.coalesce(F.sum("_a"), F.lit(0))).first()
+    if pairs <= LINKS:
+        return []
+    steps = max(0, math.ceil(2 * math.log2(pairs / ends) / 3))  # an end has about one pair in the first of them, if ends are even
+    return [d / 2 ** (i / 2) for i in range(steps, 0, -1)]
+
+
+def resolve_claims(links: DataFrame, limit: int = 1 << 22) -> DataFrame:
+    """One candidate per cell and one cell per candidate, closest pairs first, ties to
+    the smaller ids.
+
+    Links that come from :func:`candidate_links` as they are, of many ends, are not all made: a claim depends on closer
+    ones only, so those up to a small distance are settled first, and only cells and candidates still free are linked at
+    the next.  Other links are settled at once.
+
+    Frames of up to ``limit`` claims are settled at once, in one pass over their
+    sorted claims.  In larger frames, claims that hang together form a group.
+    Groups of up to ``limit`` claims are settled at once too, however long their
+    chains are.  Of a larger group the pairs that are best for both their cell
+    and their candidate settle, and what is left of it, which falls apart, is
+    grouped again.
+    """
+    ends = getattr(links, "_ends", None)
+    near = _reaches(*ends) if ends else []
+    if not near:
+        return functools.reduce(DataFrame.unionByName, _settle(links, limit))
+    whole = lambda df, c: cut(df.dropna(subset=["frame", c, *AXES]))
+    cells, cand, d = whole(ends[0], "cell"), whole(ends[1], "cand"), ends[2]
+    kept = []
+    for reach in [*near, None]:
+        # a little further than the distance that is settled, so that all links of equal distance are there
+        part = candidate_links(cells, cand, d) if reach is None else candidate_links(cells, cand, min(d, reach * (1 + 1e-9))).filter(F.col("distance") <= reach)
+        done = _settle(part, limit)
+        kept += done
+        if reach is None:
+            break
+        won = cut(functools.reduce(DataFrame.unionByName, done).select("frame", "cell", "cand"))
+        if won.isEmpty():
+            continue
+        free = (cut(cells.join(won, ["frame", "cell"], "left_anti")), cut(cand.join(won.select((F.col("frame") + 1).alias("frame"), "cand"), ["frame", "cand"], "left_anti")))
+        for old in (cells, cand, won):
+            release(old)
+        cells, cand = free
     return functools.reduce(DataFrame.unionByName, kept)
 
 
