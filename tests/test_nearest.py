@@ -84,3 +84,14 @@ def test_counts_level_by_level(spark, by):
     for r, near in a.items():
         d = sorted((float(((q - r[-3:]) ** 2).sum()), i) for i, q in enumerate(p) if not by or i % 2 == r[0])
         assert near == d[:4]
+
+
+def test_rows_take_their_ids_along(spark, places, monkeypatch):
+    """What is found in a block is not shuffled again, and blocks of many rows are shared out."""
+    df = table(spark, places, True)
+    search = lambda: N.knn(df, df.withColumnRenamed("id", "near"), 4, "id", "near", by=["brain"])
+    got = search()
+    assert "Exchange" not in plan(got).split("FlatMapCoGroupsInArrow")[0]
+    monkeypatch.setattr(N, "ROWS", 16)
+    same(result(search()), result(got))
+    assert "_part" in plan(search())
