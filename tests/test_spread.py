@@ -69,3 +69,23 @@ def test_large_voxel_tables_are_shared_out(spark, tmp_path, monkeypatch):
     sizes = [r["n"] for r in v.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
     assert len(sizes) > 30 and max(sizes) < 250
     assert [set(map(tuple, t.collect())) for t in (v, V.largest_component(D.object_voxels(spark, tmp_path), limit=2))] == small
+
+
+def test_inverse_field_travels_as_runs(spark, monkeypatch):
+    """A field of equal moves is few rows, in any order and with holes, and gives what every voxel by itself gives."""
+    sent, real = [], P.packed
+    monkeypatch.setattr(P, "packed", lambda *a: sent.append(real(*a)) or sent[-1])
+    rng = np.random.default_rng(2)
+    place = [(z, y, x) for z in range(6) for y in range(4) for x in range(40)]
+    vox = spark.createDataFrame([(*p, float(i % 17), (p[2] // 3) * 10 + p[0] // 3) for i, p in enumerate(place) if i % 3], ["z", "y", "x", "value", "label"])
+    field = spark.createDataFrame([(*p, *(0.02 * v for v in p)) for p in place], [*"zyx", "d0", "d1", "d2"])
+    inverse = [(c, *p, p[0] - i, p[1], p[2] - (i + p[2] // 20)) for i, c in enumerate("ab") for p in place if p[2] % 13 and p != (0, 0, 7)] + [("a", 0, 0, 0, None, 0, 0), ("a", 3, 0, 39, 3, 0, 39)]
+    inverse = [inverse[i] for i in rng.permutation(len(inverse))]
+    names = ["control", *"zyx", "src_z", "src_y", "src_x"]
+    kind = lambda t: ", ".join(f"{n} {'string' if n == 'control' else t if n[0] == 's' else 'long'}" for n in names)
+    volumes = vox.select(F.explode(F.array(F.lit("a"), F.lit("b"))).alias("control"), *"zyx", "value")
+    run = lambda inv: sorted(map(tuple, P.control_intensity(vox.select(*"zyx", "label"), field, inv, volumes, {"z": 6, "y": 4, "x": 40}).collect()))
+    got = run(spark.createDataFrame(inverse, kind("long")).coalesce(1))
+    assert len(sent) == 1 and sent[0].count() < len(inverse) / 4
+    assert got == run(spark.createDataFrame([(*r[:4], *(None if v is None else float(v) for v in r[4:])) for r in inverse], kind("double"))) and len(sent) == 1
+    assert len({v for _, _, v in got}) > 5
