@@ -14,17 +14,20 @@ import operator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from somagrid.operators.blocks import BLOCK, Grid, ball_sums, ball_total, boundaries, dealt, degree, dilate, erode, peaks, smooth, thin  # noqa: F401 - part of this module's functions
 from somagrid.operators.components import label_components
 from somagrid.operators.distance import distance_map  # noqa: F401
 from somagrid.operators.flood import flood
+from somagrid.operators.meet import close, meet, positions
 from somagrid.operators.ordered import join_ranks, value_ranks
 from somagrid.operators.regions import SPAN, packed
 from somagrid.session import cut, shared_out, spread
 
 AXES = ["z", "y", "x"]
+WHOLE = {"tinyint", "smallint", "int", "bigint"}
 
 
 STEPS = "array<struct<z:bigint,y:bigint,x:bigint>>"
@@ -122,11 +125,33 @@ def assign_stragglers(frag: DataFrame, lab: DataFrame, frag_id: str = "frag", la
     """Fragment to the label met most often in its 1-voxel surroundings (smaller
     label on ties), all fragments at once.  Positions over the edge count as the
     edge voxel when a shape is given."""
-    around = send(frag, footprint("cube", 1), [frag_id])
-    if shape:
-        around = around.select(frag_id, *[F.greatest(F.lit(0), F.least(F.col(a), F.lit(n - 1))).alias(a) for a, n in shape.items()])
-    n = around.groupBy(frag_id, *AXES).agg(F.count(F.lit(1)).alias("_n"))
-    hit = n.join(lab.filter(F.col(label) != 0).select(*AXES, label), AXES).groupBy(frag_id, label).agg(F.sum("_n").alias("n"))
+    found = lab.filter(F.col(label) != 0).select(*AXES, label)
+    kind = {**dict(found.dtypes), **dict(frag.select(*AXES, frag_id).dtypes)}
+    if shape or any(dict(t.dtypes)[a] not in WHOLE for t in (frag, lab) for a in AXES):
+        around = send(frag, footprint("cube", 1), [frag_id])
+        if shape:
+            around = around.select(frag_id, *[F.greatest(F.lit(0), F.least(F.col(a), F.lit(n - 1))).alias(a) for a, n in shape.items()])
+        n = around.groupBy(frag_id, *AXES).agg(F.count(F.lit(1)).alias("_n"))
+        met = n.join(found, AXES).select(frag_id, label, "_n")
+    else:  # voxels meet in tiles, and what is written is a row per fragment and label there
+        def count(q: pa.Table, p: pa.Table) -> pa.Table:
+            x, y = positions(q), positions(p)
+            frags, labels = pc.unique(q.column("_f")), pc.unique(p.column("_l"))
+            of, to = pc.index_in(q.column("_f"), frags).to_numpy(), pc.index_in(p.column("_l"), labels).to_numpy()
+            codes, many = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for i, j in close(x, y, 1.0):
+                ok = (np.abs(x[i] - y[j]) <= 1).all(axis=1)
+                c, m = np.unique(of[i[ok]].astype(np.int64) * len(labels) + to[j[ok]], return_counts=True)
+                codes.append(c)
+                many.append(m)
+            code, at = np.unique(np.concatenate(codes), return_inverse=True)
+            total = np.bincount(at, np.concatenate(many), len(code)).astype(np.int64)
+            wide = max(1, len(labels))
+            return pa.table({"_f": frags.take(pa.array(code // wide)), "_l": labels.take(pa.array(code % wide)), "_n": pa.array(total)})
+
+        met = meet(frag.select(*AXES, F.col(frag_id).alias("_f")), found.select(*AXES, F.col(label).alias("_l")), dict.fromkeys(AXES, 1.0), count,
+                   f"_f {kind[frag_id]}, _l {kind[label]}, _n long", edge=dict.fromkeys(AXES, 32.0)).select(F.col("_f").alias(frag_id), F.col("_l").alias(label), "_n")
+    hit = met.groupBy(frag_id, label).agg(F.sum("_n").alias("n"))
     best = hit.groupBy(frag_id).agg(F.max(F.struct(F.col("n"), (-F.col(label)).alias("l"))).alias("b"))
     return best.select(frag_id, (-F.col("b.l")).alias(label), F.col("b.n").alias("n"))
 

@@ -136,3 +136,30 @@ def test_field_is_inverted_in_tiles(spark):
         near = field.assign(d2=d2.round(12))[d2 <= 0.06**2].sort_values(["d2", *AXES])
         want[tuple(v)] = tuple(near[AXES].iloc[0]) if len(near) else (None,) * 3
     assert got == want and sum(w[0] is None for w in want.values()) > 1
+
+
+def test_stragglers_meet_in_tiles(spark):
+    """Fragments get the label that every step around every voxel of theirs meets most often, and no step is a row."""
+    from somagrid.operators import voxels as V
+
+    rng = np.random.default_rng(12)
+    frag = [(*map(int, p), int(f)) for p, f in zip(rng.integers(-3, 40, (700, 3)), rng.integers(0, 90, 700))]
+    lab = [(*map(int, p), int(v)) for p, v in zip(rng.integers(-3, 40, (9000, 3)), rng.integers(0, 7, 9000))]
+    frag += frag[:30] + [(5, 5, 5, None), (None, 5, 5, 3)]  # rows that come twice, and some without a name or a place
+    lab += lab[:500] + [(5, 5, 6, 4), (5, 5, 5, None), (5, None, 5, 2)]
+    tables = lambda t: (spark.createDataFrame([tuple(float(v) if i < 3 and v is not None and t == "double" else v for i, v in enumerate(r)) for r in rows_], f"z {t}, y {t}, x {t}, {c} long") for rows_, c in ((frag, "frag"), (lab, "label")))
+    met, stepped = (V.assign_stragglers(*tables(t)) for t in ("long", "double"))
+    assert "FlatMapCoGroupsInArrow" in plan(met) and "FlatMapCoGroupsInArrow" not in plan(stepped)
+    got = {tuple(r) for r in met.collect()}
+    assert got == {tuple(r) for r in stepped.collect()} and any(r[0] is None for r in got)
+    at, want = {}, {}
+    for z, y, x, v in lab:
+        if v and None not in (z, y, x):
+            at.setdefault((z, y, x), []).append(v)
+    for z, y, x, f in frag:
+        if None not in (z, y, x):
+            for i, j, k in np.ndindex(3, 3, 3):
+                for v in at.get((z + i - 1, y + j - 1, x + k - 1), ()):
+                    n = want.setdefault(f, {})
+                    n[v] = n.get(v, 0) + 1
+    assert got == {(f, *min(((v, n) for v, n in m.items()), key=lambda e: (-e[1], e[0]))) for f, m in want.items()}
