@@ -1,5 +1,7 @@
 """Work is dealt to tasks by its size."""
 
+import pathlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -89,3 +91,14 @@ def test_inverse_field_travels_as_runs(spark, monkeypatch):
     assert len(sent) == 1 and sent[0].count() < len(inverse) / 4
     assert got == run(spark.createDataFrame([(*r[:4], *(None if v is None else float(v) for v in r[4:])) for r in inverse], kind("double"))) and len(sent) == 1
     assert len({v for _, _, v in got}) > 5
+
+
+def test_clusters_leave_few_tables(spark, monkeypatch):
+    """Tables written on the way to the clusters are gone once the next one holds their rows."""
+    made, real = [], P.cut
+    monkeypatch.setattr(P, "cut", lambda df: made.append(real(df)) or made[-1])
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(f"{i:03d}", *map(int, p)) for i, p in enumerate(rng.integers(0, 30, (300, 3)))], "id string, z long, y long, x long")
+    got = P.dbscan(df, 4.0, 5, "id")
+    left = [t for t in made if pathlib.Path(t._cut_path).exists()]
+    assert len(made) == 6 and len(left) == 2 and got.count() == 300
