@@ -54,9 +54,10 @@ def given(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def meet(a: DataFrame, b: DataFrame, reach: dict, kernel: Callable[[pa.Table, pa.Table], pa.Table], schema: str, by=(), edge: dict | None = None,
-         limit: int = ROWS) -> DataFrame:
+         limit: int = ROWS, few: bool = False) -> DataFrame:
     """``kernel(left, right)`` for every tile, its rows with the ``by`` columns in front; ``right`` holds all rows of ``b``
-    within ``reach`` (per axis) of any row of ``left``.  Rows without a position or a ``by`` value are left out."""
+    within ``reach`` (per axis) of any row of ``left``.  Rows without a position or a ``by`` value are left out.  With ``few`` (left
+    rows are expected in few tiles) copies of ``b`` for tiles without any are dropped before they move."""
     by, tile = list(by), [f"_t{x}" for x in AXES]
     edge = edge or {x: float(TILE * reach[x]) for x in AXES}
     keys = [*by, *tile]
@@ -68,6 +69,8 @@ def meet(a: DataFrame, b: DataFrame, reach: dict, kernel: Callable[[pa.Table, pa
     for x, t in zip(AXES, tile):
         r = float(reach[x]) * (1 + 1e-9)
         right = right.withColumn(t, F.explode(F.sequence(F.floor((F.col(x) - r) / F.lit(edge[x])), F.floor((F.col(x) + r) / F.lit(edge[x])))))
+    if few:
+        right = right.join(cut(left.select(*keys).distinct()), keys, "left_semi")
     right = spread(right)
     crowd = cut(left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).select(*keys, F.ceil(F.col("_n") / limit).alias("_parts")))
     if not crowd.isEmpty():

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from somagrid import session
 from somagrid.operators import spatial as P, voxels as V
+from somagrid.operators.meet import close, meet, positions
 from somagrid.registry import derived as D
 
 
@@ -101,4 +102,13 @@ def test_clusters_leave_few_tables(spark, monkeypatch):
     df = spark.createDataFrame([(f"{i:03d}", *map(int, p)) for i, p in enumerate(rng.integers(0, 30, (300, 3)))], "id string, z long, y long, x long")
     got = P.dbscan(df, 4.0, 5, "id")
     left = [t for t in made if pathlib.Path(t._cut_path).exists()]
-    assert len(made) == 6 and len(left) == 2 and got.count() == 300
+    assert len(made) == 7 and len(left) == 3 and got.count() == 300
+
+
+def test_copies_go_only_where_rows_are(spark):
+    """With few left rows, copies of the right ones for other tiles are dropped, and the pairs stay the same."""
+    rng = np.random.default_rng(6)
+    a, b = (spark.createDataFrame(pd.DataFrame(rng.integers(low, high, (n, 3)), columns=["z", "y", "x"])) for low, high, n in ((0, 9, 12), (-40, 60, 3000)))
+    count = lambda q, p: pa.table({"n": [q.num_rows], "m": [p.num_rows], "s": [sum(len(i) for i, _ in close(positions(q), positions(p), 3.0))]})
+    every, some = ([r for r in meet(a, b, dict.fromkeys("zyx", 3.0), count, "n long, m long, s long", edge=dict.fromkeys("zyx", 6.0), few=few).collect()] for few in (False, True))
+    assert sorted(r for r in every if r["n"]) == sorted(some) and len(every) > len(some)
